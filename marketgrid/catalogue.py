@@ -5,12 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketgrid.plans import deposits, lending, opportunity, performance
-from marketgrid.sources.driver_tables import DriverTables
+from marketgrid.functions import columns as C
+from marketgrid.functions.geo import with_xy
+from marketgrid.operators import graph, quality, ranking, relational, spatial
+from marketgrid.plans import (
+    catchment, deposits, exports, lending, measures, opportunity, performance, profile, siting,
+)
 from marketgrid.plans.warehouse import Warehouse
+from marketgrid.schemas import ID_LENGTHS
+from marketgrid.session import materialise
+from marketgrid.sources import readers
+from marketgrid.sources.driver_tables import DriverTables
 
 Query = Callable[[SparkSession, str], DataFrame]
+STATES = ("00", "01", "02", "03", "04")
 
 
 def _wh(build: Callable[[Warehouse], DataFrame]) -> Query:
@@ -35,9 +45,331 @@ def business() -> dict[str, Query]:
         "q10_capture_rate_by_tract": _wh(lending.q10_capture_rate),
         "q11_unmet_demand_ranking": _wh(lending.q11_unmet_demand),
         "q12_market_opportunity_index": _wh(opportunity.q12_opportunity_index),
+        "q13_lmi_coverage": _wh(lambda wh: siting.q13_lmi_coverage(wh, siting.Selection(wh).coverage())),
         "q14_reconciliation": _wh(deposits.q14_reconciliation),
     }
 
 
+# -- sources and scalar operators ---------------------------------------------
+def _validity_by_year(t: DriverTables) -> DataFrame:
+    return t.sod().groupBy(
+        "YEAR", C.coord_validity("SIMS_LATITUDE", "SIMS_LONGITUDE").alias("validity")
+    ).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _addresses(t: DriverTables) -> DataFrame:
+    return t.sod().groupBy(C.norm_address("ADDRESBR").alias("address")).agg(
+        F.count_distinct("ADDRESBR").alias("spellings"), F.count(F.lit(1)).alias("rows"))
+
+
+def _projected(t: DriverTables) -> DataFrame:
+    return with_xy(t.dim_tract(), "centroid_lon", "centroid_lat").select(
+        "tract_geoid", C.rnd("x", 3).alias("x"), C.rnd("y", 3).alias("y"))
+
+
+def _sentinels(t: DriverTables) -> DataFrame:
+    return readers.sentinel_profile(t.old_tract_counts(), ["households_old"])
+
+
+def _crosstab(t: DriverTables) -> DataFrame:
+    kinds = ["ok", "suppressed", "unpopulated", "water_or_special"]
+    wide = t.dim_tract().groupBy("tier").pivot("tract_status", kinds).agg(F.count(F.lit(1)))
+    wide = wide.select("tier", *[F.coalesce(F.col(k), F.lit(0)).alias(k) for k in kinds])
+    total = sum((F.col(k) for k in kinds), F.lit(0))
+    return wide.select("*", *[C.rnd(C.pct(k, total), 1).alias(f"{k}_pct") for k in kinds])
+
+
+def _lmi_basis(t: DriverTables) -> DataFrame:
+    return t.dim_tract().groupBy("lmi_basis", "lmi_flag").agg(
+        F.count(F.lit(1)).alias("tracts"), F.sum("households").alias("households"))
+
+
+def _market_keys(t: DriverTables) -> DataFrame:
+    b = t.dim_branch().select("uninumbr", "state", "tract_geoid")
+    return b.join(t.dim_tract().select("tract_geoid", "cbsa", "cbsa_title"), "tract_geoid", "left").groupBy(
+        C.market_key("cbsa", "state").alias("market"), C.market_label("cbsa_title", "state").alias("market_name")
+    ).agg(F.count(F.lit(1)).alias("branches"))
+
+
+def _latest_totals(t: DriverTables) -> DataFrame:
+    return relational.only_latest(t.fact_branch_deposits(), t.vintages()).agg(
+        F.max("year").alias("year"), F.count(F.lit(1)).alias("branches"), F.sum("deposits").alias("deposits"))
+
+
+# -- spatial ------------------------------------------------------------------
+def _matches(t: DriverTables) -> DataFrame:
+    return spatial.one_polygon(
+        spatial.point_in_polygon(t.branch_points(), t.tile_polygons(), "uninumbr"), "uninumbr")
+
+
+def _block_of(poly: str) -> F.Column:
+    return F.expr(
+        f"concat(cast(cast(substring({poly}, 1, 3) as int) div 4 as string), '-',"
+        f" cast(cast(substring({poly}, 4, 3) as int) div 4 as string))")
+
+
+def _outline(t: DriverTables) -> DataFrame:
+    return spatial.dissolve(t.tile_polygons(), _block_of("poly_id"))
+
+
+def _block_distance(t: DriverTables) -> DataFrame:
+    """Branches against the outline of the block one degree to their east."""
+    pts = t.branch_points().withColumn("group_id", F.expr(
+        "concat(cast(cast(floor((lon + 94) * 4) as int) div 4 as string), '-',"
+        " cast(cast(floor((lat - 36) * 4) as int) div 4 as string))"))
+    return spatial.miles_to_outline(pts, _outline(t), "uninumbr", "group_id").select(
+        "uninumbr", "group_id", C.rnd("miles_off", 3).alias("miles_off"))
+
+
+def _centroids(t: DriverTables) -> DataFrame:
+    return spatial.centroids(t.tile_polygons()).select(
+        "poly_id", C.rnd("centroid_lon", 6).alias("centroid_lon"), C.rnd("centroid_lat", 6).alias("centroid_lat"),
+        C.rnd("square_miles", 3).alias("square_miles"))
+
+
+def _spacing(wh: Warehouse) -> DataFrame:
+    return catchment.site_spacing(wh.subject_sites).select(
+        "uninumbr", "tier", C.rnd("nearest_miles", 4).alias("nearest_miles"))
+
+
+def _nearest(wh: Warehouse) -> DataFrame:
+    return catchment.nearest_branch(wh).select("tract_geoid", C.rnd("nearest_miles", 4).alias("nearest_miles"))
+
+
+def _radii(wh: Warehouse) -> DataFrame:
+    return wh.tier_radii.select("tier", C.rnd("radius_miles", 4).alias("radius_miles"), "sites")
+
+
+def _county_check(t: DriverTables) -> DataFrame:
+    latest = profile.latest_validity(t.sod())
+    tract = t.dim_branch().select(F.col("uninumbr").alias("UNINUMBR"), "tract_geoid")
+    return profile.county_check(latest.join(tract, "UNINUMBR")).groupBy("validity", "county_agrees").agg(
+        F.count(F.lit(1)).alias("branches"))
+
+
+# -- graph ----------------------------------------------------------------------
+def _weights(t: DriverTables) -> DataFrame:
+    return graph.land_weights(t.tract_overlaps()).select("child", "parent", C.rnd("w", 6).alias("w"))
+
+
+def _apportioned(t: DriverTables) -> DataFrame:
+    return graph.apportion(graph.land_weights(t.tract_overlaps()), t.old_tract_counts()).select(
+        "tract_geoid", C.rnd("households_2019", 4).alias("households_2019"), "growth_basis", "parents",
+        "parents_missing", C.rnd("max_w", 6).alias("max_w"), C.rnd("estimated_share", 6).alias("estimated_share"))
+
+
+def _components(t: DriverTables) -> DataFrame:
+    return graph.connected_components(graph.material_links(graph.land_weights(t.tract_overlaps())))
+
+
+def _tract_growth(t: DriverTables) -> DataFrame:
+    rows = graph.tract_growth(t.dim_tract(), t.tract_overlaps(), t.old_tract_counts())
+    return rows.withColumn("households_2019", C.rnd("households_2019", 4))
+
+
+# -- statistics -------------------------------------------------------------------
+def _global_rank(wh: Warehouse) -> DataFrame:
+    rows = ranking.with_positions(
+        opportunity.scored_tracts(wh.opportunity_index).select("tract_geoid", "opportunity_score"), [],
+        "opportunity_score")
+    return rows.select("tract_geoid", "opportunity_score", ranking.rank_desc().alias("score_rank"))
+
+
+def _size_bands(wh: Warehouse) -> DataFrame:
+    return ranking.bands(wh.dim_tract.filter(F.col("households") > 0), "households", 10, "band").groupBy("band").agg(
+        F.count(F.lit(1)).alias("tracts"), F.min("households").alias("low"), F.max("households").alias("high"))
+
+
+def _compare(sets: Callable[[DataFrame], DataFrame]) -> Callable[[Warehouse], DataFrame]:
+    def build(wh: Warehouse) -> DataFrame:
+        z = opportunity.recovered_z(wh.opportunity_index, wh.ref_index_weights)
+        return opportunity.rank_compare(materialise(opportunity.rescored(z, sets(wh.ref_index_weights))))
+
+    return build
+
+
+def _drivers(wh: Warehouse) -> DataFrame:
+    return opportunity.drivers(_compare(opportunity.leave_one_out_sets)(wh))
+
+
+def _reproduction(wh: Warehouse) -> DataFrame:
+    return opportunity.reproduction_error(wh.opportunity_index, wh.ref_index_weights).select(
+        "scored", (F.col("max_error") <= 1e-3).alias("within_tolerance"))
+
+
+def _spearman(wh: Warehouse) -> DataFrame:
+    rows = wh.dim_tract.select("tract_geoid", "households", "median_hh_income")
+    return opportunity.spearman(rows, "households", "median_hh_income", "tract_geoid").select(
+        C.rnd("spearman", 6).alias("spearman"), "n")
+
+
+# -- gates -------------------------------------------------------------------------
+def _crosswalk(t: DriverTables) -> DataFrame:
+    volume = t.loan_records().groupBy("lei").agg(F.count(F.lit(1)).alias("applications"))
+    return profile.crosswalk(t.sod(), t.vintages(), t.register(), t.lei_lookup(), volume, "00000")
+
+
+def _no_ack(t: DriverTables) -> DataFrame:
+    return t.vintages().select(F.lit("00009").alias("cert"), F.col("year"))
+
+
+def _selection(t: DriverTables) -> DataFrame:
+    sod, years = t.sod(), t.vintages()
+    return profile.selection_funnel(
+        profile.footprint_profile(sod, years, ("00", "01")), profile.acquisition_ratio(sod, years), t.assets(), years,
+        {"primary": 2, "secondary": 1, "total": 3, "low_k": 1, "high_k": 10**15})
+
+
+def operators() -> dict[str, Query]:
+    return {
+        "s17_file_manifest": lambda spark, folder: readers.file_manifest(spark, folder, glob="*.parquet").select(
+            "file", "bytes", "sha256"),
+        "p05_latest_vintage": _src(_latest_totals),
+        "p08_market_keys": _src(_market_keys),
+        "p23_sentinel_profile": _src(_sentinels),
+        "p25_coordinate_validity": _src(_validity_by_year),
+        "p30_lmi_basis": _src(_lmi_basis),
+        "p34_selection_criteria": _src(_selection),
+        "p36_county_check": _src(_county_check),
+        "f04_normalised_address": _src(_addresses),
+        "f16_projected_tracts": _src(_projected),
+        "f18_polygon_centroids": _src(_centroids),
+        "f19_dissolved_outline": _src(_outline),
+        "j17_crosswalk": _src(_crosswalk),
+        "j18_point_in_polygon": _src(_matches),
+        "j20_catchment_pairs": _wh(catchment.membership),
+        "j23_site_spacing": _wh(_spacing),
+        "j24_nearest_branch": _wh(_nearest),
+        "j28_miles_to_outline": _src(_block_distance),
+        "j29_touching_groups": _src(lambda t: spatial.touching_groups(_outline(t))),
+        "a13_branch_counts": _src(lambda t: profile.branch_counts(t.sod(), list(STATES))),
+        "a14_deposit_distribution": _src(lambda t: profile.deposit_distribution(t.sod())),
+        "a16_population_rates": _src(lambda t: profile.population_rates(t.sod())),
+        "a21_staged_lending": _src(lambda t: lending.stage_lending(t.loan_records())),
+        "a22_outcome_profile": _src(lambda t: lending.outcome_profile(t.loan_records())),
+        "a23_purchased_share": _src(lambda t: lending.purchased_share(t.loan_records())),
+        "a24_filter_cost": _src(lambda t: lending.filter_cost(t.loan_records())),
+        "a25_tier_status_crosstab": _src(_crosstab),
+        "a33_spearman": _wh(_spearman),
+        "a40_coverage_summary": _wh(catchment.coverage_summary),
+        "a43_acquisition_ratio": _src(lambda t: profile.acquisition_ratio(t.sod(), t.vintages())),
+        "w09_household_bands": _wh(_size_bands),
+        "w10_global_rank": _wh(_global_rank),
+        "x05_transitions": _src(lambda t: profile.transitions(t.sod(), t.vintages())),
+        "x06_material_movements": _src(lambda t: profile.material_movements(t.sod(), t.vintages(), 5)),
+        "x07_established_split": _src(lambda t: profile.established_split(t.sod(), t.vintages())),
+        "g01_land_weights": _src(_weights),
+        "g02_apportioned_households": _src(_apportioned),
+        "g04_connected_components": _src(_components),
+        "g06_household_growth": _src(_tract_growth),
+        "d01_tier_radii": _wh(_radii),
+        "d02_catchment_bridge": _wh(lambda wh: wh.bridge_branch_catchment),
+        "d03_tie_break_sensitivity": _wh(catchment.tie_break_sensitivity),
+        "d04_uncovered_tracts": _wh(lambda wh: catchment.uncovered_tracts(wh).select(
+            "tract_geoid", "tier", "households", "lmi_flag", "miles_to_nearest_branch")),
+        "d05_tract_competition": _wh(lambda wh: wh.fact_tract_competition),
+        "d05_competition_shape": _wh(lambda wh: catchment.competition_shape(wh.fact_tract_competition)),
+        "d06_county_growth": _wh(lambda wh: wh.fact_county_deposit_growth),
+        "d08_score_reproduction": _wh(_reproduction),
+        "d10_scenario_sensitivity": _wh(_compare(opportunity.weight_sets)),
+        "d11_leave_one_out": _wh(_compare(opportunity.leave_one_out_sets)),
+        "d12_influence": _wh(lambda wh: opportunity.influence(wh.opportunity_index, wh.ref_index_weights)),
+        "d13_drivers": _wh(_drivers),
+        "d14_top_composition": _wh(lambda wh: opportunity.top_composition(wh.opportunity_index)),
+        "d15_site_evaluation": _wh(lambda wh: siting.Selection(wh).evaluation()),
+        "d16_recommended_sites": _wh(lambda wh: siting.Selection(wh).sites()),
+        "d16_constraint_cost": _wh(lambda wh: siting.Selection(wh).constraint_cost()),
+        "d17_corridor_test": _wh(siting.corridor_test),
+        "d18_footprint_profile": _src(lambda t: profile.footprint_profile(t.sod(), t.vintages(), ("00", "01"))),
+        "d19_branch_drift": _src(lambda t: profile.branch_drift(t.sod())),
+        "d20_scale_test": _wh(opportunity.scale_test),
+        "d21_over_index": _wh(siting.over_index),
+        "d22_zero_weight": _wh(_compare(opportunity.zero_weight_sets)),
+        "k05_coverage_sets": _wh(lambda wh: siting.Selection(wh).coverage()),
+    }
+
+
+def gates() -> dict[str, Query]:
+    return {
+        "gate01_scope": _src(lambda t: quality.outside_scope(t.sod(), "STALPBR", STATES[:3])),
+        "gate02_footprint_change": _src(
+            lambda t: quality.footprint_breaches(t.sod(), t.vintages(), _no_ack(t), 0.02, 3).withColumn(
+                "change", C.rnd("change", 6))),
+        "gate03_county_codes": _src(lambda t: quality.malformed_fips(t.sod(), "STCNTYBR")),
+        "gate04_outcome_codes": _src(
+            lambda t: quality.unmapped_codes(t.loan_records(), "action_taken", ("1", "2", "3", "4", "5"))),
+        "gate05_subject_resolution": _src(lambda t: quality.subject_resolution(_crosswalk(t))),
+        "gate06_identifier_lengths": _wh(lambda wh: quality.id_lengths(wh, ID_LENGTHS).drop("type")),
+        "gate07_references": _wh(quality.referential_checks),
+        "gate07_orphan_tracts": _wh(lambda wh: quality.orphan_tracts(
+            wh.fact_tract_lending, wh.dim_tract.filter(F.col("tract_status") != "suppressed"))),
+        "gate09_row_counts": _wh(lambda wh: quality.row_counts(wh, (
+            "dim_year", "dim_institution", "dim_branch", "dim_tract", "fact_branch_deposits", "fact_tract_lending",
+            "bridge_branch_catchment", "fact_tract_competition", "fact_county_deposit_growth"))),
+        "gate10_single_primary": _wh(lambda wh: quality.more_than_one_primary(wh.bridge_branch_catchment)),
+        "gate11_radius_bounds": _wh(lambda wh: catchment.radius_violations(wh.tier_radii, (1.0, 15.0)).select(
+            "tier", "sites", "reason")),
+        "gate13_boolean_values": _wh(lambda wh: quality.not_boolean(
+            wh.dim_branch.select("is_main_office", "county_agrees"), ["is_main_office", "county_agrees"])),
+        "gate14_unique_branch_year": _wh(
+            lambda wh: relational.duplicate_keys(wh.fact_branch_deposits, ["uninumbr", "year"])),
+        "gate17_reconciliation_failures": _wh(
+            lambda wh: quality.reconciliation_failures(deposits.q14_reconciliation(wh))),
+    }
+
+
+# -- measures ----------------------------------------------------------------------
+def _rounded(df: DataFrame, places: int = 4) -> DataFrame:
+    return df.select(*[
+        C.rnd(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes
+    ])
+
+
+def _equity(wh: Warehouse) -> DataFrame:
+    chosen = siting.Selection(wh)
+    return _rounded(measures.equity_measures(siting.q13_lmi_coverage(wh, chosen.coverage()), chosen.sites()))
+
+
+def _whatif(wh: Warehouse) -> DataFrame:
+    return measures.weighted_scores(
+        wh.opportunity_index, wh.ref_index_weights, {"unmet_mortgage_demand": 0.05}
+    ).withColumn("weighted_score", C.rnd("weighted_score", 4))
+
+
+def _tract_measures(wh: Warehouse) -> DataFrame:
+    rows = measures.tracts_in_context(wh)
+    return _rounded(measures.tract_measures(rows, rows, ["tier"]))
+
+
+def measured() -> dict[str, Query]:
+    facts = measures.deposit_facts
+    return {
+        "m01_deposit_measures": _wh(lambda wh: _rounded(measures.deposit_measures(facts(wh), ["state", "year"]))),
+        "m05_market_share_of_subject": _wh(lambda wh: _rounded(
+            measures.deposit_measures(facts(wh), ["year"], F.col("is_subject_bank")))),
+        "m07_deposit_trend": _wh(lambda wh: _rounded(measures.deposit_trend(facts(wh), ["state"]), 6)),
+        "m09_deposit_cagr": _wh(lambda wh: _rounded(measures.deposit_cagr(facts(wh), ["state"]))),
+        "m10_performance_measures": _wh(lambda wh: _rounded(
+            measures.performance_measures(performance.q08_performance_index(wh)))),
+        "m13_equity_measures": _wh(_equity),
+        "m20_tract_measures": _wh(_tract_measures),
+        "m26_capture_measures": _wh(lambda wh: _rounded(
+            measures.capture_measures(lending.q10_capture_rate(wh), ["tier"]))),
+        "m28_published_score": _wh(lambda wh: _rounded(measures.published_score(wh.opportunity_index, ["tier"]), 3)),
+        "m30_weighted_score": _wh(_whatif),
+        "m31_top_measures": _wh(lambda wh: _rounded(measures.top_measures(_whatif(wh)))),
+    }
+
+
+def exported() -> dict[str, Query]:
+    return {
+        "e01_branch_model": _wh(exports.branch_model),
+        "e02_tract_model": _wh(exports.tract_model),
+        "e03_year_model": _wh(exports.year_model),
+        "e06_component_scores": _wh(lambda wh: exports.component_scores(wh)),
+        "e07_site_model": _wh(lambda wh: exports.site_model(wh, siting.Selection(wh).sites())),
+    }
+
+
 def queries() -> dict[str, Query]:
-    return {**business()}
+    return {**business(), **operators(), **gates(), **measured(), **exported()}

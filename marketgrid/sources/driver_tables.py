@@ -234,6 +234,49 @@ class DriverTables:
             "cast(case when (q + p) % 11 = 0 then -666666666 else 300 + (q * 31 + p * 173) % 2000 end as double) as h",
         ).groupBy("parent").agg(F.expr("max(h) as households_old"))
 
+    def tile_polygons(self) -> DataFrame:
+        """Quarter-degree squares around supplier positions, every other one with a hole.
+
+        Vertices run counter-clockwise outside and clockwise in the hole; rings
+        are not closed.
+        """
+        tiles = self.raw("supplier").selectExpr(
+            f"cast(floor(({_lon('s_suppkey')} + 93) * 4) as int) as i",
+            f"cast(floor(({_lat('s_suppkey')} - 36) * 4) as int) as j",
+        ).distinct()
+        outer = "array(array(0D, 0D), array(4D, 0D), array(4D, 4D), array(0D, 4D))"
+        hole = "array(array(1D, 1D), array(1D, 3D), array(3D, 3D), array(3D, 1D))"
+        rings = tiles.selectExpr(
+            "i", "j", f"posexplode(case when (i + j) % 2 = 0 then array({outer}, {hole}) else array({outer}) end)"
+            " as (ring, pts)"
+        )
+        return rings.selectExpr("i", "j", "ring + 1 as ring_id", "posexplode(pts) as (seq, pt)").selectExpr(
+            "concat(lpad(cast(i as string), 3, '0'), lpad(cast(j as string), 3, '0')) as poly_id", "ring_id", "seq",
+            "-93 + (i + pt[0] / 4) / 4 as lon", "36 + (j + pt[1] / 4) / 4 as lat",
+        )
+
+    def branch_points(self) -> DataFrame:
+        """Located branches as degrees."""
+        return self.located_keys().selectExpr(f"{_ID} as uninumbr", f"{_lon('c')} as lon", f"{_lat('c')} as lat")
+
+    def register(self) -> DataFrame:
+        """Institution register: certificate and register number; some lack one or both."""
+        return self.spark.range(CERTS).filter("(id = 0 or id >= 6) and id % 13 <> 0 or id = 0").selectExpr(
+            f"{_cert('id')} as CERT",
+            "case when id % 11 = 7 then '' else lpad(cast(id + 1000 as string), 7, '0') end as fed_rssd",
+        )
+
+    def lei_lookup(self) -> DataFrame:
+        """(rssd, lei) pairs for the lenders that have a supplier row."""
+        return self.raw("supplier").filter("s_suppkey % 2 = 0").selectExpr(
+            "lpad(cast(s_suppkey + 1000 as string), 7, '0') as rssd", "lpad(cast(s_suppkey as string), 20, '0') as lei"
+        )
+
+    def assets(self) -> DataFrame:
+        """Assets per certificate in thousands, from the deposits filed under it."""
+        return self.fact_branch_deposits().groupBy(F.col("cert").alias("CERT")).agg(
+            F.expr("sum(deposits) div 1000 as asset_k"))
+
     def state_totals(self) -> DataFrame:
         """Published totals: the same aggregate with one state-year gone, one altered."""
         per_state = self._branch_year().join(self.branch_keys().select("c", "state"), "c").groupBy("year", "state").agg(
