@@ -168,11 +168,15 @@ def bands(df: DataFrame, value: str, n: int, name: str) -> DataFrame:
 
     Band numbers start at 0; the lowest edge belongs to the first band.
     """
-    edges = quantiles(df, [], value, {f"q{i}": i / n for i in range(n + 1)})
-    cut = edges.select(F.array_distinct(F.array(*[F.col(f"q{i}") for i in range(n + 1)])).alias("e")).scalar()
+    names = [f"q{i}" for i in range(n + 1)]
+    edges = quantiles(df, [], value, {q: i / n for i, q in enumerate(names)})
+    cut = edges.select(F.struct(*names).alias("e")).scalar()
     v = F.col(value).cast("double")
-    # edges strictly below v, counted without the lowest edge
-    below = F.size(F.filter(F.slice(cut, 2, n + 1), lambda e: e < v))
+    edge = [cut.getField(q) for q in names]
+    # distinct edges strictly below v, the lowest one not counted
+    below = sum(
+        (F.when((hi > lo) & (hi < v), 1).otherwise(0) for lo, hi in zip(edge, edge[1:])), F.lit(0)
+    )
     return df.withColumn(name, F.when(v.isNotNull(), below.cast("long")))
 
 

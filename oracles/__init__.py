@@ -2,6 +2,6 @@
 
 
 def all_oracles() -> dict[str, str]:
-    from oracles import business
+    from oracles import business, operators
 
-    return dict(business.ORACLES)
+    return {**business.ORACLES, **operators.O}
