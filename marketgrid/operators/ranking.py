@@ -105,13 +105,15 @@ def quantiles(
     return out.select(*cols)
 
 
-def medians(df: DataFrame, keys: Sequence[str], values: Sequence[str], suffix: str = "") -> DataFrame:
-    """Median of several columns per group, joined on the group."""
-    out = None
-    for v in values:
-        one = quantiles(df, keys, v, {f"{v}{suffix}": 0.5})
-        out = one if out is None else out.join(one, list(keys), "full")
-    return out
+def medians(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Medians of several columns per group, ranked together in one long table."""
+    keys = list(keys)
+    wide = df.select(*keys, *[F.col(v).cast("double").alias(v) for v in values])
+    long = wide.unpivot(keys, list(values), "_measure", "_value")
+    mid = quantiles(long, [*keys, "_measure"], "_value", {"_mid": 0.5})
+    return mid.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("_measure") == v, F.col("_mid"))).alias(v) for v in values
+    ])
 
 
 def attach(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:

@@ -208,7 +208,7 @@ def competition_shape(competition_rows: DataFrame, n: int = 10) -> DataFrame:
     sized = competition_rows.withColumn(
         "sized_households", F.when(F.col("tract_households") != 0, F.col("tract_households"))
     )
-    banded = ranking.bands(sized, "sized_households", n, "hh_band").filter(F.col("hh_band").isNotNull())
+    banded = materialise(ranking.bands(sized, "sized_households", n, "hh_band").filter(F.col("hh_band").isNotNull()))
     measures = [
         "tract_households", "catchment_households", "competitor_branches",
         "competitor_per_10k_tract_hh_unadjusted", "competitor_per_10k_catchment_hh",
