@@ -85,7 +85,13 @@ def quantiles(
     df: DataFrame, keys: Sequence[str], value: str, at: Mapping[str, float], count: str | None = None
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one row per group."""
-    pos = positions(df, keys, value)
+    return quantiles_of(positions(df, keys, value), keys, value, at, count)
+
+
+def quantiles_of(
+    pos: DataFrame, keys: Sequence[str], value: str, at: Mapping[str, float], count: str | None = None
+) -> DataFrame:
+    """Quantiles from the output of `positions`, when that is needed anyway."""
     v = F.col(value).cast("double")
     aggs = []
     for name, p in at.items():

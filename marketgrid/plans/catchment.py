@@ -28,7 +28,10 @@ def subject_sites(wh) -> DataFrame:
 
 
 def tract_points(wh) -> DataFrame:
-    return with_xy(wh.dim_tract.filter(F.col("centroid_lat").isNotNull()), "centroid_lon", "centroid_lat", "px", "py")
+    """Tracts with a centroid at their map position."""
+    return with_xy(
+        wh.dim_tract.filter(F.col("centroid_lat").isNotNull()), "centroid_lon", "centroid_lat", "px", "py"
+    ).select("tract_geoid", "tier", "households", "lmi_flag", "px", "py")
 
 
 def site_spacing(sites: DataFrame) -> DataFrame:
@@ -54,7 +57,7 @@ def radius_violations(radii: DataFrame, bounds: tuple[float, float] = RADIUS_BOU
 def membership(wh) -> DataFrame:
     """Every (tract, subject branch) pair within the branch's tier radius."""
     circles = wh.subject_sites.select(F.col("px").alias("cx0"), F.col("py").alias("cy0"), "tier", "uninumbr")
-    points = tract_points(wh).select("tract_geoid", "px", "py")
+    points = wh.tract_points.select("tract_geoid", "px", "py")
     return spatial.radius_join(circles, points, wh.tier_radii).select(
         "tract_geoid", "uninumbr", F.col("tier").alias("branch_tier"), C.rnd("miles", 3).alias("distance_miles")
     )
@@ -132,7 +135,7 @@ def tie_break_sensitivity(wh) -> DataFrame:
 def nearest_branch(wh) -> DataFrame:
     """Miles from every tract to the nearest subject branch."""
     return spatial.nearest_distance(
-        tract_points(wh).select("tract_geoid", "px", "py"), wh.subject_sites, ["tract_geoid"]
+        wh.tract_points.select("tract_geoid", "px", "py"), wh.subject_sites, ["tract_geoid"]
     )
 
 
@@ -178,7 +181,7 @@ def competition(wh) -> DataFrame:
         F.when(subject, one).otherwise(none).alias("subject_branches"),
         none.alias("catchment_tracts"), F.lit(0.0).alias("catchment_households"),
     )
-    tracts = tract_points(wh).select("tract_geoid", "tier", "households", "px", "py")
+    tracts = wh.tract_points.select("tract_geoid", "tier", "households", "px", "py")
     homes = tracts.select(
         "px", "py", none.alias("competitor_branches"), none.alias("subject_branches"), one.alias("catchment_tracts"),
         F.coalesce("households", F.lit(0.0)).alias("catchment_households"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marketgrid.functions import columns as C
 from marketgrid.operators import ranking, relational
+from marketgrid.session import materialise
 
 
 def located_branches(wh, *extra: str) -> DataFrame:
@@ -126,11 +127,10 @@ def latest_growth(wh) -> DataFrame:
 
 def q04_rank_in_market(wh) -> DataFrame:
     """Subject branches against the growth of all branches of their market."""
-    rows = latest_growth(wh)
-    mid = ranking.quantiles(rows, ["market"], "growth", {"mid": 0.5})
-    own = ranking.attach(
-        rows.filter(F.col("is_subject_bank")), ranking.positions(rows, ["market"], "growth"), ["market", "growth"]
-    ).join(mid, "market")
+    rows = materialise(latest_growth(wh))
+    pos = ranking.positions(rows, ["market"], "growth")
+    mid = ranking.quantiles_of(pos, ["market"], "growth", {"mid": 0.5})
+    own = ranking.attach(rows.filter(F.col("is_subject_bank")), pos, ["market", "growth"]).join(mid, "market")
     return own.select(
         "market", "market_name", F.col("n_group").alias("market_branches"), "uninumbr", "cert", "is_subject_bank",
         "is_main_office", C.rnd("growth", 3).alias("cagr_pct"), C.rnd("mid", 3).alias("market_median_cagr"),
@@ -164,13 +164,14 @@ def q05_attribution(wh) -> DataFrame:
 
 def q06_percentile_in_county(wh) -> DataFrame:
     branch = located_branches(wh, "is_subject_bank", "is_main_office")
-    rows = relational.only_latest(wh.fact_branch_deposits, wh.vintages).select("uninumbr", "cert", "deposits").join(
-        branch, "uninumbr"
+    rows = materialise(
+        relational.only_latest(wh.fact_branch_deposits, wh.vintages).select("uninumbr", "cert", "deposits")
+        .join(branch, "uninumbr")
     )
-    mid = ranking.quantiles(rows, ["county_fips"], "deposits", {"county_median_deposits": 0.5})
+    pos = ranking.positions(rows, ["county_fips"], "deposits")
+    mid = ranking.quantiles_of(pos, ["county_fips"], "deposits", {"county_median_deposits": 0.5})
     own = ranking.attach(
-        rows.filter(F.col("is_subject_bank")), ranking.positions(rows, ["county_fips"], "deposits"),
-        ["county_fips", "deposits"],
+        rows.filter(F.col("is_subject_bank")), pos, ["county_fips", "deposits"]
     ).join(mid, "county_fips")
     return own.select(
         "uninumbr", "cert", "state", "county_fips", "is_main_office", F.col("n_group").alias("county_branches"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketgrid.functions import columns as C
 from marketgrid.operators import ranking
+from marketgrid.session import materialise
 
 BOOKING_MULTIPLE = 20
 BASES = ("total", "retail", "excl_hq")
@@ -44,7 +45,9 @@ def county_growth(
     grouped aggregate, so the records are shuffled once.
     """
     both = records.filter((F.col("YEAR") == year_from) | (F.col("YEAR") == year_to))
-    flagged = flag_booking(both, year_to, multiple)
+    flagged = flag_booking(
+        materialise(both.select("county_fips", "YEAR", "DEPSUMBR", "BKMO")), year_to, multiple
+    )
     booking = F.col("is_booking_centre")
     head = F.coalesce(C.number("BKMO") == 1, F.lit(False))
     keep = {"total": F.lit(True), "retail": ~booking, "excl_hq": ~booking & ~head}

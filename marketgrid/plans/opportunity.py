@@ -6,12 +6,14 @@ from functools import reduce
 from operator import add
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketgrid.functions import columns as C
 from marketgrid.operators import ranking, relational
 from marketgrid.plans.lending import tract_lending
 from marketgrid.plans.warehouse import COMPONENTS
+from marketgrid.session import materialise
 
 TOP_N = 50
 # component column -> column of the index table that carries its raw value
@@ -74,7 +76,7 @@ def weight_row(weights: DataFrame, scenario: str) -> F.Column:
 
 def q12_opportunity_index(wh, scenario: str = "primary") -> DataFrame:
     """Weighted z-score per tract; no score unless all five components are known."""
-    scored = with_z(raw_components(wh), COMPONENTS)
+    scored = with_z(materialise(raw_components(wh)), COMPONENTS)
     w = weight_row(wh.ref_index_weights, scenario)
     parts = {c: w.getField(c).getField("w") * w.getField(c).getField("sign") * F.col(f"z_{c}") for c in COMPONENTS}
     z = [f"z_{c}" for c in COMPONENTS]
@@ -202,8 +204,6 @@ def rank_compare(rows: DataFrame, key: str = "scenario", k: int = TOP_N, far: in
 
 def _top(rows: DataFrame, key: str, rank: str, k: int) -> DataFrame:
     """At most k rows per key by (rank, tract id); ranks above k drop out early."""
-    from pyspark.sql import Window as W
-
     # rows with rank <= k: k rows plus ties of the last rank
     w = W.partitionBy(key).orderBy(rank, "tract_geoid")
     return rows.filter(F.col(rank) <= k).withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= k).drop("_i")
@@ -281,7 +281,7 @@ def scale_test(wh) -> DataFrame:
         "tract_geoid", C.market_key("cbsa", C.state_of("county_fips")).alias("market")
     )
     values = [c for c in COMPONENTS if c != "household_growth"]
-    wide = raw_components(wh).select("tract_geoid", "households", *[F.col(c).cast("double").alias(c) for c in values])
+    wide = materialise(raw_components(wh)).select("tract_geoid", "households", *[F.col(c).cast("double").alias(c) for c in values])
     long = wide.join(tract, "tract_geoid").unpivot(
         ["tract_geoid", "market", "households"], values, "component", "value")
     pooled = spearman(long, "households", "value", "tract_geoid", ["component"]).select(

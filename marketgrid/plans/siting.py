@@ -62,11 +62,8 @@ def separated_pairs(cand: DataFrame, depth: int = SEARCH_DEPTH) -> DataFrame:
 
 def candidate_reach(wh, cand: DataFrame) -> DataFrame:
     """New tracts each candidate would cover, at the candidate's own tier radius."""
-    points = with_xy(
-        universe(wh).join(current_tracts(wh), "tract_geoid", "left_anti")
-        .select("tract_geoid", "households", "lmi_flag", "centroid_lon", "centroid_lat"),
-        "centroid_lon", "centroid_lat", "px", "py",
-    ).drop("centroid_lon", "centroid_lat")
+    rated = wh.tract_points.filter(F.col("lmi_flag").isNotNull() & F.col("households").isNotNull())
+    points = rated.join(current_tracts(wh), "tract_geoid", "left_anti").drop("tier")
     circles = cand.select("i", "tier", F.col("x").alias("cx0"), F.col("y").alias("cy0"))
     return spatial.radius_join(circles, points, published_radii(wh)).select(
         "i", "tract_geoid", "households", "lmi_flag"

@@ -74,6 +74,7 @@ class Warehouse:
 
         t = self._tables
         t["subject_sites"] = lambda: materialise(catchment.subject_sites(self))
+        t["tract_points"] = lambda: materialise(catchment.tract_points(self))
         t["tier_radii"] = lambda: materialise(catchment.tier_radii(self.subject_sites))
         t["opportunity_index"] = lambda: materialise(opportunity.q12_opportunity_index(self))
         if not stored:
