@@ -143,7 +143,7 @@ def ordinal(df: DataFrame, keys: Sequence[str], value: str, unique_id: str, name
     """
     keys = list(keys)
     marked = df.withColumn("_digest", F.md5(F.col(unique_id).cast("string"))).withColumn(
-        "_slot", F.substring("_digest", 1, 2)
+        "_slot", F.substring("_digest", 1, 4)
     )
     slots = marked.filter(F.col(value).isNotNull()).groupBy(*keys, value, "_slot").agg(
         F.count(F.lit(1)).alias("_slot_n")

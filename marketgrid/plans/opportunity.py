@@ -203,8 +203,11 @@ def rank_compare(rows: DataFrame, key: str = "scenario", k: int = TOP_N, far: in
 
 
 def _top(rows: DataFrame, key: str, rank: str, k: int) -> DataFrame:
-    """At most k rows per key by (rank, tract id); ranks above k drop out early."""
-    # rows with rank <= k: k rows plus ties of the last rank
+    """At most k rows per key by (rank, tract id).
+
+    A row_number filter of this size is planned with a group limit before the
+    exchange, so each task sends k rows per key, however many share a rank.
+    """
     w = W.partitionBy(key).orderBy(rank, "tract_geoid")
     return rows.filter(F.col(rank) <= k).withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= k).drop("_i")
 
