@@ -11,7 +11,7 @@ from marketgrid.functions import columns as C
 from marketgrid.functions.geo import with_xy
 from marketgrid.operators import graph, quality, ranking, relational, spatial
 from marketgrid.plans import (
-    catchment, deposits, exports, lending, measures, opportunity, performance, profile, siting,
+    catchment, deposits, exports, lending, measures, opportunity, performance, profile, siting, staging,
 )
 from marketgrid.plans.warehouse import Warehouse
 from marketgrid.schemas import ID_LENGTHS
@@ -84,6 +84,11 @@ def _lmi_basis(t: DriverTables) -> DataFrame:
         F.count(F.lit(1)).alias("tracts"), F.sum("households").alias("households"))
 
 
+def _income_basis(t: DriverTables) -> DataFrame:
+    rows = staging.income_basis(t.dim_tract(), t.loan_records(), t.area_income())
+    return rows.withColumn("tract_to_area_income_pct", C.rnd("tract_to_area_income_pct", 4))
+
+
 def _market_keys(t: DriverTables) -> DataFrame:
     b = t.dim_branch().select("uninumbr", "state", "tract_geoid")
     return b.join(t.dim_tract().select("tract_geoid", "cbsa", "cbsa_title"), "tract_geoid", "left").groupBy(
@@ -229,6 +234,8 @@ def operators() -> dict[str, Query]:
         "p23_sentinel_profile": _src(_sentinels),
         "p25_coordinate_validity": _src(_validity_by_year),
         "p30_lmi_basis": _src(_lmi_basis),
+        "p31_income_basis": _src(_income_basis),
+        "j19_staged_branches": _src(lambda t: staging.stage_branches(t.sod(), t.tile_polygons())),
         "p34_selection_criteria": _src(_selection),
         "p36_county_check": _src(_county_check),
         "f04_normalised_address": _src(_addresses),

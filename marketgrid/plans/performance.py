@@ -38,7 +38,9 @@ def catchments(wh) -> DataFrame:
         C.sum_where(ok, value).alias("catchment_potential"),
         C.count_where(F.col("lmi_flag")).alias("lmi_tracts"),
         C.sum_where(ok & F.col("lmi_flag"), "households").alias("lmi_households"),
-        C.rnd(F.avg("distance_miles"), 2).alias("mean_distance_miles"),
+        # distances have three decimals: whole thousandths give the same mean in any order
+        C.rnd(F.sum(C.rnd(F.col("distance_miles") * 1000).cast("long")) / F.count("distance_miles") / 1000, 2)
+        .alias("mean_distance_miles"),
         C.rnd(F.max("distance_miles"), 2).alias("max_distance_miles"),
     )
 

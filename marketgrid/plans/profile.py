@@ -212,7 +212,7 @@ def crosswalk(sod: DataFrame, vintages: DataFrame, institutions: DataFrame, lei_
     return rows.withColumn("match_quality", quality).select(
         "cert", "name", "current_branches", "fed_rssd",
         F.when(F.col("match_quality") == "exact_rssd", F.col("lei")).otherwise("").alias("lei"), "match_quality",
-        F.when(F.col("match_quality") == "exact_rssd", "fed_rssd = id2017").otherwise("").alias("match_method"),
+        F.when(F.col("match_quality") == "exact_rssd", "fed_rssd == institutionId2017").otherwise("").alias("match_method"),
         F.when(F.col("match_quality") == "exact_rssd", F.coalesce("applications", F.lit(0))).otherwise(F.lit(0))
         .alias("applications"),
         (F.col("cert") == subject_cert).alias("is_subject_bank"),

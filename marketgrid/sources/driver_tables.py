@@ -122,8 +122,17 @@ class DriverTables:
             "l_returnflag as loan_purpose", "cast(l_linenumber as string) as action_taken",
             "case when l_suppkey % 19 = 0 then 'Exempt'"
             " else cast(cast(round(l_extendedprice * 100) as bigint) as string) end as loan_amount",
+            # every third tract reports no ratio at all
+            "case when cast(tract_geoid as bigint) % 3 <> 0 then cast(40 + (l_suppkey * 7 + l_linenumber) % 90 as string)"
+            " else 'NA' end as tract_to_msa_income_percentage",
         )
 
+    def area_income(self) -> DataFrame:
+        """Family income per area, the mean of its tracts; small areas are suppressed."""
+        return self.dim_tract().filter("cbsa is not null").groupBy("cbsa").agg(
+            F.expr("case when cbsa % 7 = 0 then -666666666D else round(avg(median_family_income)) end"
+                   " as area_family_income"))
+
     # -- dimensions -----------------------------------------------------------
     def dim_branch(self) -> DataFrame:
         span = self._branch_year().groupBy(F.expr("c as sc")).agg(
@@ -183,7 +192,7 @@ class DriverTables:
             "lpad(cast(id + 1000 as string), 7, '0') as fed_rssd",
             "case when id % 2 = 0 then lpad(cast(id as string), 20, '0') end as lei",
             "case when id % 2 = 0 then 'exact_rssd' else 'no_lei_for_rssd' end as match_quality",
-            "case when id % 2 = 0 then 'fed_rssd = id2017' else '' end as match_method",
+            "case when id % 2 = 0 then 'fed_rssd == institutionId2017' else '' end as match_method",
             "id = 0 as is_subject_bank", "date'2002-01-01' as attribute_as_of_date",
         )
 

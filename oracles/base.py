@@ -128,7 +128,7 @@ SELECT {CERT.format(s='i')} AS cert, 'Bank ' || {CERT.format(s='i')} AS institut
   lpad(CAST(i + 1000 AS VARCHAR), 7, '0') AS fed_rssd,
   CASE WHEN i % 2 = 0 THEN lpad(CAST(i AS VARCHAR), 20, '0') END AS lei,
   CASE WHEN i % 2 = 0 THEN 'exact_rssd' ELSE 'no_lei_for_rssd' END AS match_quality,
-  CASE WHEN i % 2 = 0 THEN 'fed_rssd = id2017' ELSE '' END AS match_method, i = 0 AS is_subject_bank,
+  CASE WHEN i % 2 = 0 THEN 'fed_rssd == institutionId2017' ELSE '' END AS match_method, i = 0 AS is_subject_bank,
   DATE '2002-01-01' AS attribute_as_of_date
 FROM (SELECT unnest(range(40)) AS i) WHERE i = 0 OR i >= 6 """)
 
@@ -142,7 +142,8 @@ WHERE tract_geoid IS NOT NULL GROUP BY 1, 2, 3, 4 """, "bk")
 cte("loans", """
 SELECT tract_geoid AS census_tract, lpad(CAST(l_suppkey AS VARCHAR), 20, '0') AS lei, l_returnflag AS loan_purpose,
   CAST(l_linenumber AS VARCHAR) AS action_taken,
-  CASE WHEN l_suppkey % 19 = 0 THEN 'Exempt' ELSE CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR) END AS loan_amount
+  CASE WHEN l_suppkey % 19 = 0 THEN 'Exempt' ELSE CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR) END AS loan_amount,
+  CASE WHEN CAST(tract_geoid AS BIGINT) % 3 <> 0 THEN CAST(40 + (l_suppkey * 7 + l_linenumber) % 90 AS VARCHAR) ELSE 'NA' END AS tract_to_msa_income_percentage
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN bk ON bk.c = o_custkey """, "bk")
 
 cte("sod", f"""

@@ -75,7 +75,7 @@ SELECT p.uninumbr, count(*) AS tracts, count(*) FILTER (WHERE tract_status = 'ok
   sum(owner_occupied_units) FILTER (WHERE tract_status = 'ok') AS owner_occupied,
   sum(households * median_family_income) FILTER (WHERE tract_status = 'ok') AS catchment_potential,
   count(*) FILTER (WHERE lmi_flag) AS lmi_tracts, sum(households) FILTER (WHERE tract_status = 'ok' AND lmi_flag) AS lmi_households,
-  round(avg(distance_miles), 2) AS mean_distance_miles, round(max(distance_miles), 2) AS max_distance_miles
+  round(CAST(sum(CAST(round(distance_miles * 1000) AS BIGINT)) AS BIGINT)::DOUBLE / count(*) / 1000, 2) AS mean_distance_miles, round(max(distance_miles), 2) AS max_distance_miles
 FROM bridge p JOIN tr USING (tract_geoid) WHERE is_primary GROUP BY 1 """, "bridge", "tr")
 ORACLES["q07_catchment_demographics"] = compose("""
 SELECT c.uninumbr, city, state, is_main_office, drift_kind, tracts, tracts_measured, tracts_suppressed, households, owner_occupied,

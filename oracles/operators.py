@@ -185,12 +185,27 @@ SELECT {CERT.format(s='i')} AS cert, CASE WHEN i % 11 = 7 THEN '' ELSE lpad(CAST
 FROM (SELECT unnest(range(40)) AS i) WHERE i = 0 OR (i >= 6 AND i % 13 <> 0) """)
 cte("xw", """
 SELECT c.cert, c.name, c.current_branches, r.fed_rssd, CASE WHEN r.cert IS NULL THEN 'not_in_fdic' WHEN r.fed_rssd = '' THEN 'no_fed_rssd' WHEN l.lei IS NULL THEN 'no_lei_for_rssd' ELSE 'exact_rssd' END AS match_quality,
-  coalesce(l.lei, '') AS lei, CASE WHEN l.lei IS NULL THEN '' ELSE 'fed_rssd = id2017' END AS match_method,
+  coalesce(l.lei, '') AS lei, CASE WHEN l.lei IS NULL THEN '' ELSE 'fed_rssd == institutionId2017' END AS match_method,
   CASE WHEN l.lei IS NULL THEN 0 ELSE (SELECT count(*) FROM loans WHERE loans.lei = l.lei) END AS applications, c.cert = '00000' AS is_subject_bank
 FROM (SELECT CERT AS cert, arg_max(NAMEFULL, YEAR) AS name, count(DISTINCT UNINUMBR) FILTER (WHERE YEAR = (SELECT y FROM newest)) AS current_branches FROM sod GROUP BY 1) c
 LEFT JOIN register r ON r.cert = c.cert LEFT JOIN lookup l ON l.rssd = r.fed_rssd """, "sod", "newest", "register", "lookup", "loans")
 O["j17_crosswalk"] = compose("SELECT * FROM xw", "xw")
 
+O["p31_income_basis"] = compose("""
+SELECT tract_geoid, round(coalesce(r, own), 4) AS tract_to_area_income_pct, CASE WHEN r IS NOT NULL THEN 'ffiec_ratio' WHEN own IS NOT NULL THEN 'acs_fallback' ELSE '' END AS lmi_basis,
+  coalesce(r, own) < 80 AS lmi_flag
+FROM (SELECT tract_geoid, r, 100.0 * median_family_income / nullif(ai, 0) AS own FROM tr
+  LEFT JOIN (SELECT census_tract AS tract_geoid, median(TRY_CAST(tract_to_msa_income_percentage AS DOUBLE)) AS r FROM loans GROUP BY 1) USING (tract_geoid)
+  LEFT JOIN (SELECT cbsa, CASE WHEN CAST(cbsa AS INTEGER) % 7 <> 0 THEN round(avg(median_family_income)) END AS ai FROM tr WHERE cbsa IS NOT NULL GROUP BY 1) USING (cbsa))""", "tr", "loans")
+O["j19_staged_branches"] = compose(f"""
+SELECT l.UNINUMBR AS uninumbr, l.CERT AS cert, CASE WHEN vv = 'ok' THEN p.poly_id END AS tract_geoid, vv AS validity, CASE WHEN vv = 'ok' THEN STCNTYBR END AS sod_county,
+  CASE WHEN vv = 'ok' THEN substr(p.poly_id, 1, 5) END AS geo_county, CASE WHEN vv = 'ok' THEN STCNTYBR = substr(p.poly_id, 1, 5) END AS county_agrees,
+  first_year, last_year, position_drift_miles, drift_kind, address_changed, invalid_vintages
+FROM (SELECT s.*, {validity('SIMS_LATITUDE', 'SIMS_LONGITUDE')} AS vv FROM sod s WHERE s.YEAR = (SELECT max(YEAR) FROM sod t WHERE t.UNINUMBR = s.UNINUMBR)) l
+JOIN ({O['d19_branch_drift']}) d ON d.UNINUMBR = l.UNINUMBR
+LEFT JOIN tileid p ON floor((SIMS_LONGITUDE + 93) * 4) = p.i AND floor((SIMS_LATITUDE - 36) * 4) = p.j
+  AND NOT (holed AND (SIMS_LONGITUDE + 93) * 4 - p.i >= 0.25 AND (SIMS_LONGITUDE + 93) * 4 - p.i < 0.75 AND (SIMS_LATITUDE - 36) * 4 - p.j >= 0.25 AND (SIMS_LATITUDE - 36) * 4 - p.j < 0.75)""", "sod", "tileid")
+
 # -- lending staging ---------------------------------------------------------------------
 CLASS = "CASE WHEN action_taken = '1' THEN 'origination' WHEN action_taken IN ('2','3','4','5') THEN 'application' WHEN action_taken = '6' THEN 'purchased' WHEN action_taken IN ('7','8') THEN 'preapproval' ELSE 'unmapped' END"
 MEANING = ("CASE action_taken WHEN '1' THEN 'Loan originated' WHEN '2' THEN 'Application approved but not accepted' WHEN '3' THEN 'Application denied' WHEN '4' THEN 'Application withdrawn by applicant'"
