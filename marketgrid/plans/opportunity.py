@@ -75,6 +75,10 @@ def weight_row(weights: DataFrame, scenario: str) -> F.Column:
 
 
 def q12_opportunity_index(wh, scenario: str = "primary") -> DataFrame:
+    return index_rows(wh, scenario).orderBy(F.desc_nulls_last("opportunity_score"))
+
+
+def index_rows(wh, scenario: str = "primary") -> DataFrame:
     """Weighted z-score per tract; no score unless all five components are known."""
     scored = with_z(materialise(raw_components(wh)), COMPONENTS)
     w = weight_row(wh.ref_index_weights, scenario)
@@ -94,7 +98,7 @@ def q12_opportunity_index(wh, scenario: str = "primary") -> DataFrame:
         F.col("lmi_flag").isNull().alias("lmi_undetermined"),
         (F.col("excluded_deposit_share") > 0.25).alias("county_growth_heavily_adjusted"),
         "retail_basis_status",
-    ).orderBy(F.desc_nulls_last("opportunity_score"))
+    )
 
 
 # -- sensitivity --------------------------------------------------------------

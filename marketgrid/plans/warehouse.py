@@ -76,7 +76,7 @@ class Warehouse:
         t["subject_sites"] = lambda: materialise(catchment.subject_sites(self))
         t["tract_points"] = lambda: materialise(catchment.tract_points(self))
         t["tier_radii"] = lambda: materialise(catchment.tier_radii(self.subject_sites))
-        t["opportunity_index"] = lambda: materialise(opportunity.q12_opportunity_index(self))
+        t["opportunity_index"] = lambda: materialise(opportunity.index_rows(self))
         if not stored:
             t["bridge_branch_catchment"] = lambda: materialise(catchment.bridge(self))
             t["fact_tract_competition"] = lambda: materialise(catchment.competition(self))
