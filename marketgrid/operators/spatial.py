@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from marketgrid.functions.columns import METRES_PER_MILE
 from marketgrid.functions.geo import CONUS, miles
 
-_BASE_METRES = 400.0          # finest level of the nearest-neighbour search
+_BASE_METRES = 1.5625         # finest level of the nearest-neighbour search
 _WIDTH = f"greatest(_r.radius_miles * {METRES_PER_MILE}D, 1D)"
-_LEVELS = 9                   # 400 m * 4^8 is wider than the projected plane
+_LEVELS = 12                  # 1.5625 m * 4^12 is wider than the projected plane
 
 
 def _cell(v: str, size: str) -> str:
@@ -76,12 +76,15 @@ def radius_sums(
 ) -> DataFrame:
     """Per circle, sums of point weights within the radius.
 
-    Copies of a place are merged first, so the number of candidate pairs
-    depends on distinct places only.  Circles without a point are absent.
+    Copies of a place are merged on both sides first, so the number of
+    candidate pairs depends on distinct places only.  Circles without a point
+    are absent.
     """
     places = points.groupBy("px", "py").agg(*[F.sum(c).alias(c) for c in sums])
-    hits = radius_join(circles.select(*ids, "cx0", "cy0", "tier"), places, radii)
-    return hits.groupBy(*ids).agg(*[F.sum(c).alias(c) for c in sums])
+    spots = circles.select("cx0", "cy0", "tier").distinct()
+    at_spot = radius_join(spots, places, radii).groupBy("cx0", "cy0", "tier").agg(
+        *[F.sum(c).alias(c) for c in sums])
+    return circles.select(*ids, "cx0", "cy0", "tier").join(at_spot, ["cx0", "cy0", "tier"]).select(*ids, *sums)
 
 
 # -- nearest neighbour --------------------------------------------------------
