@@ -61,3 +61,49 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo the number of parts; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def arrow_filter(df: DataFrame, column: str, keep: Callable[[list], list[bool]]) -> DataFrame:
+    """Rows of `df` for whose value of `column` `keep` says true; all columns as they are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
+
+    at = df.columns.index(column)
+    return df.mapInArrow(run, df.schema)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, label, text) of training rows, and the number of training labels of either class.
+
+    Training rows are those outside fold 0 of 5. Of each class the `per_class` ids with the least hash are taken, so
+    the sample, and with it the broadcast side of the join, has at most 2 * per_class rows. Null labels or ids are
+    left out; an id with several labels takes their rounded mean.
+    """
+    known = labels.select(F.col("doc_id").cast("long"), F.col(target).cast("double").alias("y")).dropna().groupBy(
+        "doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("label")).filter(fold(F.col("doc_id"), 5) != 0)
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    picked = known.filter("label = 1").orderBy(*order).limit(per_class).unionByName(
+        known.filter("label = 0").orderBy(*order).limit(per_class))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text"), sizes
+
+
+def fit_in_one_task(sample: DataFrame, fit: Callable[[list[int], list[bytes]], bytes]) -> bytes:
+    """Train on a bounded sample (doc_id, label, features as bytes) in one task; returns the packed model.
+
+    An id that stands on several rows counts once, and rows come in id order, so the model doesn't depend on the
+    partitioning.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, features = [], []
+        for batch in batches:
+            labels += batch.column(0).to_pylist()
+            features += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([fit(labels, features)], pa.binary())], ["model"])
+
+    rows = sample.groupBy("doc_id").agg(F.min(F.struct("label", "features")).alias("r")).repartition(1)
+    rows = rows.sortWithinPartitions("doc_id").select("r.label", "r.features")
+    return bytes(rows.mapInArrow(run, "model binary").first()["model"])
