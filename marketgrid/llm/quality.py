@@ -110,16 +110,18 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean and spread of a document's word vectors, length of the mean, log of the token count."""
-    mean, square = np.zeros(DIMS), np.zeros(DIMS)
+    """Mean and spread of a document's word vectors, length of the mean, log of the token count, and the mean product
+    of neighbouring vectors (high where words repeat)."""
+    mean, square, next_to = np.zeros(DIMS), np.zeros(DIMS), 0.0
     for at in range(0, len(ids), BLOCK):
         x = vectors[ids[at:at + BLOCK]]
+        next_to += float(np.einsum("ij,ij->", x[1:], x[:-1], dtype=np.float64))
         mean += x.sum(axis=0, dtype=np.float64)
         square += np.einsum("ij,ij->j", x, x, dtype=np.float64)
     n = max(1, len(ids))
     mean, square = mean / n, square / n
     spread = np.sqrt(np.maximum(square - mean * mean, 0))
-    return np.concatenate([mean, spread, [np.linalg.norm(mean), np.log1p(len(ids))]]).astype(np.float32)
+    return np.concatenate([mean, spread, [np.linalg.norm(mean), np.log1p(len(ids)), next_to / n]]).astype(np.float32)
 
 
 class Network:
@@ -160,7 +162,7 @@ def temperature(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 
 def train(labels: list[int], features: list[bytes], sizes: dict[int, int], epochs: int = 40, batch: int = 128) -> Network:
     """Adam on four fifths of the sample, temperature on the other fifth; weights restore the class shares."""
-    width = 2 * DIMS + 2
+    width = 2 * DIMS + 3
     rng = np.random.default_rng(11)
     a = {"mean": np.zeros(width), "scale": np.ones(width), "w1": rng.normal(0, width ** -0.5, (width, HIDDEN)),
          "b1": np.zeros(HIDDEN), "w2": rng.normal(0, HIDDEN ** -0.5, HIDDEN), "b2": np.zeros(()), "temperature": np.ones(())}
