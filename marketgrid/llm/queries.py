@@ -35,6 +35,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketgrid.llm.substring import without_repeats
+
+    return without_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketgrid.llm.language import languages
 
@@ -60,6 +66,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
 }
-ORACLES: dict[str, str] = {}
+OP8 = """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents
+), windows AS (
+  SELECT doc_id, unnest(generate_series(1, len(words) - 12)) AS pos, words FROM w WHERE len(words) >= 13
+), keyed AS (
+  SELECT doc_id, pos, array_to_string(words[pos:pos + 12], ' ') AS key FROM windows
+), firsts AS (
+  SELECT key, min(doc_id) AS least FROM keyed GROUP BY key
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(pos, pos + 12)) AS place
+  FROM keyed JOIN firsts USING (key) WHERE least < doc_id
+), words AS (
+  SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS place FROM w WHERE len(words) > 0
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text, count(*) AS n
+  FROM words ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id
+)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, len(words)::BIGINT - coalesce(kept.n, 0) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op8_substring_dedup": OP8}
