@@ -29,6 +29,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketgrid.llm.neighbours import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketgrid.llm.toxicity import toxicity
 
@@ -59,15 +65,23 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketgrid.llm.licenses import licenses
+
+    return licenses(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_personal_data,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_quality": op3_quality,
+    "op4_nearest": op4_nearest,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
+    "op10_license_scan": op10_license_scan,
 }
 OP8 = """
 WITH w AS (
