@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketgrid.llm.common import arrow_map, slices, stage
+from marketgrid.llm.common import arrow_map, fresh, slices, stage
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -250,10 +250,10 @@ def redact_text(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with personal data replaced; n_chars, if there, counts the new text. Columns stay."""
-    added = added_spans(stage(base_table(docs), "pii")).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("added").alias("_added"))
-    match = docs["doc_id"].cast("long").eqNullSafe(added["_id"]) & (_hash_of(docs) == added["_hash"])
-    rows = docs.join(added, match, "left").drop("_id", "_hash")
+    own_id, own_hash, more = fresh(docs, "_id", "_hash", "_added")
+    added = added_spans(stage(base_table(docs), "pii")).toDF(own_id, own_hash, more)
+    match = docs["doc_id"].cast("long").eqNullSafe(added[own_id]) & (_hash_of(docs) == added[own_hash])
+    rows = docs.join(added, match, "left").select(*docs.columns, more)
     at, schema = docs.columns.index("text"), docs.schema
 
     def run(batches):
@@ -265,15 +265,15 @@ def redact(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 texts = []
-                for text, more in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist()):
+                for text, also in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist()):
                     spans = [(s, e, k) for s, e, k, ok in base_matches(text) if ok]
-                    spans += [(x["start"], x["end"], x["kind"]) for x in more or ()]
+                    spans += [(x["start"], x["end"], x["kind"]) for x in also or ()]
                     texts.append(redact_text(text, spans) if spans else text)
                 columns = list(part.columns)[:-1]
                 columns[at] = pa.array(texts, target.field(at).type)
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target)], schema=target)
 
-    out = rows.select(*docs.columns, "_added").mapInArrow(run, schema)
+    out = rows.mapInArrow(run, schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))

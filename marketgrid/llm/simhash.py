@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marketgrid.llm.common import arrow_map, stage
+from marketgrid.llm.common import arrow_map, fresh, stage
 from marketgrid.llm.components import components
 
 BITS = 64
@@ -44,11 +44,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
         ids, hashes, texts = columns
         return [ids, hashes, np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)]
 
-    return arrow_map(_keyed(docs).select("_id", "_hash", "text"), "doc_id long, text_hash long, fp long", each)
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64("text")})
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    return arrow_map(rows, "doc_id long, text_hash long, fp long", each)
 
 
 def ball(fp: F.Column, radius: int) -> F.Column:
@@ -113,12 +110,13 @@ def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     same = classes(docs, radius, shingle).groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "copies")
     kept = stage(same.groupBy("component").agg(F.min(key).alias("k")).select("k.*"), "kept")
-    left = _keyed(docs)
-    match = left["_id"].eqNullSafe(kept["doc_id"]) & (left["_hash"] == kept["text_hash"])
+    own_id, own_hash, place = fresh(docs, "_id", "_hash", "_place")
+    left = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_hash: F.xxhash64("text")})
+    match = left[own_id].eqNullSafe(kept["doc_id"]) & (left[own_hash] == kept["text_hash"])
     if kept.filter("copies > 1").isEmpty():
         return left.join(kept, match, "left_semi").select(docs.columns)
     once = left.join(kept.filter("copies = 1"), match, "left_semi").select(docs.columns)
     more = left.join(kept.filter("copies > 1"), match, "left_semi")
-    order = W.partitionBy("_id", "_hash").orderBy(F.xxhash64(*docs.columns))
-    first = more.withColumn("_place", F.row_number().over(order)).filter("_place = 1").select(docs.columns)
+    order = W.partitionBy(own_id, own_hash).orderBy(F.xxhash64(*docs.columns))
+    first = more.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).select(docs.columns)
     return once.unionByName(first)

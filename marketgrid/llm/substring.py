@@ -132,9 +132,13 @@ def _positions(starts: list[int] | None, runs: list[int] | None, window: int) ->
     return np.unique(np.concatenate(out))
 
 
-def repeated_windows(rows: DataFrame, window: int, within: DataFrame | None = None, half_only: int = 0) -> DataFrame:
+def repeated_windows(
+    rows: DataFrame, window: int, within: DataFrame | None = None, half_only: int = 0, first_too: bool = False,
+) -> DataFrame:
     """(ord, key, runs, starts): per row the windows whose words also start in a row with a smaller ord.
 
+    With `first_too`, the windows of the smallest ord that stand in another row as well are listed like the others.
+
     `rows` come from _keyed. runs are coded as first * window + (last - first), starts are single windows. `within`,
     (ord, key, starts, runs) of windows of `half_only` words, restricts the windows to those whose two halves are
     listed there.
@@ -154,12 +158,15 @@ def repeated_windows(rows: DataFrame, window: int, within: DataFrame | None = No
         found = arrow_map(joined.select("ord", "key", "packed", "starts", "runs"), RUNS, each)
     by_half, by_stretch = W.partitionBy("half"), W.partitionBy("half", "stretch")
     hits = found.withColumns({"least": F.min("ord").over(by_half), "most": F.max("ord").over(by_half)})
-    hits = hits.filter("least < most").withColumn("same", F.min("ord").over(by_stretch))
+    hits = hits.filter("least < most").withColumns({"same": F.min("ord").over(by_stretch), "last": F.max("ord").over(by_stretch)})
     hits = hits.withColumn("top", F.max("same").over(by_half))
-    # a stretch that an earlier row has as well is settled; others are compared window by window, if there is
-    # another stretch with their representative that starts in a different row
-    hits = stage(hits.filter("same < ord or top > least").select("ord", "key", "run", (F.col("same") < F.col("ord")).alias("sure")), "hits")
-    open_runs = hits.filter("not sure").groupBy("ord", "key").agg(F.collect_list("run").alias("runs"))
+    # a stretch that an earlier row has as well is settled; the first row of each stretch is compared window by window
+    # where another stretch with this representative starts in a different row
+    sure = F.col("same") < F.col("last" if first_too else "ord")
+    unclear = (F.col("same") == F.col("ord")) & (F.col("top") > F.col("least"))
+    hits = hits.select("ord", "key", "run", sure.alias("sure"), unclear.alias("unclear")).filter("sure or unclear")
+    hits = stage(hits, "hits")
+    open_runs = hits.filter("unclear").groupBy("ord", "key").agg(F.collect_list("run").alias("runs"))
 
     def single(columns: list[list]) -> list[list]:
         out: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -173,7 +180,9 @@ def repeated_windows(rows: DataFrame, window: int, within: DataFrame | None = No
 
     joined = _packed(rows).join(open_runs, ["ord", "key"])
     windows = arrow_map(joined.select("ord", "key", "packed", "runs"), "ord long, key long, at long, a long, b long", single)
-    later = windows.withColumn("least", F.min("ord").over(W.partitionBy("a", "b"))).filter("least < ord")
+    same_words = W.partitionBy("a", "b")
+    later = windows.withColumns({"least": F.min("ord").over(same_words), "most": F.max("ord").over(same_words)}).filter(
+        "least < most" if first_too else "least < ord")
     none = F.lit(None).cast("long")
     both = hits.filter("sure").select("ord", "key", "run", none.alias("at")).unionByName(
         later.select("ord", "key", none.alias("run"), "at"))
@@ -194,10 +203,13 @@ def _runs(rows, window: int) -> list[list]:
 
 
 def levels(docs: DataFrame, window: int = WINDOW) -> list[tuple[int, DataFrame]]:
-    """(length, windows repeated from an earlier document) for `window`, its double and so on, until none is left."""
+    """(length, windows that stand in two documents or more) for `window`, its double and so on, until none is left.
+
+    Only windows whose two halves are repeated are extended. Windows are listed as by `repeated_windows`.
+    """
     rows, out, length, within = _keyed(docs), [], window, None
     while True:
-        found = stage(repeated_windows(rows, length, within, length // 2), "level")
+        found = stage(repeated_windows(rows, length, within, length // 2, first_too=True), "level")
         if found.isEmpty():
             return out
         out.append((length, found))
