@@ -117,4 +117,5 @@ def fit_in_one_task(sample: DataFrame, fit: Callable[[list[int], list[bytes]], b
 
     rows = sample.groupBy("doc_id").agg(F.min(F.struct("label", "features")).alias("r")).repartition(1)
     rows = rows.sortWithinPartitions("doc_id").select("r.label", "r.features")
-    return bytes(rows.mapInArrow(run, "model binary").first()["model"])
+    model = rows.mapInArrow(run, "model binary").first()
+    return bytes(model["model"]) if model else fit([], [])
