@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import corpus_pipeline  # noqa: E402
 from marketgrid.llm import decontaminate, packing, pii, queries, toxicity  # noqa: E402
 from test_llm_simhash import brute_fingerprint  # noqa: E402
-from test_llm_text_operators import brute_base  # noqa: E402
+from test_llm_text_operators import brute_base, plain_ids  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,8 +56,7 @@ def test_stages_against_brute_force(spark):
         assert all(rows[i].lang is not None for i in rows)
         docs = spark.createDataFrame(list(rows.values()), documents.schema)
     got = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
-    encode = packing.Encoder(packing.default_tokenizer())
-    want = {(r.doc_id, k, *p) for r in docs.collect() for k, p in enumerate(packing.cut(encode.whole([r.text])[0] + packing.END))}
+    want = {(r.doc_id, k, *p) for r in docs.collect() for k, p in enumerate(packing.cut(plain_ids([r.text])[0] + packing.END))}
     assert {tuple(r)[:5] for r in got} == want
     key = lambda r: tuple(r)[:5]
     assert {key(r) for r in corpus_pipeline.run(spark, SF).collect()} == want
