@@ -11,7 +11,8 @@ buckets first:
 3. the running count inside one bucket gives the exact position.
 
 The bucket is a monotone function of the value's magnitude, about 0.1 % wide,
-so no sampling is involved and a re-run task computes the same buckets.
+and a crowded one is cut evenly between its own least and greatest value: no
+sampling is involved, and a re-run task computes the same buckets.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _SLICES_PER_E = 1024          # buckets per factor e
+_FILL = 4096                  # distinct values of a bucket, about
 _SHIFT = 1_000_000            # larger than |ln(smallest double)| * slices
 
 
@@ -33,7 +35,21 @@ def value_bucket(value: Column) -> Column:
     return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, size).otherwise(-size)
 
 
-def positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def with_buckets(counts: DataFrame, group: Sequence[str], value: str, fill: int = _FILL) -> DataFrame:
+    """Add ``_bucket`` and ``_part``: together monotone in the value, about `fill` distinct values each.
+
+    A magnitude bucket that holds many values is cut into equal ranges between its own least and greatest value.
+    """
+    marked = counts.withColumn("_bucket", value_bucket(F.col(value)))
+    v = F.col(value).cast("double")
+    span = marked.groupBy(*group, "_bucket").agg(
+        F.min(v).alias("_least"), (F.max(v) - F.min(v)).alias("_span"), F.count(F.lit(1)).alias("_values"))
+    at = F.floor((v - F.col("_least")) / F.col("_span") * F.ceil(F.col("_values") / fill)).cast("long")
+    part = F.when((F.col("_values") > fill) & (F.col("_span") > 0), at).otherwise(F.lit(0).cast("long"))
+    return attach(marked, span, [*group, "_bucket"], "inner").withColumn("_part", part).drop("_least", "_span", "_values")
+
+
+def positions(df: DataFrame, keys: Sequence[str], value: str, fill: int = _FILL) -> DataFrame:
     """One row per distinct (keys, value) with exact counts around it.
 
     Columns: keys, value, ``n_equal`` rows with this value, ``n_below`` rows
@@ -43,26 +59,17 @@ def positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     keys = list(keys)
     named = df if keys else df.withColumn("_all", F.lit(0))
     group = keys or ["_all"]
-    counts = (
-        named.filter(F.col(value).isNotNull())
-        .groupBy(*group, value)
-        .agg(F.count(F.lit(1)).alias("n_equal"))
-        .withColumn("_bucket", value_bucket(F.col(value)))
-    )
-    by_bucket = W.partitionBy(*group).orderBy("_bucket")
-    buckets = (
-        counts.groupBy(*group, "_bucket").agg(F.sum("n_equal").alias("_n"))
-        .select(
-            *[F.col(c).alias(f"_g_{c}") for c in group],
-            F.col("_bucket").alias("_g_bucket"),
-            (F.sum("_n").over(by_bucket) - F.col("_n")).alias("_before"),
-            F.sum("_n").over(W.partitionBy(*group)).alias("n_group"),
-        )
+    counts = named.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n_equal"))
+    counts = with_buckets(counts, group, value, fill)
+    by_bucket = W.partitionBy(*group).orderBy("_bucket", "_part")
+    buckets = counts.groupBy(*group, "_bucket", "_part").agg(F.sum("n_equal").alias("_n")).select(
+        *group, "_bucket", "_part",
+        (F.sum("_n").over(by_bucket) - F.col("_n")).alias("_before"),
+        F.sum("_n").over(W.partitionBy(*group)).alias("n_group"),
     )
-    on = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group]
-    inside = W.partitionBy(*group, "_bucket").orderBy(value)
+    inside = W.partitionBy(*group, "_bucket", "_part").orderBy(value)
     return (
-        counts.join(buckets, [*on, F.col("_bucket") == F.col("_g_bucket")])
+        attach(counts, buckets, [*group, "_bucket", "_part"], "inner")
         .withColumn("n_below", F.col("_before") + F.sum("n_equal").over(inside) - F.col("n_equal"))
         .select(*keys, value, "n_equal", "n_below", "n_group")
     )

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketgrid.functions import columns as C
 from marketgrid.functions.geo import miles, with_xy
 from marketgrid.operators import relational, spatial
+from marketgrid.operators.quality import GateError
 from marketgrid.session import materialise
 
-SEARCH_DEPTH = 200
+FIRST_PREFIX = 64
 N_SITES = 3
 RULE_A, RULE_B, CURRENT = "A_commercial", "B_constrained", "current"
 
@@ -29,33 +30,40 @@ def published_radii(wh) -> DataFrame:
     return wh.tier_radii.select("tier", C.rnd("radius_miles", 2).alias("radius_miles"))
 
 
-def candidates(wh, depth: int = SEARCH_DEPTH) -> DataFrame:
-    """The best-scored tracts with a 0-based rank; at most `depth` rows."""
+def candidates(wh) -> DataFrame:
+    """All scored tracts with their attributes, map position and radius."""
     index = wh.opportunity_index.filter(F.col("opportunity_score").isNotNull()).select(
         "tract_geoid", "county_name", "cbsa_title", "tier", "households", "lmi_flag", "opportunity_score",
         "unmet_mortgage_demand", "growth_is_estimated",
     )
-    best = relational.top_k(index, depth, F.desc("opportunity_score"), F.asc("tract_geoid"))
     place = wh.dim_tract.select("tract_geoid", "county_fips", "cbsa", "centroid_lat", "centroid_lon")
-    ranked = best.withColumn(
-        # the window sees the top-k rows only
-        "i", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("opportunity_score"), "tract_geoid")) - 1
-    )
     return with_xy(
-        ranked.join(place, "tract_geoid", "left").join(published_radii(wh), "tier", "left"),
+        index.join(place, "tract_geoid", "left").join(published_radii(wh), "tier", "left"),
         "centroid_lon", "centroid_lat",
     )
 
 
-def separated_pairs(cand: DataFrame, depth: int = SEARCH_DEPTH) -> DataFrame:
+def best_of(cand: DataFrame, k: int) -> DataFrame:
+    """The k best tracts: highest score, then least id."""
+    return relational.top_k(cand, k, F.desc("opportunity_score"), F.asc("tract_geoid"))
+
+
+def prefix(cand: DataFrame, depth: int) -> DataFrame:
+    """The `depth` best tracts with a 0-based rank."""
+    # the window sees the top rows only
+    order = W.partitionBy(F.lit(0)).orderBy(F.desc("opportunity_score"), "tract_geoid")
+    return best_of(cand, depth).withColumn("i", F.row_number().over(order) - 1)
+
+
+def separated_pairs(ranked: DataFrame, depth: int) -> DataFrame:
     """(i, j) with i < j whose distance exceeds the greater of the two radii.
 
     The pairs of a list of `depth` ranks are enumerated by rank, so the
     comparison is an equi-join of a short list.
     """
-    a = cand.select("i", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("radius_miles").alias("ar"))
-    b = cand.select(F.col("i").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"),
-                    F.col("radius_miles").alias("br"))
+    a = ranked.select("i", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("radius_miles").alias("ar"))
+    b = ranked.select(F.col("i").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"),
+                      F.col("radius_miles").alias("br"))
     later = a.withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.lit(depth))))
     return later.join(b, "j").filter(miles("ax", "ay", "bx", "by") > F.greatest("ar", "br")).select("i", "j")
 
@@ -64,22 +72,26 @@ def candidate_reach(wh, cand: DataFrame) -> DataFrame:
     """New tracts each candidate would cover, at the candidate's own tier radius."""
     rated = wh.tract_points.filter(F.col("lmi_flag").isNotNull() & F.col("households").isNotNull())
     points = rated.join(current_tracts(wh), "tract_geoid", "left_anti").drop("tier")
-    circles = cand.select("i", "tier", F.col("x").alias("cx0"), F.col("y").alias("cy0"))
+    circles = cand.select(F.col("tract_geoid").alias("site"), "tier", F.col("x").alias("cx0"), F.col("y").alias("cy0"))
     return spatial.radius_join(circles, points, published_radii(wh)).select(
-        "i", "tract_geoid", "households", "lmi_flag"
+        "site", "tract_geoid", "households", "lmi_flag"
     )
 
 
-def greedy_sites(pairs: DataFrame, cand: DataFrame, n: int = N_SITES) -> DataFrame:
-    """Rule A: best rank first, then each next rank separated from all chosen ones."""
-    chosen = cand.agg(F.min("i").alias("i"))
-    allowed = pairs.join(chosen, "i", "left_semi").select("j")
-    picks = chosen
-    for _ in range(n - 1):
-        nxt = allowed.agg(F.min("j").alias("i"))
-        picks = picks.unionByName(nxt)
-        allowed = allowed.join(pairs.join(nxt, "i", "left_semi").select("j"), "j", "left_semi")
-    return picks.filter(F.col("i").isNotNull())
+def greedy_sites(cand: DataFrame, n: int = N_SITES) -> list[str]:
+    """Rule A: the best tract, then each time the best one separated from all chosen; at most n ids.
+
+    One pass over the scored tracts per site: nothing but the chosen rows reaches the driver, and no list is cut.
+    """
+    chosen, open_tracts = [], cand
+    for _ in range(n):
+        row = best_of(open_tracts, 1).select("tract_geoid", "x", "y", "radius_miles").first()
+        if row is None:
+            break
+        chosen.append(row.tract_geoid)
+        apart = miles(F.lit(row.x), F.lit(row.y), "x", "y") > F.greatest(F.lit(row.radius_miles), F.col("radius_miles"))
+        open_tracts = open_tracts.filter(apart)
+    return chosen
 
 
 def _weighted(reach: DataFrame, keys: list[str], prefix: str) -> DataFrame:
@@ -94,14 +106,29 @@ def lmi_totals(wh) -> DataFrame:
     return universe(wh).agg(F.sum(lmi).alias("lmi"), F.sum(F.col("households") - lmi).alias("non"))
 
 
-def constrained_sites(wh, cand: DataFrame, pairs: DataFrame, reach: DataFrame) -> DataFrame:
-    """Rule B: the best-scored separated triple whose coverage grows proportionally.
+def passing_triple(wh, ranked: DataFrame, depth: int, more_than: float | None) -> Row | None:
+    """The best-scored separated triple of `ranked` whose coverage grows proportionally; (i, j, k, score) or None.
 
-    Coverage of a triple comes by inclusion and exclusion from sums per
-    candidate, per pair and per triple of overlapping reaches; overlaps are
-    only formed for separated members, so few candidates share a tract.  The
-    result has the columns i, j, k (one row, or none when nothing passes).
+    Only triples that score above `more_than` are looked at. Coverage of a
+    triple comes by inclusion and exclusion from sums per candidate, per pair
+    and per triple of overlapping reaches; overlaps are only formed for
+    separated members, so few candidates share a tract.
     """
+    score = ranked.select("i", "opportunity_score")
+    best = ranked.agg(F.max("opportunity_score")).first()[0]
+
+    def member(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col("i").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in df.columns if c != "i"])
+
+    pairs = separated_pairs(ranked, depth)
+    if more_than is not None:
+        # the third member scores at most as much as the second one, and the first at most the best score
+        pairs = pairs.join(member(score, "i"), "i").join(member(score, "j"), "j").filter(
+            F.round(F.col("opportunity_score_i") + F.col("opportunity_score_j") + F.lit(best), 4) > more_than
+        ).select("i", "j")
+    pairs = materialise(pairs)
+    reach = materialise(candidate_reach(wh, ranked).join(
+        ranked.select(F.col("tract_geoid").alias("site"), "i"), "site").drop("site"))
     one = _weighted(reach, ["i"], "s")
     shared = (
         reach.join(reach.select(F.col("i").alias("j"), "tract_geoid"), "tract_geoid")
@@ -114,11 +141,6 @@ def constrained_sites(wh, cand: DataFrame, pairs: DataFrame, reach: DataFrame) -
         .join(pairs.select("i", F.col("j").alias("k")), ["i", "k"]),
         ["i", "j", "k"], "t",
     )
-    score = cand.select("i", "opportunity_score")
-
-    def member(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col("i").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in df.columns if c != "i"])
-
     single = score.join(one, "i", "left")
     # attach the candidate sums to the short pair list, so the triple join carries them along
     pair_two = pairs.join(two, ["i", "j"], "left")
@@ -127,11 +149,12 @@ def constrained_sites(wh, cand: DataFrame, pairs: DataFrame, reach: DataFrame) -
                                       F.col("p_non").alias("q_non")), "j")
         .join(pair_two.select("i", F.col("j").alias("k"), F.col("p_lmi").alias("r_lmi"),
                               F.col("p_non").alias("r_non")), ["i", "k"])
-        .join(F.broadcast(member(single, "i")), "i")      # search depth rows
-        .join(F.broadcast(member(single, "j")), "j")
-        .join(F.broadcast(member(single, "k")), "k")
-        .join(three, ["i", "j", "k"], "left")
+        .join(member(single, "i"), "i").join(member(single, "j"), "j").join(member(single, "k"), "k")
+        .withColumn("score", C.rnd(sum((F.col(f"opportunity_score_{m}") for m in "ijk"), F.lit(0.0)), 4))
     )
+    if more_than is not None:
+        triples = triples.filter(F.col("score") > more_than)
+    triples = triples.join(three, ["i", "j", "k"], "left")
 
     def total(kind: str):
         z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
@@ -140,28 +163,57 @@ def constrained_sites(wh, cand: DataFrame, pairs: DataFrame, reach: DataFrame) -
 
     t = lmi_totals(wh).agg(F.struct(F.max("lmi").alias("lmi"), F.max("non").alias("non")).alias("t")).scalar()
     passing = triples.filter(
-        C.ratio(total("lmi"), t.getField("lmi")) >= C.ratio(total("non"), t.getField("non"))
-    ).withColumn("score", C.rnd(sum((F.col(f"opportunity_score_{m}") for m in "ijk"), F.lit(0.0)), 4))
-    return relational.top_k(passing, 1, F.desc("score"), F.asc("i"), F.asc("j"), F.asc("k")).select("i", "j", "k")
+        C.ratio(total("lmi"), t.getField("lmi")) >= C.ratio(total("non"), t.getField("non")))
+    return relational.top_k(passing, 1, F.desc("score"), F.asc("i"), F.asc("j"), F.asc("k")).select(
+        "i", "j", "k", "score").first()
+
+
+def constrained_sites(wh, cand: DataFrame, first: int = FIRST_PREFIX) -> list[str]:
+    """Rule B: the ids of the best-scored separated triple whose coverage grows proportionally; empty if none passes.
+
+    The list of the best tracts is doubled until the triple found is proven
+    best: a triple with a member beyond a prefix scores at most the two best
+    scores plus the next one, so only triples above that bound are looked at.
+    All tracts take part in the end, whatever their number.
+    """
+    every = cand.count()
+    depth = first
+    while True:
+        whole = depth >= every
+        top = [r.opportunity_score for r in best_of(cand, depth + 1).select("opportunity_score").collect()]
+        bound = None if whole else round(top[0] + top[1] + top[depth], 4) + 1e-9
+        ranked = materialise(prefix(cand, depth))
+        found = passing_triple(wh, ranked, min(depth, every), bound)
+        if found or whole:
+            break
+        depth *= 2
+    if not found:
+        return []
+    rows = ranked.filter(F.col("i").isin(found.i, found.j, found.k)).select("tract_geoid").collect()
+    return [r.tract_geoid for r in rows]
 
 
 class Selection:
-    """Both rules worked out once; every report reads from the stored stages."""
+    """Both rules worked out once; every report reads from the stored stages.
 
-    def __init__(self, wh, depth: int = SEARCH_DEPTH, n: int = N_SITES):
+    A short list is refused: fewer than n separated tracts under Rule A raise
+    an error, unless `complete` is off. Rule B is a triple by its definition.
+    """
+
+    def __init__(self, wh, n: int = N_SITES, complete: bool = True):
         self.wh = wh
-        self.cand = materialise(candidates(wh, depth))
-        self.pairs = materialise(separated_pairs(self.cand, depth))
-        self.reach = materialise(candidate_reach(wh, self.cand))
-        a = greedy_sites(self.pairs, self.cand, n).withColumn("rule", F.lit(RULE_A))
-        b = constrained_sites(wh, self.cand, self.pairs, self.reach).select(
-            F.explode(F.array("i", "j", "k")).alias("i")
-        ).withColumn("rule", F.lit(RULE_B))
-        self.members = materialise(a.unionByName(b))
+        self.cand = materialise(candidates(wh))
+        a = greedy_sites(self.cand, n)
+        if complete and len(a) < n:
+            raise GateError(f"only {len(a)} of {n} separated sites exist")
+        rows = [(RULE_A, g) for g in a] + [(RULE_B, g) for g in constrained_sites(wh, self.cand)]
+        picks = wh.dim_tract.sparkSession.createDataFrame(rows, "rule string, tract_geoid string")
+        self.members = materialise(picks.join(self.cand, "tract_geoid"))
+        self.reach = materialise(candidate_reach(wh, self.members.dropDuplicates(["tract_geoid"])))
 
     def sites(self) -> DataFrame:
         """Chosen tracts of both rules with their attributes."""
-        return self.members.join(self.cand, "i").select(
+        return self.members.select(
             "rule", "tract_geoid", "county_name", "cbsa_title", "tier", "households", "lmi_flag",
             "opportunity_score", "unmet_mortgage_demand", "growth_is_estimated",
         )
@@ -175,14 +227,18 @@ class Selection:
         # three labels: each covered tract is repeated per rule
         base = now.withColumn("rule", F.explode(F.array(F.lit(CURRENT), F.lit(RULE_A), F.lit(RULE_B)))).withColumn(
             "newly_covered", F.lit(False))
-        new = self.members.join(self.reach, "i").select("rule", "tract_geoid").distinct().withColumn(
-            "newly_covered", F.lit(True))
+        new = self._new().select("rule", "tract_geoid").withColumn("newly_covered", F.lit(True))
         return base.select("rule", "tract_geoid", "newly_covered").unionByName(
             new.select("rule", "tract_geoid", "newly_covered"))
 
+    def _new(self) -> DataFrame:
+        """Tracts that the sites of a rule add, once per rule."""
+        sites = self.members.select("rule", F.col("tract_geoid").alias("site"))
+        return sites.join(self.reach, "site").select("rule", "tract_geoid", "households", "lmi_flag").distinct()
+
     def evaluation(self) -> DataFrame:
         """Score, coverage change, verdict and composition per rule."""
-        per_site = self.members.join(self.cand, "i").groupBy("rule").agg(
+        per_site = self.members.groupBy("rule").agg(
             C.rnd(F.sum("opportunity_score"), 4).alias("score"),
             F.sum("unmet_mortgage_demand").cast("long").alias("unmet"),
             F.count_distinct("cbsa").alias("cbsas"),
@@ -190,7 +246,7 @@ class Selection:
             C.count_where(F.col("growth_is_estimated")).alias("estimated_growth"),
             C.count_where(F.col("lmi_flag")).alias("lmi_sites"),
         )
-        new = self.members.join(self.reach, "i").select("rule", "tract_geoid", "households", "lmi_flag").distinct()
+        new = self._new()
         added = _weighted(new, ["rule"], "new").join(
             new.groupBy("rule").agg(F.count(F.lit(1)).alias("new_tracts")), "rule")
         t = lmi_totals(self.wh).agg(F.struct(F.max("lmi").alias("lmi"), F.max("non").alias("non")).alias("t")).scalar()
@@ -205,7 +261,7 @@ class Selection:
 
     def constraint_cost(self) -> DataFrame:
         """What the coverage rule costs in index points: one row."""
-        score = self.members.join(self.cand, "i").agg(
+        score = self.members.agg(
             C.sum_where(F.col("rule") == RULE_A, "opportunity_score").alias("a"),
             C.sum_where(F.col("rule") == RULE_B, "opportunity_score").alias("b"),
         )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,30 +23,28 @@ def build_session(app: str = "marketgrid", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable without overriding the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for stored stages that driver and executors share.
 
-    The shared folder named in ``spark.checkpoint.dir`` always wins.  A
-    temporary folder is only taken in local mode, where driver and executors
-    share one disk; on a cluster a missing setting is an error.
+    It is the one in ``spark.checkpoint.dir``. In local mode, where that may be unset, it lies below the warehouse
+    folder; on a cluster a missing setting is an error.
     """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    else:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write a frame to the checkpoint folder and go on from the stored copy.
+    """Write a frame as Parquet into the shared folder and go on from the stored copy.
 
-    For tables that many later steps read: the lineage is cut by a file all
-    executors can reach, so a lost executor costs a re-read, not a re-run.
+    For tables that many later steps read: the lineage is cut by files all executors can reach, so a lost executor
+    costs a re-read, not a re-run, and each reader takes only the columns it needs. All stages of a run lie in one
+    folder, named after the application, which may be removed when the run is over.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
