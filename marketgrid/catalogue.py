@@ -126,6 +126,15 @@ def _block_distance(t: DriverTables) -> DataFrame:
         "uninumbr", "group_id", C.rnd("miles_off", 3).alias("miles_off"))
 
 
+def _mismatch(t: DriverTables) -> DataFrame:
+    """Branches found in another block than the one reported (their own, or the next for every 29th)."""
+    located = _matches(t).select("uninumbr", _block_of("poly_id").alias("located"))
+    pts = t.branch_points().join(located, "uninumbr").withColumn("reported", F.expr(
+        "case when cast(uninumbr as bigint) % 29 = 0 then concat(cast(cast(substring_index(located, '-', 1) as int) + 1"
+        " as string), '-', substring_index(located, '-', -1)) else located end"))
+    return staging.area_mismatch(pts, _outline(t), "uninumbr").withColumn("miles_off", C.rnd("miles_off", 3))
+
+
 def _centroids(t: DriverTables) -> DataFrame:
     return spatial.centroids(t.tile_polygons()).select(
         "poly_id", C.rnd("centroid_lon", 6).alias("centroid_lon"), C.rnd("centroid_lat", 6).alias("centroid_lat"),
@@ -227,8 +236,6 @@ def _selection(t: DriverTables) -> DataFrame:
 
 def operators() -> dict[str, Query]:
     return {
-        "s17_file_manifest": lambda spark, folder: readers.file_manifest(spark, folder, glob="*.parquet").select(
-            "file", "bytes", "sha256"),
         "p05_latest_vintage": _src(_latest_totals),
         "p08_market_keys": _src(_market_keys),
         "p23_sentinel_profile": _src(_sentinels),
@@ -237,6 +244,7 @@ def operators() -> dict[str, Query]:
         "p31_income_basis": _src(_income_basis),
         "j19_staged_branches": _src(lambda t: staging.stage_branches(t.sod(), t.tile_polygons())),
         "p34_selection_criteria": _src(_selection),
+        "p34_selection_funnel": _src(lambda t: profile.funnel_counts(_selection(t))),
         "p36_county_check": _src(_county_check),
         "f04_normalised_address": _src(_addresses),
         "f16_projected_tracts": _src(_projected),
@@ -248,8 +256,11 @@ def operators() -> dict[str, Query]:
         "j23_site_spacing": _wh(_spacing),
         "j24_nearest_branch": _wh(_nearest),
         "j28_miles_to_outline": _src(_block_distance),
+        "q16_county_mismatch": _src(_mismatch),
+        "a30_branch_reach": _wh(lambda wh: catchment.reach_sizes(wh.bridge_branch_catchment)),
+        "a30_overlap_sizes": _wh(lambda wh: catchment.overlap_sizes(wh.bridge_branch_catchment)),
         "j29_touching_groups": _src(lambda t: spatial.touching_groups(_outline(t))),
-        "a13_branch_counts": _src(lambda t: profile.branch_counts(t.sod(), list(STATES))),
+        "a13_branch_counts": _src(lambda t: profile.branch_counts(t.sod())),
         "a14_deposit_distribution": _src(lambda t: profile.deposit_distribution(t.sod())),
         "a16_population_rates": _src(lambda t: profile.population_rates(t.sod())),
         "a21_staged_lending": _src(lambda t: lending.stage_lending(t.loan_records())),
@@ -304,7 +315,7 @@ def gates() -> dict[str, Query]:
                 "change", C.rnd("change", 6))),
         "gate03_county_codes": _src(lambda t: quality.malformed_fips(t.sod(), "STCNTYBR")),
         "gate04_outcome_codes": _src(
-            lambda t: quality.unmapped_codes(t.loan_records(), "action_taken", ("1", "2", "3", "4", "5"))),
+            lambda t: quality.unmapped_codes(t.loan_records(), "action_taken", tuple(C.ACTION_LABELS))),
         "gate05_subject_resolution": _src(lambda t: quality.subject_resolution(_crosswalk(t))),
         "gate06_identifier_lengths": _wh(lambda wh: quality.id_lengths(wh, ID_LENGTHS).drop("type")),
         "gate07_references": _wh(quality.referential_checks),
@@ -364,6 +375,7 @@ def measured() -> dict[str, Query]:
             measures.capture_measures(lending.q10_capture_rate(wh), ["tier"]))),
         "m28_published_score": _wh(lambda wh: _rounded(measures.published_score(wh.opportunity_index, ["tier"]), 3)),
         "m30_weighted_score": _wh(_whatif),
+        "m33_weight_grid": _wh(lambda wh: measures.weight_grid_scores(wh.opportunity_index, wh.ref_index_weights)),
         "m31_top_measures": _wh(lambda wh: _rounded(measures.top_measures(_whatif(wh)))),
     }
 

@@ -33,14 +33,6 @@ ACTION_LABELS = {
     "7": ("Preapproval request denied", "preapproval"),
     "8": ("Preapproval request approved but not accepted", "preapproval"),
 }
-PURPOSE_LABELS = {
-    "1": "Home purchase",
-    "2": "Home improvement",
-    "31": "Refinancing",
-    "32": "Cash-out refinancing",
-    "4": "Other purpose",
-    "5": "Not applicable",
-}
 FULL_SERVICE_TYPES = ("11", "12")
 ADDRESS_TOKENS = {
     "street": "st", "road": "rd", "drive": "dr", "avenue": "ave",
@@ -114,7 +106,9 @@ def market_label(title: Col, state: Col) -> Column:
 
 
 def county_of(tract: Col) -> Column:
-    return F.substring(col(tract), 1, 5)
+    """County part of a tract id: all but the last six characters, five at least."""
+    text = col(tract)
+    return F.substring(text, F.lit(1), F.greatest(F.lit(5), F.length(text) - 6))
 
 
 def state_of(geoid: Col) -> Column:
@@ -199,7 +193,7 @@ def tier_from_area_type(kind: Col) -> Column:
 
 
 def tract_status(geoid: Col, households: Col, income: Col) -> Column:
-    code = F.substring(col(geoid), 6, 6)
+    code = F.right(col(geoid), F.lit(6))
     return (
         F.when(code.startswith("99") | code.startswith("98"), "water_or_special")
         .when(col(households) == 0, "unpopulated")
@@ -326,9 +320,10 @@ def present_count(*cols: Col) -> Column:
     return reduce(add, [F.when(col(c).isNotNull(), 1).otherwise(0) for c in cols])
 
 
-def caption(lmi_share: Col, growth_share: Col, footprint_pct: float = 29.5) -> Column:
+def caption(lmi_share: Col, growth_share: Col, footprint_pct: Col) -> Column:
     return F.concat(
-        F.lit("LMI "), F.format_string("%.1f", col(lmi_share)), F.lit(f"% vs {footprint_pct}% footprint"),
+        F.lit("LMI "), F.format_string("%.1f", col(lmi_share)),
+        F.lit("% vs "), F.format_string("%.1f", col(footprint_pct)), F.lit("% footprint"),
         F.lit("  |  growth estimated for "), F.format_string("%.1f", col(growth_share)),
         F.lit("% of these tracts"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketgrid.functions import columns as C
 from marketgrid.functions.geo import with_xy
 from marketgrid.operators import ranking, relational, spatial
+from marketgrid.operators.quality import require_rows
 from marketgrid.session import materialise
 
 RADIUS_BOUNDS = (1.0, 30.0)
@@ -90,11 +91,24 @@ def latest_deposits(wh) -> DataFrame:
     return relational.only_latest(wh.fact_branch_deposits, wh.vintages).select("uninumbr", "deposits")
 
 
+def reach_sizes(bridge_rows: DataFrame) -> DataFrame:
+    """Tracts per branch, all and as the nearest branch."""
+    return bridge_rows.groupBy("uninumbr", "branch_tier").agg(
+        F.count(F.lit(1)).alias("tracts"), C.count_where(F.col("is_primary")).alias("primary_tracts"))
+
+
+def overlap_sizes(bridge_rows: DataFrame) -> DataFrame:
+    """How many tracts lie in the catchments of 1, 2, 3 .. branches."""
+    per_tract = bridge_rows.groupBy("tract_geoid").agg(F.count(F.lit(1)).alias("branches"))
+    return per_tract.groupBy("branches").agg(F.count(F.lit(1)).alias("tracts"))
+
+
 def tie_break_sensitivity(wh) -> DataFrame:
     """How much ownership moves between the two tie-breaks: one row."""
     pairs = wh.bridge_branch_catchment.select("tract_geoid", "uninumbr", "distance_miles")
     near = primary_by_distance(pairs).withColumnRenamed("uninumbr", "near")
-    big = primary_by_deposits(pairs, latest_deposits(wh)).withColumnRenamed("uninumbr", "big")
+    deposits = require_rows(latest_deposits(wh), "no deposits in the newest vintage: the second tie-break has no input")
+    big = primary_by_deposits(pairs, deposits).withColumnRenamed("uninumbr", "big")
     members = pairs.groupBy("tract_geoid").agg(F.count(F.lit(1)).alias("n"))
     both = near.join(big, "tract_geoid").join(members, "tract_geoid")
     moved = F.col("near") != F.col("big")

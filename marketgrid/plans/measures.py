@@ -128,6 +128,8 @@ def tract_measures(selection: DataFrame, every: DataFrame, groups: Sequence[str]
     """
     lmi, inside, hh = F.col("lmi_flag"), F.col("in_catchment"), "households"
     all_tracts = every.agg(F.count(F.lit(1))).scalar()
+    rated = every.filter(lmi.isNotNull() & F.col(hh).isNotNull())
+    footprint = rated.agg(C.pct(C.sum_where(lmi, hh), F.sum(hh))).scalar()
     out = selection.groupBy(*groups).agg(
         C.ratio(C.sum_where(lmi & inside, hh), C.sum_where(lmi, hh)).alias("subject_lmi_coverage"),
         C.ratio(C.sum_where(~lmi & inside, hh), C.sum_where(~lmi, hh)).alias("subject_non_lmi_coverage"),
@@ -137,7 +139,7 @@ def tract_measures(selection: DataFrame, every: DataFrame, groups: Sequence[str]
               C.count_where(F.col("household_growth_pct").isNotNull())).alias("cluster_measured_growth_pct"),
     )
     return out.withColumn("subject_tract_coverage_pct", C.pct("_inside", all_tracts)).drop("_inside").withColumn(
-        "shortlist_caveat", C.caption("lmi_share_of_selection_pct", "cluster_measured_growth_pct"))
+        "shortlist_caveat", C.caption("lmi_share_of_selection_pct", "cluster_measured_growth_pct", footprint))
 
 
 # -- lending and index ---------------------------------------------------------------
@@ -152,11 +154,36 @@ def published_score(index: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     return index.groupBy(*groups).agg(F.avg("opportunity_score").alias("published_opportunity_score"))
 
 
-def weight_parameters(spark) -> DataFrame:
-    """The grid each what-if weight can take, with its default."""
-    rows = [(c, w) for c, w in DEFAULT_WEIGHTS.items()]
-    base = spark.createDataFrame(rows, "component string, default_weight double")
-    return base.withColumn("weight", F.explode(C.weight_grid())).select("component", "weight", "default_weight")
+def weight_parameters() -> Column:
+    """Array of (component, weight): the grid that each what-if weight can take, 0 to 0.5."""
+    def grid(component: str) -> Column:
+        return F.transform(C.weight_grid(), lambda w: F.struct(F.lit(component).alias("component"), w.alias("weight")))
+
+    return F.flatten(F.array(*[grid(c) for c in COMPONENTS]))
+
+
+def weight_grid_scores(index: DataFrame, weights: DataFrame) -> DataFrame:
+    """Per component and grid weight, the other weights at their defaults: mean score, tracts, best tract.
+
+    The scores of a tract under all grid weights are one array, so the index is read once.
+    """
+    z = recovered_z(index, weights)
+    part = {c: C.rnd(f"z_{c}", 6) for c in COMPONENTS}
+    rows = z.select("tract_geoid", *[part[c].alias(f"_{c}") for c in COMPONENTS]).withColumn(
+        "g", F.explode(weight_parameters())).select("*", "g.component", "g.weight")
+
+    def weight(c: str) -> Column:
+        return F.when(F.col("component") == c, F.col("weight")).otherwise(F.lit(DEFAULT_WEIGHTS[c]))
+
+    total = C.rnd(sum((weight(c) for c in COMPONENTS), F.lit(0.0)), 2)
+    score = sum((F.col(f"_{c}") * weight(c) for c in COMPONENTS), F.lit(0.0)) / F.when(total != 0, total)
+    return rows.withColumns({"weight_total": total, "score": C.rnd(score, 6)}).groupBy(
+        "component", "weight", "weight_total"
+    ).agg(
+        C.rnd(F.avg("score"), 4).alias("mean_score"), F.count("score").alias("tracts"),
+        F.min_by("tract_geoid", F.when(F.col("score").isNotNull(), F.struct(-F.col("score"), F.col("tract_geoid"))))
+        .alias("best_tract"),
+    )
 
 
 def weighted_scores(index: DataFrame, weights: DataFrame, chosen: Mapping[str, float] | None = None) -> DataFrame:

@@ -22,11 +22,15 @@ MATERIAL_MOVE = 25
 FOOTPRINT_LIMIT, FOOTPRINT_MIN = 0.20, 10
 
 
-def branch_counts(sod: DataFrame, states: list[str]) -> DataFrame:
-    """Distinct branches per year and state, with the row total."""
-    wide = sod.groupBy("YEAR").pivot("STALPBR", states).agg(F.count_distinct("UNINUMBR"))
-    total = sum((F.coalesce(F.col(s), F.lit(0)) for s in states), F.lit(0).cast("long"))
-    return wide.withColumn("total", total)
+def branch_counts(sod: DataFrame) -> DataFrame:
+    """Distinct branches per year and state, with the row total; one column per state that occurs.
+
+    The total has a count of its own, rows without a state included.
+    """
+    wide = sod.groupBy("YEAR").pivot("STALPBR").agg(F.count_distinct("UNINUMBR"))
+    total = sod.filter(F.col("UNINUMBR").isNotNull()).groupBy("YEAR").agg(
+        F.count_distinct(F.struct("UNINUMBR", "STALPBR")).alias("total"))
+    return wide.join(total, "YEAR", "left")
 
 
 def deposit_distribution(sod: DataFrame) -> DataFrame:
@@ -200,7 +204,7 @@ def crosswalk(sod: DataFrame, vintages: DataFrame, institutions: DataFrame, lei_
     """
     newest = relational.latest_year(vintages)
     certs = sod.groupBy(F.col("CERT").alias("cert")).agg(
-        F.max_by("NAMEFULL", "YEAR").alias("name"),
+        F.max_by("NAMEFULL", F.struct("YEAR", "NAMEFULL")).alias("name"),
         F.count_distinct(F.when(F.col("YEAR") == newest, F.col("UNINUMBR"))).alias("current_branches"),
     )
     register = institutions.groupBy(F.col("CERT").alias("cert")).agg(

@@ -79,3 +79,17 @@ def stage_branches(sod: DataFrame, polygons: DataFrame, box=C.DEFAULT_BOX) -> Da
         F.when(located, F.col("county_agrees")).alias("county_agrees"),
         "first_year", "last_year", "position_drift_miles", "drift_kind", "address_changed", "invalid_vintages",
     )
+
+
+def area_mismatch(points: DataFrame, outline: DataFrame, point_id: str) -> DataFrame:
+    """Points located in another area than reported: miles to the reported area and whether the two touch.
+
+    points: the id, lon, lat, reported, located; outline: edges with group_id. Unknown areas are no mismatch.
+    """
+    wrong = points.filter(F.col("reported") != F.col("located"))
+    off = spatial.miles_to_outline(wrong.select(point_id, "lon", "lat", "reported"), outline, point_id, "reported")
+    touching = spatial.touching_groups(outline).withColumn("adjacent", F.lit(True))
+    pair = [F.least("reported", "located") == F.col("group_a"), F.greatest("reported", "located") == F.col("group_b")]
+    return wrong.select(point_id, "reported", "located").join(off, [point_id, "reported"], "left").join(
+        touching, pair, "left").select(
+        point_id, "reported", "located", "miles_off", F.coalesce("adjacent", F.lit(False)).alias("adjacent"))

@@ -37,26 +37,38 @@ INDEX_WEIGHTS = [
 class Warehouse:
     """Named frames, built on first use and then reused by every job."""
 
-    def __init__(self, tables: Mapping[str, DataFrame | Callable[[], DataFrame]]):
+    def __init__(
+        self, tables: Mapping[str, DataFrame | Callable[[], DataFrame]],
+        derived: Mapping[str, Callable[[Warehouse], DataFrame]] | None = None,
+    ):
         self._tables = dict(tables)
+        self._derived = dict(derived or {})
+        self._built: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_") or name not in self._tables:
+        if name.startswith("_"):
             raise AttributeError(name)
-        found = self._tables[name]
-        if callable(found) and not isinstance(found, DataFrame):
-            found = self._tables[name] = found()
-        return found
+        if name in self._tables:
+            found = self._tables[name]
+            if callable(found) and not isinstance(found, DataFrame):
+                found = self._tables[name] = found()
+            return found
+        if name not in self._derived:
+            raise AttributeError(name)
+        if name not in self._built:
+            self._built[name] = self._derived[name](self)
+        return self._built[name]
 
     def names(self) -> list[str]:
-        return list(self._tables)
+        return [*self._tables, *(n for n in self._derived if n not in self._tables)]
 
     def with_tables(self, **tables: DataFrame | Callable[[], DataFrame]) -> Warehouse:
-        return Warehouse({**self._tables, **tables})
+        """The same warehouse with some tables replaced; what is derived is worked out anew from them."""
+        return Warehouse({**self._tables, **tables}, {k: v for k, v in self._derived.items() if k not in tables})
 
     def register_views(self) -> None:
         """Expose every table to ``spark.sql`` under its own name."""
-        for name in self._tables:
+        for name in self.names():
             getattr(self, name).createOrReplaceTempView(name)
 
     @classmethod
@@ -65,39 +77,42 @@ class Warehouse:
         wh = cls({
             name: (lambda n=name: spark.read.schema(SCHEMAS[n]).parquet(f"{folder}/{n}")) for name in STORED
         })
-        wh._tables["vintages"] = lambda: wh.fact_branch_deposits.select("year").distinct()
-        return wh._derived(stored=True)
-
-    def _derived(self, stored: bool = False) -> Warehouse:
-        """Add what is computed from the tables, each stage stored once on first use."""
-        from marketgrid.plans import catchment, growth, opportunity
-
-        t = self._tables
-        t["subject_sites"] = lambda: materialise(catchment.subject_sites(self))
-        t["tract_points"] = lambda: materialise(catchment.tract_points(self))
-        t["tier_radii"] = lambda: materialise(catchment.tier_radii(self.subject_sites))
-        t["opportunity_index"] = lambda: materialise(opportunity.index_rows(self))
-        if not stored:
-            t["bridge_branch_catchment"] = lambda: materialise(catchment.bridge(self))
-            t["fact_tract_competition"] = lambda: materialise(catchment.competition(self))
-            t["fact_county_deposit_growth"] = lambda: materialise(growth.county_growth(
-                growth.with_county(self.sod, self.dim_branch), *growth.endpoints(self)
-            ))
-        return self
+        wh._derived = {"vintages": lambda w: w.dim_year.select("year"), **_derived_tables(stored=True)}
+        return wh
 
     @classmethod
     def from_tables(cls, source) -> Warehouse:
-        """A warehouse over a source of dimensions and facts; the rest is derived."""
-        wh = cls({
+        """A warehouse over a source of dimensions and facts; the rest is derived.
+
+        The base tables that many steps read are stored once.
+        """
+        return cls({
             "dim_year": source.dim_year,
             "vintages": source.vintages,
             "dim_institution": source.dim_institution,
-            "dim_branch": source.dim_branch,
-            "dim_tract": source.dim_tract,
+            "dim_branch": lambda: materialise(source.dim_branch()),
+            "dim_tract": lambda: materialise(source.dim_tract()),
             "fact_branch_deposits": source.fact_branch_deposits,
             "fact_tract_lending": source.fact_tract_lending,
             "ref_index_weights": source.index_weights,
             "ref_sod_state_totals": source.state_totals,
             "sod": source.sod,
-        })
-        return wh._derived()
+        }, _derived_tables(stored=False))
+
+
+def _derived_tables(stored: bool) -> dict[str, Callable[[Warehouse], DataFrame]]:
+    """What is computed from the tables, each stage stored once on first use."""
+    from marketgrid.plans import catchment, growth, opportunity
+
+    out: dict[str, Callable[[Warehouse], DataFrame]] = {
+        "subject_sites": lambda w: materialise(catchment.subject_sites(w)),
+        "tract_points": lambda w: materialise(catchment.tract_points(w)),
+        "tier_radii": lambda w: materialise(catchment.tier_radii(w.subject_sites)),
+        "opportunity_index": lambda w: materialise(opportunity.index_rows(w)),
+    }
+    if not stored:
+        out["bridge_branch_catchment"] = lambda w: materialise(catchment.bridge(w))
+        out["fact_tract_competition"] = lambda w: materialise(catchment.competition(w))
+        out["fact_county_deposit_growth"] = lambda w: materialise(growth.county_growth(
+            growth.with_county(w.sod, w.dim_branch), *growth.endpoints(w)))
+    return out

@@ -26,7 +26,7 @@ def _pad(number: str, width: int) -> str:
 
 
 def _cert(slot: str) -> str:
-    return f"(case when {slot} < 6 then '{SUBJECT_CERT}' else lpad(cast({slot} as string), 5, '0') end)"
+    return f"(case when {slot} < 6 then '{SUBJECT_CERT}' else {_pad(slot, 5)} end)"
 
 
 _YEAR_CERT = _cert(f"(case when c % 17 = 0 and year >= 1998 then (c + 7) % {CERTS} else c % {CERTS} end)")
@@ -61,14 +61,14 @@ class DriverTables:
         nation = self.raw("nation").select("n_nationkey", "n_regionkey")
         keys = self.raw("customer").selectExpr(
             "c_custkey as c", "c_nationkey", "c_acctbal as bal",
-            "(c_nationkey + 25 * (c_custkey div 15000)) % 100000 as q",
+            "c_nationkey + 25 * (c_custkey div 15000) as q",
             "(c_custkey % 7) + 7 * ((c_custkey % 15000) div 1500) as k",
             "((c_custkey % 7) div 2) + 4 * ((c_custkey % 15000) div 1500)"
             " + case when c_custkey % 13 = 0 then 1 else 0 end as p",
         )
         code = _pad("(case when (q + 2 * k) % 31 = 0 then 980000 + k else k end)", 6)
         return keys.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).selectExpr(
-            "c", "q", "k", "p", "bal", "lpad(cast(n_regionkey as string), 2, '0') as state",
+            "c", "q", "k", "p", "bal", f"{_pad('n_regionkey', 2)} as state",
             f"{_pad('q', 5)} as county_no",
             f"case when c % 97 <> 0 then concat({_pad('q', 5)}, {code}) end as tract_geoid",
         )
@@ -143,7 +143,7 @@ class DriverTables:
             f"{_ID} as uninumbr", f"{_BASE_CERT} as cert", f"concat('Bank ', {_BASE_CERT}) as institution_name",
             "concat(cast(c % 900 + 1 as string), ' West Main Street') as address",
             "concat('City ', cast(c % 83 as string)) as city", "state",
-            f"case when {here} and c % 29 = 0 then {_pad('((q + 1) % 100000)', 5)} else county_no end as county_fips",
+            f"case when {here} and c % 29 = 0 then {_pad('(q + 1)', 5)} else county_no end as county_fips",
             f"case when {here} then {_lat('c')} end as latitude",
             f"case when {here} then {_lon('c')} end as longitude",
             "tract_geoid", f"{_SERVICE} as service_type",
@@ -189,7 +189,7 @@ class DriverTables:
         """One row per certificate: 35 rows at any scale."""
         return self.spark.range(CERTS).filter("id = 0 or id >= 6").selectExpr(
             f"{_cert('id')} as cert", f"concat('Bank ', {_cert('id')}) as institution_name",
-            "lpad(cast(id + 1000 as string), 7, '0') as fed_rssd",
+            f"{_pad('(id + 1000)', 7)} as fed_rssd",
             "case when id % 2 = 0 then lpad(cast(id as string), 20, '0') end as lei",
             "case when id % 2 = 0 then 'exact_rssd' else 'no_lei_for_rssd' end as match_quality",
             "case when id % 2 = 0 then 'fed_rssd == institutionId2017' else '' end as match_method",
@@ -210,7 +210,7 @@ class DriverTables:
         keys = self.branch_keys().withColumnRenamed("c", "bc")
         return self._branch_year().join(keys, F.col("c") == F.col("bc")).selectExpr(
             f"{_YEAR_CERT} as CERT", f"{_ID} as UNINUMBR", "year as YEAR", "state as STALPBR",
-            f"case when c % 29 = 0 then {_pad('((q + 1) % 100000)', 5)} else county_no end as STCNTYBR",
+            f"case when c % 29 = 0 then {_pad('(q + 1)', 5)} else county_no end as STCNTYBR",
             f"concat('Bank ', {_YEAR_CERT}) as NAMEFULL",
             f"case when {moved} and c % 22 = 0 then concat(cast(c % 900 + 2 as string), ' East Oak Road')"
             " when year >= 1999 then concat(cast(c % 900 + 1 as string), ' W. Main St')"
@@ -272,13 +272,13 @@ class DriverTables:
         """Institution register: certificate and register number; some lack one or both."""
         return self.spark.range(CERTS).filter("(id = 0 or id >= 6) and id % 13 <> 0 or id = 0").selectExpr(
             f"{_cert('id')} as CERT",
-            "case when id % 11 = 7 then '' else lpad(cast(id + 1000 as string), 7, '0') end as fed_rssd",
+            f"case when id % 11 = 7 then '' else {_pad('(id + 1000)', 7)} end as fed_rssd",
         )
 
     def lei_lookup(self) -> DataFrame:
         """(rssd, lei) pairs for the lenders that have a supplier row."""
         return self.raw("supplier").filter("s_suppkey % 2 = 0").selectExpr(
-            "lpad(cast(s_suppkey + 1000 as string), 7, '0') as rssd", "lpad(cast(s_suppkey as string), 20, '0') as lei"
+            f"{_pad('(s_suppkey + 1000)', 7)} as rssd", "lpad(cast(s_suppkey as string), 20, '0') as lei"
         )
 
     def assets(self) -> DataFrame:

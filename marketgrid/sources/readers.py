@@ -131,7 +131,7 @@ def index_weights(spark: SparkSession, config: Mapping) -> DataFrame:
 
 
 def state_totals(spark: SparkSession, path) -> DataFrame:
-    return csv(spark, path, "year int, state string, branches long, deposits_thousands long")
+    return csv(spark, path, "year int, state string, branches long, deposits_thousands double")
 
 
 def coverage_sets(spark: SparkSession, path, view: str | None = None) -> DataFrame:

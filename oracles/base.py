@@ -62,11 +62,11 @@ cte("bk", """
 SELECT c, q, k, p, bal, state, county_no,
   CASE WHEN c % 97 <> 0 THEN county_no || lpad(CAST(CASE WHEN (q + 2*k) % 31 = 0 THEN 980000 + k ELSE k END AS VARCHAR), 6, '0') END AS tract_geoid
 FROM (
-  SELECT c_custkey AS c, (c_nationkey + 25 * (c_custkey // 15000)) % 100000 AS q,
+  SELECT c_custkey AS c, c_nationkey + 25 * (c_custkey // 15000) AS q,
     (c_custkey % 7) + 7 * ((c_custkey % 15000) // 1500) AS k,
     ((c_custkey % 7) // 2) + 4 * ((c_custkey % 15000) // 1500) + CASE WHEN c_custkey % 13 = 0 THEN 1 ELSE 0 END AS p,
     c_acctbal AS bal, lpad(CAST(n_regionkey AS VARCHAR), 2, '0') AS state,
-    lpad(CAST((c_nationkey + 25 * (c_custkey // 15000)) % 100000 AS VARCHAR), 5, '0') AS county_no
+    lpad(CAST(c_nationkey + 25 * (c_custkey // 15000) AS VARCHAR), CAST(greatest(5, length(CAST(c_nationkey + 25 * (c_custkey // 15000) AS VARCHAR))) AS INTEGER), '0') AS county_no
   FROM customer JOIN nation ON n_nationkey = c_nationkey) """)
 
 cte("by_", """
@@ -78,16 +78,16 @@ CERT = "CASE WHEN {s} < 6 THEN '00000' ELSE lpad(CAST({s} AS VARCHAR), 5, '0') E
 YEAR_CERT = CERT.format(s="(CASE WHEN c % 17 = 0 AND year >= 1998 THEN (c + 7) % 40 ELSE c % 40 END)")
 
 cte("fbd", f"""
-SELECT lpad(CAST(c AS VARCHAR), 8, '0') AS uninumbr, {YEAR_CERT} AS cert, year, (cents + 50) // 100 AS deposits,
+SELECT lpad(CAST(c AS VARCHAR), CAST(greatest(8, length(CAST(c AS VARCHAR))) AS INTEGER), '0') AS uninumbr, {YEAR_CERT} AS cert, year, (cents + 50) // 100 AS deposits,
   CASE WHEN c % 53 = 0 THEN 10 * ((cents + 50) // 100) ELSE 0 END AS institution_total_deposits
 FROM by_ """, "by_")
 
 cte("br", f"""
-SELECT lpad(CAST(bk.c AS VARCHAR), 8, '0') AS uninumbr, {CERT.format(s='(bk.c % 40)')} AS cert,
+SELECT lpad(CAST(bk.c AS VARCHAR), CAST(greatest(8, length(CAST(bk.c AS VARCHAR))) AS INTEGER), '0') AS uninumbr, {CERT.format(s='(bk.c % 40)')} AS cert,
   'Bank ' || {CERT.format(s='(bk.c % 40)')} AS institution_name,
   CAST(bk.c % 900 + 1 AS VARCHAR) || ' West Main Street' AS address,
   'City ' || CAST(bk.c % 83 AS VARCHAR) AS city, state,
-  CASE WHEN tract_geoid IS NOT NULL AND bk.c % 29 = 0 THEN lpad(CAST((q + 1) % 100000 AS VARCHAR), 5, '0') ELSE county_no END AS county_fips,
+  CASE WHEN tract_geoid IS NOT NULL AND bk.c % 29 = 0 THEN lpad(CAST(q + 1 AS VARCHAR), CAST(greatest(5, length(CAST(q + 1 AS VARCHAR))) AS INTEGER), '0') ELSE county_no END AS county_fips,
   CASE WHEN tract_geoid IS NOT NULL THEN {LAT.format(k='bk.c')} END AS latitude,
   CASE WHEN tract_geoid IS NOT NULL THEN {LON.format(k='bk.c')} END AS longitude, tract_geoid,
   CASE WHEN bk.c % 10 < 6 THEN '11' WHEN bk.c % 10 < 8 THEN '12' WHEN bk.c % 10 = 8 THEN '21' ELSE '23' END AS service_type,
@@ -112,7 +112,7 @@ SELECT tract_geoid, county_no AS county_fips, 'County ' || county_no AS county_n
   round(hh * 0.6, 0) AS owner_occupied_units, CASE WHEN known THEN pct END AS tract_to_area_income_pct,
   CASE WHEN known THEN pct < 80 END AS lmi_flag,
   CASE WHEN NOT known THEN '' WHEN k % 5 = 0 THEN 'acs_fallback' ELSE 'ffiec_ratio' END AS lmi_basis,
-  CASE WHEN substr(tract_geoid, 6, 2) IN ('98', '99') THEN 'water_or_special' WHEN hh = 0 THEN 'unpopulated'
+  CASE WHEN left(right(tract_geoid, 6), 2) IN ('98', '99') THEN 'water_or_special' WHEN hh = 0 THEN 'unpopulated'
        WHEN hh IS NULL OR fam IS NULL THEN 'suppressed' ELSE 'ok' END AS tract_status,
   {LAT.format(k='(7*q + k + 3)')} AS centroid_lat, {LON.format(k='(7*q + k + 3)')} AS centroid_lon
 FROM (SELECT tract_geoid, county_no, q, k,
@@ -147,8 +147,8 @@ SELECT tract_geoid AS census_tract, lpad(CAST(l_suppkey AS VARCHAR), 20, '0') AS
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN bk ON bk.c = o_custkey """, "bk")
 
 cte("sod", f"""
-SELECT {YEAR_CERT} AS CERT, lpad(CAST(c AS VARCHAR), 8, '0') AS UNINUMBR, year AS YEAR, state AS STALPBR,
-  CASE WHEN c % 29 = 0 THEN lpad(CAST((q + 1) % 100000 AS VARCHAR), 5, '0') ELSE county_no END AS STCNTYBR,
+SELECT {YEAR_CERT} AS CERT, lpad(CAST(c AS VARCHAR), CAST(greatest(8, length(CAST(c AS VARCHAR))) AS INTEGER), '0') AS UNINUMBR, year AS YEAR, state AS STALPBR,
+  CASE WHEN c % 29 = 0 THEN lpad(CAST(q + 1 AS VARCHAR), CAST(greatest(5, length(CAST(q + 1 AS VARCHAR))) AS INTEGER), '0') ELSE county_no END AS STCNTYBR,
   'Bank ' || {YEAR_CERT} AS NAMEFULL,
   CASE WHEN c % 22 = 0 AND year >= 1998 THEN CAST(c % 900 + 2 AS VARCHAR) || ' East Oak Road'
        WHEN year >= 1999 THEN CAST(c % 900 + 1 AS VARCHAR) || ' W. Main St'
@@ -220,7 +220,7 @@ LEFT JOIN (SELECT t.tract_geoid, count(*) AS n, sum(coalesce(o.households, 0)) A
 # -- county growth ------------------------------------------------------------
 cte("ends", "SELECT min(year) AS y0, max(year) AS y1 FROM by_", "by_")
 cte("rec", """
-SELECT s.*, coalesce(substr(b.tract_geoid, 1, 5), b.county_fips) AS cf, s.year = y0 AS at0,
+SELECT s.*, coalesce(left(b.tract_geoid, length(b.tract_geoid) - 6), b.county_fips) AS cf, s.year = y0 AS at0,
   coalesce(DEPSUMBR > 20 * (SELECT median(DEPSUMBR) FROM sod WHERE year = (SELECT y1 FROM ends)), false) AS big, s.BKMO = '1' AS head
 FROM sod s CROSS JOIN ends LEFT JOIN br b ON b.uninumbr = s.UNINUMBR WHERE s.year = y0 OR s.year = y1 """, "sod", "br", "ends")
 

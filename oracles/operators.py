@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from marketgrid.functions.columns import ADDRESS_TOKENS
+from marketgrid.plans.profile import KEY_FIELDS
 from oracles import business
 from oracles.base import CERT, LAT, LON, compose, cte, projected
 
@@ -15,9 +17,7 @@ def validity(lat: str, lon: str) -> str:
             f" WHEN {lat} NOT BETWEEN 36.0 AND 47.5 OR {lon} NOT BETWEEN -93.5 AND -86.0 THEN 'out_of_range' ELSE 'ok' END")
 
 
-TOKENS = ("street st road rd drive dr avenue ave boulevard blvd highway hwy north n south s east e west w suite ste lane ln"
-          " court ct place pl parkway pkwy circle cir trail trl").split()
-CASE_TOKEN = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in zip(TOKENS[::2], TOKENS[1::2])) + " ELSE w END"
+CASE_TOKEN = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ADDRESS_TOKENS.items()) + " ELSE w END"
 NORM = (f"array_to_string(list_transform(list_filter(string_split_regex(regexp_replace(lower(ADDRESBR), '[^a-z0-9 ]', ' ', 'g'), ' +'),"
         f" lambda w: w <> ''), lambda w: {CASE_TOKEN}), ' ')")
 
@@ -34,7 +34,7 @@ O["p25_coordinate_validity"] = compose(f"SELECT YEAR, {validity('SIMS_LATITUDE',
 O["p30_lmi_basis"] = compose("SELECT lmi_basis, lmi_flag, count(*) AS tracts, sum(households) AS households FROM tr GROUP BY 1, 2", "tr")
 O["p36_county_check"] = compose(f"""
 SELECT validity, sc = gc AS county_agrees, count(*) AS branches FROM (
-  SELECT {validity('SIMS_LATITUDE', 'SIMS_LONGITUDE')} AS validity, lpad(STCNTYBR, 5, '0') AS sc, substr(b.tract_geoid, 1, 5) AS gc
+  SELECT {validity('SIMS_LATITUDE', 'SIMS_LONGITUDE')} AS validity, lpad(STCNTYBR, 5, '0') AS sc, left(b.tract_geoid, greatest(5, length(b.tract_geoid) - 6)) AS gc
   FROM sod s JOIN br b ON b.uninumbr = s.UNINUMBR WHERE s.YEAR = (SELECT max(YEAR) FROM sod t WHERE t.UNINUMBR = s.UNINUMBR)) GROUP BY 1, 2""", "sod", "br")
 O["f04_normalised_address"] = compose(f"SELECT {NORM} AS address, count(DISTINCT ADDRESBR) AS spellings, count(*) AS rows FROM sod GROUP BY 1", "sod")
 O["f16_projected_tracts"] = compose("SELECT tract_geoid, round(x, 3) AS x, round(y, 3) AS y FROM tp", "tp")
@@ -48,11 +48,12 @@ SELECT poly_id, i, j, -93 + (i + a0 / 4) / 4 AS lon1, 36 + (j + a1 / 4) / 4 AS l
 FROM tileid JOIN (VALUES (1, 0.0::DOUBLE, 0.0::DOUBLE, 4.0::DOUBLE, 0.0::DOUBLE), (1, 4, 0, 4, 4), (1, 4, 4, 0, 4), (1, 0, 4, 0, 0),
   (2, 1, 1, 1, 3), (2, 1, 3, 3, 3), (2, 3, 3, 3, 1), (2, 3, 1, 1, 1)) e(ring, a0, a1, b0, b1) ON e.ring = 1 OR holed """, "tileid")
 cte("pt", f"SELECT lpad(CAST(c AS VARCHAR), 8, '0') AS uninumbr, {LON.format(k='c')} AS lon, {LAT.format(k='c')} AS lat FROM bk WHERE tract_geoid IS NOT NULL", "bk")
-O["j18_point_in_polygon"] = compose("""
+cte("hit", """
 SELECT uninumbr, min(poly_id) AS poly_id, count(*) AS n_matches FROM pt JOIN tileid
   ON floor((lon + 93) * 4) = i AND floor((lat - 36) * 4) = j
 WHERE NOT (holed AND (lon + 93) * 4 - i >= 0.25 AND (lon + 93) * 4 - i < 0.75 AND (lat - 36) * 4 - j >= 0.25 AND (lat - 36) * 4 - j < 0.75)
-GROUP BY 1""", "pt", "tileid")
+GROUP BY 1 """, "pt", "tileid")
+O["j18_point_in_polygon"] = compose("SELECT * FROM hit", "hit")
 cte("pe1", projected("tedge", "s.lon1", "s.lat1", "poly_id, lon1, lat1, lon2, lat2"), "tedge", "cone")
 cte("pe2", projected("pe1", "s.lon2", "s.lat2", "poly_id, x AS ax, y AS ay, s.lon1, s.lat1, lon2, lat2").replace("SELECT poly_id, x AS ax, y AS ay, s.lon1, s.lat1, lon2, lat2, rho * sin(th) AS x", "SELECT poly_id, x AS ax, y AS ay, lon1, lat1, lon2, lat2, rho * sin(th) AS bx").replace("AS y FROM (", "AS by2 FROM ("), "pe1", "cone")
 O["f18_polygon_centroids"] = compose("""
@@ -81,6 +82,21 @@ SELECT uninumbr, group_id, round(CASE WHEN cross_ % 2 = 1 THEN 0.0 ELSE gap END,
   FROM (SELECT *, greatest(0.0, least(1.0, ((x-ax)*(bx-ax) + (y-ay)*(by2-ay)) / ((bx-ax)*(bx-ax) + (by2-ay)*(by2-ay)))) AS t
     FROM ptx JOIN oe2 USING (group_id)) GROUP BY 1, 2)""", "ptx", "oe2")
 
+cte("mm", """
+SELECT *, split_part(located, '-', 1)::INTEGER + 1 || '-' || split_part(located, '-', 2) AS group_id FROM (
+  SELECT pt.*, substr(poly_id, 1, 3)::INTEGER // 4 || '-' || substr(poly_id, 4, 3)::INTEGER // 4 AS located
+  FROM pt JOIN hit USING (uninumbr))
+WHERE CAST(uninumbr AS BIGINT) % 29 = 0 """, "pt", "hit")
+cte("mmx", projected("mm", "s.lon", "s.lat", "uninumbr, lon, lat, located, group_id"), "mm", "cone")
+O["q16_county_mismatch"] = compose("""
+SELECT m.uninumbr, m.group_id AS reported, m.located, round(CASE WHEN cross_ % 2 = 1 THEN 0.0 ELSE gap END, 3) AS miles_off,
+  EXISTS (SELECT 1 FROM corner a JOIN corner b ON a.lon = b.lon AND a.lat = b.lat WHERE a.group_id = m.group_id AND b.group_id = m.located) AS adjacent
+FROM mm m LEFT JOIN (
+  SELECT uninumbr, count(*) FILTER (WHERE (lat1 > lat) <> (lat2 > lat) AND lon < lon1 + (lat - lat1) * (lon2 - lon1) / nullif(lat2 - lat1, 0)) AS cross_,
+    min(sqrt((x - ax - t*(bx-ax))*(x - ax - t*(bx-ax)) + (y - ay - t*(by2-ay))*(y - ay - t*(by2-ay))) / 1609.344) AS gap
+  FROM (SELECT *, greatest(0.0, least(1.0, ((x-ax)*(bx-ax) + (y-ay)*(by2-ay)) / ((bx-ax)*(bx-ax) + (by2-ay)*(by2-ay)))) AS t
+    FROM mmx JOIN oe2 USING (group_id)) GROUP BY 1) d USING (uninumbr)""", "mm", "mmx", "oe2", "corner")
+
 # -- catchments ---------------------------------------------------------------------
 O["j20_catchment_pairs"] = compose("SELECT * FROM pairs", "pairs")
 O["j23_site_spacing"] = compose("SELECT uninumbr, tier, round(nearest_miles, 4) AS nearest_miles FROM spacing", "spacing")
@@ -133,8 +149,7 @@ SELECT YEAR, count(*) AS branches, CAST(sum(DEPSUMBR) AS BIGINT) AS total_deposi
   round(quantile_cont(DEPSUMBR, 0.9), 2) AS p90_k, max(DEPSUMBR) AS max_k,
   round(sum(DEPSUMBR) FILTER (WHERE rn <= greatest(1, n // 100)) / sum(DEPSUMBR), 6) AS share_in_top_1pct
 FROM (SELECT *, row_number() OVER (PARTITION BY YEAR ORDER BY DEPSUMBR DESC) AS rn, count(*) OVER (PARTITION BY YEAR) AS n FROM sod) GROUP BY 1""", "sod")
-FIELDS = "UNINUMBR CERT DEPSUMBR SIMS_LATITUDE SIMS_LONGITUDE BRSERTYP BKMO ADDRESBR CITYBR NAMEFULL SIMS_ESTABLISHED_DATE".split()
-O["a16_population_rates"] = compose("SELECT YEAR, " + ", ".join(f"round(count({f}) / count(*), 4) AS {f}" for f in FIELDS) + " FROM sod GROUP BY 1", "sod")
+O["a16_population_rates"] = compose("SELECT YEAR, " + ", ".join(f"round(count({f}) / count(*), 4) AS {f}" for f in KEY_FIELDS) + " FROM sod GROUP BY 1", "sod")
 cte("yr", "SELECT DISTINCT year FROM by_", "by_")
 cte("step", "SELECT year AS prev, (SELECT min(year) FROM yr n WHERE n.year > yr.year) AS cur FROM yr WHERE year < (SELECT max(year) FROM yr)", "yr")
 cte("pres", "SELECT DISTINCT CERT, UNINUMBR, YEAR FROM sod", "sod")
@@ -175,7 +190,7 @@ cte("drift0", f"SELECT s.*, {validity('SIMS_LATITUDE', 'SIMS_LONGITUDE')} = 'ok'
 cte("drift1", projected("(SELECT * FROM drift0 WHERE good)", "s.SIMS_LONGITUDE", "s.SIMS_LATITUDE", "UNINUMBR, YEAR, addr"), "drift0", "cone")
 O["d19_branch_drift"] = compose("""
 SELECT s.UNINUMBR, first_year, last_year, invalid_vintages, round(mi, 4) AS position_drift_miles, chg AS address_changed,
-  CASE WHEN nv = 1 THEN 'single_vintage' WHEN round(mi, 4) <= 0.1 THEN 'stable' WHEN chg THEN 'relocation' WHEN nv > 1 THEN 'regeocode' END AS drift_kind
+  CASE WHEN nv = 1 THEN 'single_vintage' WHEN mi <= 0.1 THEN 'stable' WHEN chg THEN 'relocation' WHEN nv > 1 THEN 'regeocode' END AS drift_kind
 FROM (SELECT UNINUMBR, min(YEAR) AS first_year, max(YEAR) AS last_year, count(*) FILTER (WHERE NOT good AND SIMS_LATITUDE IS NOT NULL) AS invalid_vintages FROM drift0 GROUP BY 1) s
 LEFT JOIN (SELECT UNINUMBR, count(*) AS nv, count(DISTINCT addr) > 1 AS chg,
     sqrt((arg_max(x, YEAR) - arg_min(x, YEAR))**2 + (arg_max(y, YEAR) - arg_min(y, YEAR))**2) / 1609.344 AS mi FROM drift1 GROUP BY 1) d ON d.UNINUMBR = s.UNINUMBR""", "drift0", "drift1")
@@ -438,7 +453,7 @@ FROM (SELECT sum(opportunity_score) FILTER (WHERE rule = 'A_commercial') AS sa,
 LEFT JOIN cvr c ON c.rule = 'current' LEFT JOIN cvr b ON b.rule = 'B_constrained'""", "sites", "cvr")
 O["m20_tract_measures"] = compose("""
 SELECT tier, round(lc, 4) AS subject_lmi_coverage, round(nc, 4) AS subject_non_lmi_coverage, round(ls, 4) AS lmi_share_of_selection_pct, round(cg_, 4) AS cluster_measured_growth_pct, round(tc, 4) AS subject_tract_coverage_pct,
-  'LMI ' || format('{:.1f}', ls) || '% vs 29.5% footprint  |  growth estimated for ' || format('{:.1f}', cg_) || '% of these tracts' AS shortlist_caveat
+  'LMI ' || format('{:.1f}', ls) || '% vs ' || format('{:.1f}', (SELECT 100.0::DOUBLE * sum(households) FILTER (WHERE lmi_flag) / sum(households) FROM tr WHERE lmi_flag IS NOT NULL AND households IS NOT NULL)) || '% footprint  |  growth estimated for ' || format('{:.1f}', cg_) || '% of these tracts' AS shortlist_caveat
 FROM (SELECT tier, sum(households) FILTER (WHERE lmi_flag AND i) / sum(households) FILTER (WHERE lmi_flag) AS lc, sum(households) FILTER (WHERE NOT lmi_flag AND i) / sum(households) FILTER (WHERE NOT lmi_flag) AS nc,
     100.0::DOUBLE * count(*) FILTER (WHERE lmi_flag) / count(lmi_flag) AS ls, 100.0::DOUBLE * count(*) FILTER (WHERE growth_basis <> 'direct') / count(household_growth_pct) AS cg_,
     100.0::DOUBLE * count(*) FILTER (WHERE i) / (SELECT count(*) FROM tr) AS tc
@@ -452,6 +467,23 @@ O["m31_top_measures"] = compose("""
 SELECT round(100.0::DOUBLE * count(*) FILTER (WHERE lmi_flag) / count(lmi_flag), 4) AS top_lmi_share_pct, round(100.0::DOUBLE * count(*) FILTER (WHERE growth_is_estimated) / count(*), 4) AS top_cluster_growth_pct
 FROM (SELECT * FROM wif ORDER BY weighted_score DESC, tract_geoid LIMIT 50)""", "wif")
 
+O["p34_selection_funnel"] = f"""
+SELECT count(*) AS all_institutions, count(*) FILTER (WHERE c1_both_states) AS after_c1_both_states, count(*) FILTER (WHERE c1_both_states AND c2_scale) AS after_c2_scale,
+  count(*) FILTER (WHERE c1_both_states AND c2_scale AND c3a_continuous) AS after_c3a_continuous,
+  count(*) FILTER (WHERE c1_both_states AND c2_scale AND c3a_continuous AND c5_not_top5) AS after_c5_not_top5,
+  count(*) FILTER (WHERE c1_both_states AND c2_scale AND c3a_continuous AND c5_not_top5 AND c6_asset_band) AS after_c6_asset_band FROM ({O['p34_selection_criteria']})"""
+O["a30_branch_reach"] = compose("SELECT uninumbr, branch_tier, count(*) AS tracts, count(*) FILTER (WHERE is_primary) AS primary_tracts FROM bridge GROUP BY 1, 2", "bridge")
+O["a30_overlap_sizes"] = compose("SELECT branches, count(*) AS tracts FROM (SELECT tract_geoid, count(*) AS branches FROM bridge GROUP BY 1) GROUP BY 1", "bridge")
+GRID = " UNION ALL ".join(
+    f"SELECT tract_geoid, '{c}' AS component, w, round({' + '.join('w' if d == c else f'{PW[d]}::DOUBLE' for d in COMPS)}, 2) AS weight_total, "
+    + " + ".join(f"round(contrib_{d} / {PW[d]}::DOUBLE, 6) * {'w' if d == c else f'{PW[d]}::DOUBLE'}" for d in COMPS) + " AS raw FROM sc CROSS JOIN grid"
+    for c in COMPS)
+cte("grid", "SELECT round(i * 0.05::DOUBLE, 2) AS w FROM range(11) t(i)")
+cte("gridded", GRID, "sc", "grid")
+O["m33_weight_grid"] = compose("""
+SELECT component, w AS weight, weight_total, round(avg(round(raw / weight_total, 6)), 4) AS mean_score, count(*) AS tracts,
+  first(tract_geoid ORDER BY round(raw / weight_total, 6) DESC, tract_geoid) AS best_tract FROM gridded GROUP BY 1, 2, 3""", "gridded")
+
 # -- export models --------------------------------------------------------------------------------
 O["e01_branch_model"] = compose(f"""
 SELECT b.*, p.index_size_adjusted, p.performance_index AS index_raw, p.diagnosis, p.market, p.cagr_3y_pct, p.actual_deposits, p.predicted_deposits, p.households AS catchment_households, p.booking_concentration, p.catchment_partly_unmeasured

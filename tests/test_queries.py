@@ -37,7 +37,7 @@ def test_against_oracle(spark, con, name):
 
 def test_registered_names():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
-    assert set(catalogue.queries()) - set(all_oracles()) == {"s17_file_manifest"}
+    assert set(catalogue.queries()) == set(all_oracles())
 
 
 def test_entry(spark):
