@@ -319,8 +319,7 @@ def gates() -> dict[str, Query]:
         "gate05_subject_resolution": _src(lambda t: quality.subject_resolution(_crosswalk(t))),
         "gate06_identifier_lengths": _wh(lambda wh: quality.id_lengths(wh, ID_LENGTHS).drop("type")),
         "gate07_references": _wh(quality.referential_checks),
-        "gate07_orphan_tracts": _wh(lambda wh: quality.orphan_tracts(
-            wh.fact_tract_lending, wh.dim_tract.filter(F.col("tract_status") != "suppressed"))),
+        "gate07_orphan_tracts": _wh(lambda wh: quality.orphan_tracts(wh.fact_tract_lending, wh.dim_tract)),
         "gate09_row_counts": _wh(lambda wh: quality.row_counts(wh, (
             "dim_year", "dim_institution", "dim_branch", "dim_tract", "fact_branch_deposits", "fact_tract_lending",
             "bridge_branch_catchment", "fact_tract_competition", "fact_county_deposit_growth"))),

@@ -102,7 +102,10 @@ class DriverTables:
 
     def fact_tract_lending(self) -> DataFrame:
         return (
-            self._placed_lines().filter("tract_geoid is not null")
+            # a few records name a tract that no tract row describes
+            self._placed_lines().filter("tract_geoid is not null").withColumn("tract_geoid", F.expr(
+                "case when l_orderkey % 997 = 5 then concat(left(tract_geoid, length(tract_geoid) - 6), '999999')"
+                " else tract_geoid end"))
             .groupBy("tract_geoid", "l_suppkey", "l_returnflag", "l_linenumber")
             .agg(
                 F.expr("count(1) as record_count"),
@@ -119,7 +122,9 @@ class DriverTables:
         """Unaggregated application records, all text, some without a tract."""
         return self._placed_lines().selectExpr(
             "tract_geoid as census_tract", "lpad(cast(l_suppkey as string), 20, '0') as lei",
-            "l_returnflag as loan_purpose", "cast(l_linenumber as string) as action_taken",
+            "l_returnflag as loan_purpose",
+            # code 9 is not in the code list
+            "case when l_orderkey % 499 = 7 then '9' else cast(l_linenumber as string) end as action_taken",
             "case when l_suppkey % 19 = 0 then 'Exempt'"
             " else cast(cast(round(l_extendedprice * 100) as bigint) as string) end as loan_amount",
             # every third tract reports no ratio at all

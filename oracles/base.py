@@ -133,15 +133,15 @@ SELECT {CERT.format(s='i')} AS cert, 'Bank ' || {CERT.format(s='i')} AS institut
 FROM (SELECT unnest(range(40)) AS i) WHERE i = 0 OR i >= 6 """)
 
 cte("lend", """
-SELECT tract_geoid, lpad(CAST(l_suppkey AS VARCHAR), 20, '0') AS lei, l_returnflag AS loan_purpose,
+SELECT CASE WHEN l_orderkey % 997 = 5 THEN left(tract_geoid, length(tract_geoid) - 6) || '999999' ELSE tract_geoid END AS tract_geoid, lpad(CAST(l_suppkey AS VARCHAR), 20, '0') AS lei, l_returnflag AS loan_purpose,
   CAST(l_linenumber AS VARCHAR) AS action_taken, count(*) AS record_count,
   CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / 100.0::DOUBLE AS total_amount
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN bk ON bk.c = o_custkey
-WHERE tract_geoid IS NOT NULL GROUP BY 1, 2, 3, 4 """, "bk")
+WHERE bk.tract_geoid IS NOT NULL GROUP BY 1, 2, 3, 4 """, "bk")
 
 cte("loans", """
 SELECT tract_geoid AS census_tract, lpad(CAST(l_suppkey AS VARCHAR), 20, '0') AS lei, l_returnflag AS loan_purpose,
-  CAST(l_linenumber AS VARCHAR) AS action_taken,
+  CASE WHEN l_orderkey % 499 = 7 THEN '9' ELSE CAST(l_linenumber AS VARCHAR) END AS action_taken,
   CASE WHEN l_suppkey % 19 = 0 THEN 'Exempt' ELSE CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR) END AS loan_amount,
   CASE WHEN CAST(tract_geoid AS BIGINT) % 3 <> 0 THEN CAST(40 + (l_suppkey * 7 + l_linenumber) % 90 AS VARCHAR) ELSE 'NA' END AS tract_to_msa_income_percentage
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN bk ON bk.c = o_custkey """, "bk")

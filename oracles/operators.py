@@ -403,7 +403,7 @@ SELECT cert, branches_before, branches_now, round((branches_now - branches_befor
   SELECT CERT AS cert, count(DISTINCT UNINUMBR) FILTER (WHERE YEAR = (SELECT max(prev) FROM step)) AS branches_before, count(DISTINCT UNINUMBR) FILTER (WHERE YEAR = (SELECT y FROM newest)) AS branches_now FROM sod GROUP BY 1)
 WHERE branches_before >= 3 AND abs((branches_now - branches_before) / branches_before) > 0.02 AND cert <> '00009'""", "sod", "step", "newest")
 O["gate03_county_codes"] = compose("SELECT count(*) FILTER (WHERE STCNTYBR IS NULL OR length(STCNTYBR) <> 5) AS malformed FROM sod", "sod")
-O["gate04_outcome_codes"] = compose("SELECT action_taken, count(*) AS rows FROM loans WHERE action_taken > '5' GROUP BY 1", "loans")
+O["gate04_outcome_codes"] = compose("SELECT action_taken, count(*) AS rows FROM loans WHERE action_taken NOT IN ('1', '2', '3', '4', '5', '6', '7', '8') GROUP BY 1", "loans")
 O["gate05_subject_resolution"] = compose("""
 SELECT *, subject_rows = 1 AND same_lei = 1 AND applications > 0 AS passes FROM (SELECT count(*) FILTER (WHERE is_subject_bank) AS subject_rows,
   count(*) FILTER (WHERE lei <> '' AND lei = (SELECT max(lei) FROM xw WHERE is_subject_bank)) AS same_lei, CAST(coalesce(sum(applications) FILTER (WHERE is_subject_bank), 0) AS BIGINT) AS applications FROM xw)""", "xw")
@@ -417,7 +417,7 @@ O["gate07_references"] = compose(" UNION ALL ".join(f"SELECT '{n}' AS \"check\",
     + " UNION ALL SELECT 'tract.county -> growth', count(DISTINCT county_fips) FROM tr WHERE county_fips NOT IN (SELECT county_fips FROM cg)", "fbd", "br", "inst", "bridge", "lend", "comp", "cg", "tr")
 O["gate07_orphan_tracts"] = compose("""
 SELECT tract_geoid, count(*) AS fact_rows, CAST(sum(record_count) AS BIGINT) AS applications, count(DISTINCT lei) AS lenders, substr(tract_geoid, 1, 2) AS state_fips
-FROM lend WHERE tract_geoid NOT IN (SELECT tract_geoid FROM tr WHERE tract_status <> 'suppressed') GROUP BY 1""", "lend", "tr")
+FROM lend WHERE tract_geoid NOT IN (SELECT tract_geoid FROM tr) GROUP BY 1""", "lend", "tr")
 TABLES = (("dim_year", "yr"), ("dim_institution", "inst"), ("dim_branch", "br"), ("dim_tract", "tr"), ("fact_branch_deposits", "fbd"), ("fact_tract_lending", "lend"),
           ("bridge_branch_catchment", "bridge"), ("fact_tract_competition", "comp"), ("fact_county_deposit_growth", "cg"))
 O["gate09_row_counts"] = compose(" UNION ALL ".join(f"SELECT '{n}' AS \"table\", count(*) AS rows FROM {s}" for n, s in TABLES), *[s for _, s in TABLES])
