@@ -243,6 +243,8 @@ def operators() -> dict[str, Query]:
         "p30_lmi_basis": _src(_lmi_basis),
         "p31_income_basis": _src(_income_basis),
         "j19_staged_branches": _src(lambda t: staging.stage_branches(t.sod(), t.tile_polygons())),
+        "p32_staged_deposits": _src(lambda t: staging.stage_deposits(t.sod())),
+        "p01_staged_institutions": _src(lambda t: staging.stage_institutions(_crosswalk(t), "2002-01-01")),
         "p34_selection_criteria": _src(_selection),
         "p34_selection_funnel": _src(lambda t: profile.funnel_counts(_selection(t))),
         "p36_county_check": _src(_county_check),

@@ -164,14 +164,6 @@ def household_growth(tracts: DataFrame, base: DataFrame, clusters: DataFrame, ye
     )
 
 
-def cluster_sizes(growth: DataFrame) -> DataFrame:
-    """Median, p95 and maximum cluster size of the tracts that use a cluster."""
-    used = growth.filter(F.col("growth_basis") == "cluster")
-    return ranking.quantiles(
-        used, [], "cluster_tracts", {"median_size": 0.5, "p95_size": 0.95, "max_size": 1.0}, count="tracts"
-    )
-
-
 def tract_growth(tracts: DataFrame, overlaps: DataFrame, old_counts: DataFrame) -> DataFrame:
     """The whole ladder: weights, apportionment, clusters, growth."""
     weights = materialise(land_weights(overlaps))

@@ -54,28 +54,26 @@ def footprint_breaches(
     return moved.join(acknowledged.select("cert", "year"), ["cert", "year"], "left_anti")
 
 
-def bad_length(df: DataFrame, column: str, length: int) -> DataFrame:
-    """Identifiers of the wrong length, counted per value length."""
-    text = F.col(column)
-    return df.filter(text.isNotNull() & (F.length(text) != length)).groupBy(F.length(text).alias("length")).agg(
-        F.count(F.lit(1)).alias("rows"))
-
-
 def malformed_fips(df: DataFrame, column: str) -> DataFrame:
     """Rows whose county code is missing or not five digits: one row."""
     return df.agg(C.count_where(F.col(column).isNull() | (F.length(column) != 5)).alias("malformed"))
 
 
 def id_lengths(wh, lengths: Mapping[tuple[str, str], int]) -> DataFrame:
-    """Wrong-length counts per identifier column, one row each."""
-    return relational.union_all([
-        getattr(wh, table).agg(
-            F.lit(f"{table}.{column}").alias("identifier"),
-            C.count_where(F.col(column).isNotNull() & (F.length(column) != n)).alias("wrong_length"),
-            F.lit(dict(getattr(wh, table).dtypes)[column]).alias("type"),
-        )
-        for (table, column), n in lengths.items()
-    ])
+    """Wrong-length counts per identifier column, one row each; one aggregate per table."""
+    tables: dict[str, dict[str, int]] = {}
+    for (table, column), n in lengths.items():
+        tables.setdefault(table, {})[column] = n
+    out = []
+    for table, columns in tables.items():
+        df = getattr(wh, table)
+        kinds = dict(df.dtypes)
+        counts = df.agg(*[C.count_where(F.col(c).isNotNull() & (F.length(c) != n)).alias(c) for c, n in columns.items()])
+        out.append(counts.select(F.explode(F.array(*[
+            F.struct(F.lit(f"{table}.{c}").alias("identifier"), F.col(c).alias("wrong_length"), F.lit(kinds[c]).alias("type"))
+            for c in columns
+        ])).alias("r")).select("r.*"))
+    return relational.union_all(out)
 
 
 def unmapped_codes(df: DataFrame, column: str, known: Sequence[str]) -> DataFrame:
@@ -152,13 +150,13 @@ def more_than_one_primary(bridge: DataFrame) -> DataFrame:
 
 
 def not_boolean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Values outside true, false and missing, per declared boolean column."""
-    bad = {c: F.col(c).isNotNull() & C.as_flag(c).isNull() for c in columns}
-    return relational.union_all([
-        df.filter(cond).groupBy(F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("column", F.lit(c))
-        for c, cond in bad.items()
-    ])
+    """Values outside true, false and missing, per declared boolean column, in one pass."""
+    flags = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"),
+                 (F.col(c).isNotNull() & C.as_flag(c).isNull()).alias("bad")) for c in columns
+    ])).alias("r")).select("r.*")
+    return flags.filter("bad").groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows")).select(
+        "value", "rows", "column")
 
 
 def out_of_tolerance(errors: DataFrame, limit: float = 1e-3, column: str = "max_error") -> DataFrame:
@@ -167,7 +165,3 @@ def out_of_tolerance(errors: DataFrame, limit: float = 1e-3, column: str = "max_
 
 def reconciliation_failures(report: DataFrame) -> DataFrame:
     return report.filter(~F.col("ac01_result").startswith("PASS"))
-
-
-def null_keys(df: DataFrame, column: str) -> Column:
-    return df.agg(C.count_where(F.col(column).isNull())).scalar()

@@ -23,17 +23,6 @@ def flag_exists(df: DataFrame, keys: DataFrame, on: Sequence[str], name: str) ->
     return df.join(seen, list(on), "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], newest: bool = False) -> DataFrame:
-    """One row per key by the least (or greatest) value of the order columns.
-
-    A combining aggregate instead of a window: a hot key collapses map-side.
-    The order columns must be comparable and hold no NULLs.
-    """
-    rest = [c for c in df.columns if c not in keys]
-    pick = F.max_by if newest else F.min_by
-    return df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("_row")).select(*keys, "_row.*")
-
-
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
@@ -51,5 +40,18 @@ def union_all(frames: Sequence[DataFrame], allow_missing: bool = False) -> DataF
     return out
 
 
-def unpivot_columns(df: DataFrame, ids: Sequence[str], values: Sequence[str], var: str, val: str) -> DataFrame:
-    return df.unpivot(list(ids), list(values), var, val)
+def in_report_order(df: DataFrame, query: str) -> DataFrame:
+    """The rows of a business query in their published order.
+
+    The queries themselves return unsorted frames: a global sort of a large
+    result is paid for only where a report asks for it.
+    """
+    last = F.asc_nulls_last
+    order = {
+        "q01": ("state", "county_fips", "year"), "q02": ("state", "county_fips", "year"),
+        "q03": (F.desc("is_subject_bank"), last("cagr_pct")), "q04": (last("vs_market_pp"),),
+        "q05": (last("excess_growth_pp"),), "q06": ("deposit_percentile",),
+        "q09": ("tract_geoid", F.desc_nulls_last("origination_count")), "q10": (F.desc("competitor_originations"),),
+        "q11": (F.desc("unmet_originations"),), "q12": (F.desc_nulls_last("opportunity_score"),),
+    }
+    return df.orderBy(*order[query[:3]])

@@ -58,7 +58,6 @@ def q01_deposits_by_county_year(wh) -> DataFrame:
             "contested_branches", "deposits", "subject_deposits",
             C.rnd(C.ratio("deposits", "branches"), 0).alias("deposits_per_branch"),
         )
-        .orderBy("state", "county_fips", "year")
     )
 
 
@@ -80,7 +79,7 @@ def q02_market_share(wh) -> DataFrame:
         sites.alias("subject_branches"), "hq_branches", F.col("deposits").alias("market_deposits"),
         mine.alias("subject_deposits"), C.rnd(share, 3).alias("deposit_share_pct"),
         C.rnd(site_share, 3).alias("branch_share_pct"), C.rnd(share - site_share, 3).alias("share_gap_pp"),
-    ).orderBy("state", "county_fips", "year")
+    )
 
 
 def three_rows_back(deposits: DataFrame) -> DataFrame:
@@ -104,7 +103,6 @@ def q03_branch_cagr(wh) -> DataFrame:
             C.rnd(C.cagr_pct("deposits", "deposits_3y_ago", "years_elapsed"), 3).alias("cagr_pct"),
             (F.col("years_elapsed") != 3).alias("irregular_interval"),
         )
-        .orderBy(F.desc("is_subject_bank"), F.asc_nulls_last("cagr_pct"))
     )
 
 
@@ -138,7 +136,7 @@ def q04_rank_in_market(wh) -> DataFrame:
         ranking.rank_desc().alias("growth_rank_in_market"),
         C.rnd(ranking.percent_rank(), 4).alias("growth_percentile"),
         (F.col("n_group") < 10).alias("thin_market"),
-    ).orderBy(F.asc_nulls_last("vs_market_pp"))
+    )
 
 
 def q05_attribution(wh) -> DataFrame:
@@ -159,7 +157,7 @@ def q05_attribution(wh) -> DataFrame:
         C.attribution("sg", "mg").alias("attribution"), F.col("change").alias("market_branch_change"),
         (F.col("sb") - F.col("sb0")).alias("subject_branch_change"),
         C.market_volatile("mg", "change").alias("market_volatile"),
-    ).orderBy(F.asc_nulls_last("excess_growth_pp"))
+    )
 
 
 def q06_percentile_in_county(wh) -> DataFrame:
@@ -179,7 +177,7 @@ def q06_percentile_in_county(wh) -> DataFrame:
         C.rnd(C.ratio("deposits", "county_median_deposits"), 4).alias("vs_county_median"),
         C.rnd(ranking.percent_rank(), 4).alias("deposit_percentile"),
         (F.col("n_group") < 10).alias("thin_county"),
-    ).orderBy("deposit_percentile")
+    )
 
 
 def q14_reconciliation(wh) -> DataFrame:

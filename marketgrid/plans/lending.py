@@ -106,7 +106,7 @@ def q09_lending_outcomes(wh) -> DataFrame:
         "origination_count", "origination_amount", "denial_count", "purchased_count", "preapproval_count",
         C.rnd(C.pct("origination_count", "application_count"), 2).alias("origination_rate_pct"),
         C.rnd(C.pct("denial_count", "application_count"), 2).alias("denial_rate_pct_biased_low"),
-    ).orderBy("tract_geoid", F.desc_nulls_last("origination_count"))
+    )
 
 
 def tract_lending(wh) -> DataFrame:
@@ -155,7 +155,7 @@ def q10_capture_rate(wh) -> DataFrame:
         "lenders_originating", "all_applications", "all_originations", "all_origination_amt", "subject_originations",
         "subject_origination_amt", "capture_rate_pct", "competitor_originations",
         C.rnd("competitor_origination_amt", 2).alias("competitor_origination_amt"),
-    ).orderBy(F.desc("competitor_originations"))
+    )
 
 
 def q11_unmet_demand(wh) -> DataFrame:
@@ -180,4 +180,4 @@ def q11_unmet_demand(wh) -> DataFrame:
         C.opportunity_type("outside_footprint", "capture_rate_pct").alias("opportunity_type"),
         F.col("lmi_flag").isNull().alias("lmi_undetermined"),
         (F.col("tract_status") != "ok").alias("tract_partly_unmeasured"),
-    ).orderBy(F.desc("unmet_originations"))
+    )

@@ -17,7 +17,6 @@ from marketgrid.session import materialise
 
 TOP_N = 50
 # component column -> column of the index table that carries its raw value
-RAW_COLUMNS = {c: c for c in COMPONENTS}
 
 
 def raw_components(wh) -> DataFrame:
@@ -75,7 +74,7 @@ def weight_row(weights: DataFrame, scenario: str) -> F.Column:
 
 
 def q12_opportunity_index(wh, scenario: str = "primary") -> DataFrame:
-    return index_rows(wh, scenario).orderBy(F.desc_nulls_last("opportunity_score"))
+    return index_rows(wh, scenario)
 
 
 def index_rows(wh, scenario: str = "primary") -> DataFrame:

@@ -200,13 +200,13 @@ class Selection:
     an error, unless `complete` is off. Rule B is a triple by its definition.
     """
 
-    def __init__(self, wh, n: int = N_SITES, complete: bool = True):
+    def __init__(self, wh, n: int = N_SITES, complete: bool = True, first: int = FIRST_PREFIX):
         self.wh = wh
         self.cand = materialise(candidates(wh))
         a = greedy_sites(self.cand, n)
         if complete and len(a) < n:
             raise GateError(f"only {len(a)} of {n} separated sites exist")
-        rows = [(RULE_A, g) for g in a] + [(RULE_B, g) for g in constrained_sites(wh, self.cand)]
+        rows = [(RULE_A, g) for g in a] + [(RULE_B, g) for g in constrained_sites(wh, self.cand, first)]
         picks = wh.dim_tract.sparkSession.createDataFrame(rows, "rule string, tract_geoid string")
         self.members = materialise(picks.join(self.cand, "tract_geoid"))
         self.reach = materialise(candidate_reach(wh, self.members.dropDuplicates(["tract_geoid"])))

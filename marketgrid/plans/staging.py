@@ -93,3 +93,17 @@ def area_mismatch(points: DataFrame, outline: DataFrame, point_id: str) -> DataF
     return wrong.select(point_id, "reported", "located").join(off, [point_id, "reported"], "left").join(
         touching, pair, "left").select(
         point_id, "reported", "located", "miles_off", F.coalesce("adjacent", F.lit(False)).alias("adjacent"))
+
+
+def stage_deposits(sod: DataFrame) -> DataFrame:
+    """Deposit fact from the yearly file, which counts in thousands; rows without a branch id are left out."""
+    return sod.filter(F.col("UNINUMBR").isNotNull()).select(
+        F.col("UNINUMBR").alias("uninumbr"), F.col("CERT").alias("cert"), F.col("YEAR").alias("year"),
+        C.to_dollars("DEPSUMBR").alias("deposits"))
+
+
+def stage_institutions(crosswalk: DataFrame, as_of) -> DataFrame:
+    """Institution dimension from the crosswalk; one row per certificate."""
+    return crosswalk.select(
+        "cert", F.col("name").alias("institution_name"), "fed_rssd", F.nullif(F.col("lei"), F.lit("")).alias("lei"),
+        "match_quality", "match_method", "is_subject_bank", F.lit(as_of).cast("date").alias("attribute_as_of_date"))

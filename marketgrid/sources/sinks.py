@@ -12,7 +12,7 @@ from marketgrid.schemas import SCHEMAS, columns
 
 # join keys of the large tables: clustered files let readers skip row groups
 CLUSTER_BY = {
-    "fact_branch_deposits": ["uninumbr", "year"],
+    "fact_branch_deposits": ["year", "uninumbr"],
     "dim_branch": ["uninumbr"],
     "fact_tract_lending": ["tract_geoid"],
 }
@@ -33,16 +33,23 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     return df.select(*[F.col(name).cast(kind).alias(name) for name, kind in columns(table)])
 
 
+# tables cut into one folder per value: a reader of the newest vintage opens that folder alone
+PARTITION_BY = {"fact_branch_deposits": ["year"]}
+BUCKETED = ("fact_branch_deposits", "dim_branch")
+
+
 def build_warehouse(wh, folder: str, tables=STORED) -> None:
     """Rewrite every warehouse table under its declared schema.
 
-    Large facts are sorted within files by their join key.
+    Large tables are range-partitioned and sorted by their join key, so each
+    file covers a short span of keys and readers skip most of them; the
+    deposit fact also has a folder per year.
     """
     for name in tables:
         out = conform(getattr(wh, name), name)
         if name in CLUSTER_BY:
-            out = out.sortWithinPartitions(*CLUSTER_BY[name])
-        out.write.mode("overwrite").parquet(f"{folder}/{name}")
+            out = out.repartitionByRange(*CLUSTER_BY[name]).sortWithinPartitions(*CLUSTER_BY[name])
+        out.write.mode("overwrite").partitionBy(*PARTITION_BY.get(name, ())).parquet(f"{folder}/{name}")
 
 
 def save_bucketed(wh, database: str, buckets: int) -> None:
@@ -50,7 +57,7 @@ def save_bucketed(wh, database: str, buckets: int) -> None:
 
     Joins and per-branch windows on the id then need no exchange of either.
     """
-    for name in ("fact_branch_deposits", "dim_branch"):
+    for name in BUCKETED:
         conform(getattr(wh, name), name).write.mode("overwrite").bucketBy(buckets, "uninumbr").sortBy(
             "uninumbr").saveAsTable(f"{database}.{name}")
 

@@ -467,6 +467,9 @@ O["m31_top_measures"] = compose("""
 SELECT round(100.0::DOUBLE * count(*) FILTER (WHERE lmi_flag) / count(lmi_flag), 4) AS top_lmi_share_pct, round(100.0::DOUBLE * count(*) FILTER (WHERE growth_is_estimated) / count(*), 4) AS top_cluster_growth_pct
 FROM (SELECT * FROM wif ORDER BY weighted_score DESC, tract_geoid LIMIT 50)""", "wif")
 
+O["p32_staged_deposits"] = compose("SELECT UNINUMBR AS uninumbr, CERT AS cert, YEAR AS year, CAST(DEPSUMBR * 1000 AS BIGINT) AS deposits FROM sod", "sod")
+O["p01_staged_institutions"] = f"""
+SELECT cert, name AS institution_name, fed_rssd, nullif(lei, '') AS lei, match_quality, match_method, is_subject_bank, DATE '2002-01-01' AS attribute_as_of_date FROM ({O['j17_crosswalk']})"""
 O["p34_selection_funnel"] = f"""
 SELECT count(*) AS all_institutions, count(*) FILTER (WHERE c1_both_states) AS after_c1_both_states, count(*) FILTER (WHERE c1_both_states AND c2_scale) AS after_c2_scale,
   count(*) FILTER (WHERE c1_both_states AND c2_scale AND c3a_continuous) AS after_c3a_continuous,

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketgrid.functions import columns as C
+from marketgrid.operators.quality import GateError
 from marketgrid.plans import measures, siting
 from marketgrid.plans.warehouse import Warehouse
 
@@ -74,12 +75,13 @@ def brute_force(spark, wh, tracts, score, covered):
     return [cand[i][1] for i in chosen], best and (best[0], [cand[i][1] for i in best[1]])
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_rules_match_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,first", [(1, 64), (2, 3), (3, 4)])
+def test_rules_match_brute_force(spark, seed, first):
+    """A short first prefix has to grow until the triple is proven best."""
     tracts, score, covered = world(seed)
     wh = warehouse(spark, tracts, score, covered)
     want_a, want_b = brute_force(spark, wh, tracts, score, covered)
-    got = siting.Selection(wh)
+    got = siting.Selection(wh, first=first)
     sites = got.sites().collect()
     assert sorted(s.tract_geoid for s in sites if s.rule == siting.RULE_A) == sorted(want_a)
     chosen = sorted(s.tract_geoid for s in sites if s.rule == siting.RULE_B)
@@ -92,6 +94,29 @@ def test_rules_match_brute_force(spark, seed):
         assert {r.rule: r.passes for r in got.evaluation().collect()}[siting.RULE_B]
 
 
+def test_winner_beyond_the_first_prefix(spark):
+    """The best tracts add no low-income households, so the winner lies far down the list."""
+    tracts = [{
+        "tract_geoid": f"{i:011d}", "county_name": "x", "cbsa_title": "y", "county_fips": "00001", "cbsa": "1",
+        "tier": "metro", "households": 100.0, "lmi_flag": i >= 12, "lon": -92 + 0.3 * (i % 15), "lat": 38 + 0.3 * (i // 15),
+    } for i in range(15)]
+    score = {i: round(3 - 0.1 * i, 1) for i in range(15)}
+    wh = warehouse(spark, tracts, score, {})
+    want_a, want_b = brute_force(spark, wh, tracts, score, {})
+    got = siting.Selection(wh, first=3)
+    sites = got.sites().collect()
+    assert sorted(s.tract_geoid for s in sites if s.rule == siting.RULE_A) == sorted(want_a)
+    assert sorted(s.tract_geoid for s in sites if s.rule == siting.RULE_B) == sorted(want_b[1])
+    assert max(want_b[1]) >= "00000000012"
+
+
+def test_short_selection_is_refused(spark):
+    tracts, score, covered = world(1, n_scored=2)
+    with pytest.raises(GateError, match="separated sites"):
+        siting.Selection(warehouse(spark, tracts, score, covered))
+    assert siting.Selection(warehouse(spark, tracts, score, covered), complete=False).sites().count() <= 2
+
+
 RATES = [("current", 1839, 42.4944, 38.7077, 3.7868), ("B_constrained", 1850, 42.8686, 39.055, 3.8136),
          ("A_commercial", 1858, 42.5708, 39.3495, 3.2213)]
 RATE_DDL = ("rule string, tracts_covered long, lmi_coverage_pct double, non_lmi_coverage_pct double,"
