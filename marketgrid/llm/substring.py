@@ -12,6 +12,7 @@ compared one by one.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -44,11 +45,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def spans_hash(x: np.ndarray, start: np.ndarray, length: int, seed: int) -> np.ndarray:
-    """Hash of the `length` word numbers from each start."""
-    h = np.full(len(start), np.uint64(length))
+def spans_hash(x: np.ndarray, start: np.ndarray | int, length: int, seed: int) -> np.ndarray:
+    """Hash of the `length` word numbers from each start; from the first `start` places, if that is a number."""
+    n = start if isinstance(start, int) else len(start)
+    h = np.full(n, np.uint64(length))
     for j, c in enumerate(constants(length, seed)):
-        h += x[start + j] * c
+        h += (x[j:j + n] if isinstance(start, int) else x[start + j]) * c
     return mix(h)
 
 
@@ -86,11 +88,14 @@ def stretches(x: np.ndarray, window: int, starts: np.ndarray | None = None) -> t
     if len(x) < window or starts is not None and not len(starts):
         empty = np.empty(0, np.int64)
         return empty, empty, empty, empty
-    grams = spans_hash(x, np.arange(len(x) - half + 1), half, 1)
-    pick = np.empty(len(x) - window + 1, np.int64)
-    for at in range(0, len(pick), BLOCK):  # the first of the least half-windows in each window
-        view = np.lib.stride_tricks.sliding_window_view(grams[at:at + BLOCK + inside - 1], inside)
-        pick[at:at + len(view)] = np.arange(at, at + len(view)) + view.argmin(axis=1)
+    grams = spans_hash(x, len(x) - half + 1, half, 1)
+    # the first of the least half-windows in each window
+    n = len(x) - window + 1
+    least, pick = grams[:n].copy(), np.arange(n)
+    for k in range(1, inside):
+        lower = grams[k:k + n] < least
+        np.copyto(least, grams[k:k + n], where=lower)
+        pick[lower] = np.flatnonzero(lower) + k
     p = np.arange(len(pick)) if starts is None else starts
     q = pick[p]
     new = np.flatnonzero((np.diff(q, prepend=-1) != 0) | (np.diff(p, prepend=-2) != 1))
@@ -126,9 +131,10 @@ def _unpack(packed: bytes | None) -> list[bytes]:
 
 def _positions(starts: list[int] | None, runs: list[int] | None, window: int) -> np.ndarray:
     """Ascending positions of single windows and of runs coded as first * window + (last - first)."""
-    out = [np.array(starts or [], np.int64)]
-    for run in runs or ():
-        out.append(np.arange(run // window, run // window + run % window + 1))
+    coded = np.array(runs or [], np.int64)
+    sizes = coded % window + 1
+    spread = np.repeat(coded // window, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = [np.array(starts or [], np.int64), spread]
     return np.unique(np.concatenate(out))
 
 
@@ -145,14 +151,16 @@ def repeated_windows(
     """
     if within is None:
         def each(columns: list[list]) -> list[list]:
-            return _runs(zip(columns[0], columns[1], (numbers(split(t)) for t in columns[2]), [None] * len(columns[0])), window)
+            rows = enumerate(zip(*columns))
+            return _runs((((ord_, key, k), split(text)) for k, (ord_, key, text) in rows), window)
 
         found = arrow_map(rows.select("ord", "key", "text"), RUNS, each)
     else:
         def each(columns: list[list]) -> list[list]:
             lists = (_positions(s, r, half_only) for s, r in zip(columns[3], columns[4]))
-            starts = (np.intersect1d(p, p - (window - half_only)) for p in lists)
-            return _runs(zip(columns[0], columns[1], (numbers(_unpack(t)) for t in columns[2]), starts), window)
+            chosen = [np.intersect1d(p, p - (window - half_only)) for p in lists]
+            rows = enumerate(zip(*columns[:3]))
+            return _runs((((ord_, key, k), _unpack(packed)) for k, (ord_, key, packed) in rows), window, chosen)
 
         joined = _packed(rows).join(within, ["ord", "key"])
         found = arrow_map(joined.select("ord", "key", "packed", "starts", "runs"), RUNS, each)
@@ -169,12 +177,15 @@ def repeated_windows(
     open_runs = hits.filter("unclear").groupBy("ord", "key").agg(F.collect_list("run").alias("runs"))
 
     def single(columns: list[list]) -> list[list]:
-        out: list[list[np.ndarray]] = [[], [], [], [], []]
-        for ord_, key, packed, runs in zip(*columns):
-            x, p = numbers(_unpack(packed)), _positions(None, runs, window)
-            full = np.full(len(p), ord_), np.full(len(p), key)
+        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(5)]
+        documents = (((ord_, key, runs), _unpack(packed)) for ord_, key, packed, runs in zip(*columns))
+        for found, x, offsets in _blocks(documents):
+            lists = [_positions(None, runs, window) for _, _, runs in found]
+            sizes = [len(p) for p in lists]
+            p = np.concatenate([p + a for p, a in zip(lists, offsets)])
+            ids = np.repeat(np.array([(o, k) for o, k, _ in found], np.int64).reshape(-1, 2), sizes, axis=0)
             ends = spans_hash(x, p, window, 3).view(np.int64), spans_hash(mix(x), p, window, 4).view(np.int64)
-            for column, value in zip(out, (*full, p, *ends)):
+            for column, value in zip(out, (ids[:, 0], ids[:, 1], np.concatenate(lists), *ends)):
                 column.append(value)
         return [np.concatenate(c) for c in out]
 
@@ -192,12 +203,32 @@ def repeated_windows(
 RUNS = "half long, stretch long, ord long, key long, run long"
 
 
-def _runs(rows, window: int) -> list[list]:
+def _blocks(documents) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(rows, word numbers, offsets) of stretches of documents with about BLOCK words; `documents` yields (row, words)."""
+    rows, words, offsets = [], [], [0]
+    for row, own in documents:
+        rows.append(row)
+        words += own
+        offsets.append(len(words))
+        if len(words) >= BLOCK:
+            yield rows, numbers(words), np.array(offsets)
+            rows, words, offsets = [], [], [0]
+    if rows:
+        yield rows, numbers(words), np.array(offsets)
+
+
+def _runs(documents, window: int, chosen=None) -> list[list]:
+    """Columns of RUNS for documents ((ord, key), words); `chosen` gives the windows of a row, all if it is None."""
     out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(5)]
-    for ord_, key, x, starts in rows:
-        half, whole, first, last = stretches(x, window, starts)
-        for column, value in zip(out, (half, whole, np.full(len(half), ord_), np.full(len(half), key),
-                                       first * window + (last - first))):
+    for rows, x, offsets in _blocks(documents):
+        starts = [np.arange(b - a - window + 1) if chosen is None else chosen[k]
+                  for k, (a, b) in zip((r[2] for r in rows), zip(offsets, offsets[1:]))]
+        places = np.concatenate([s[s >= 0] + a for s, a in zip(starts, offsets)])
+        half, whole, first, last = stretches(x, window, places)
+        owner = np.searchsorted(offsets, first, side="right") - 1
+        ids = np.array([(o, k) for o, k, _ in rows], np.int64).reshape(-1, 2)
+        for column, value in zip(out, (half, whole, ids[owner, 0], ids[owner, 1],
+                                       (first - offsets[owner]) * window + (last - first))):
             column.append(value)
     return [np.concatenate(c) for c in out]
 
