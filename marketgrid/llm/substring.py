@@ -164,14 +164,15 @@ def repeated_windows(
 
         joined = _packed(rows).join(within, ["ord", "key"])
         found = arrow_map(joined.select("ord", "key", "packed", "starts", "runs"), RUNS, each)
-    by_half, by_stretch = W.partitionBy("half"), W.partitionBy("half", "stretch")
-    hits = found.withColumns({"least": F.min("ord").over(by_half), "most": F.max("ord").over(by_half)})
-    hits = hits.filter("least < most").withColumns({"same": F.min("ord").over(by_stretch), "last": F.max("ord").over(by_stretch)})
+    by_half, by_stretch = W.partitionBy("half", "settled"), W.partitionBy("half", "settled", "stretch")
+    hits = found.withColumns({"least": F.min("ord").over(by_half), "most": F.max("far").over(by_half)})
+    hits = hits.filter("settled or least < most").withColumns(
+        {"same": F.min("ord").over(by_stretch), "last": F.max("far").over(by_stretch)})
     hits = hits.withColumn("top", F.max("same").over(by_half))
     # a stretch that an earlier row has as well is settled; the first row of each stretch is compared window by window
     # where another stretch with this representative starts in a different row
-    sure = F.col("same") < F.col("last" if first_too else "ord")
-    unclear = (F.col("same") == F.col("ord")) & (F.col("top") > F.col("least"))
+    sure = F.col("settled") | (F.col("same") < F.col("last" if first_too else "ord"))
+    unclear = ~F.col("settled") & (F.col("same") == F.col("ord")) & (F.col("top") > F.col("least"))
     hits = hits.select("ord", "key", "run", sure.alias("sure"), unclear.alias("unclear")).filter("sure or unclear")
     hits = stage(hits, "hits")
     open_runs = hits.filter("unclear").groupBy("ord", "key").agg(F.collect_list("run").alias("runs"))
@@ -200,7 +201,7 @@ def repeated_windows(
     return both.groupBy("ord", "key").agg(F.collect_list("run").alias("runs"), F.collect_list("at").alias("starts"))
 
 
-RUNS = "half long, stretch long, ord long, key long, run long"
+RUNS = "half long, stretch long, ord long, key long, run long, far long, settled boolean"
 
 
 def _blocks(documents) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -218,8 +219,13 @@ def _blocks(documents) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
 
 
 def _runs(documents, window: int, chosen=None) -> list[list]:
-    """Columns of RUNS for documents ((ord, key), words); `chosen` gives the windows of a row, all if it is None."""
-    out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(5)]
+    """Columns of RUNS for documents ((ord, key, number), words); `chosen` gives the windows of a row, all if it is None.
+
+    A stretch that a row with a smaller ord holds in the same block of documents is settled at once: it goes under a
+    half of its own, so a passage that very many documents share sends one row per block to the task of its half. far
+    is the largest ord of the block that holds the stretch.
+    """
+    out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(6)] + [[np.empty(0, bool)]]
     for rows, x, offsets in _blocks(documents):
         starts = [np.arange(b - a - window + 1) if chosen is None else chosen[k]
                   for k, (a, b) in zip((r[2] for r in rows), zip(offsets, offsets[1:]))]
@@ -227,8 +233,17 @@ def _runs(documents, window: int, chosen=None) -> list[list]:
         half, whole, first, last = stretches(x, window, places)
         owner = np.searchsorted(offsets, first, side="right") - 1
         ids = np.array([(o, k) for o, k, _ in rows], np.int64).reshape(-1, 2)
-        for column, value in zip(out, (half, whole, ids[owner, 0], ids[owner, 1],
-                                       (first - offsets[owner]) * window + (last - first))):
+        ord_, key, run = ids[owner, 0], ids[owner, 1], (first - offsets[owner]) * window + (last - first)
+        order = np.lexsort((ord_, whole, half))
+        new = (np.diff(half[order], prepend=0) != 0) | (np.diff(whole[order], prepend=0) != 0)
+        new[:1] = True
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(order)))
+        least, far = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        least[order], far[order] = np.repeat(ord_[order][begin], size), np.repeat(ord_[order][begin + size - 1], size)
+        settled = ord_ > least
+        spread = mix(mix(ord_.view(np.uint64)) + run.view(np.uint64)).view(np.int64)
+        for column, value in zip(out, (np.where(settled, spread, half), whole, ord_, key, run, far, settled)):
             column.append(value)
     return [np.concatenate(c) for c in out]
 
