@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from marketgrid.functions.columns import METRES_PER_MILE
 from marketgrid.functions.geo import CONUS, miles
+from marketgrid.session import materialise
 
 _BASE_METRES = 1.5625         # finest level of the nearest-neighbour search
 _WIDTH = f"greatest(_r.radius_miles * {METRES_PER_MILE}D, 1D)"
@@ -71,19 +72,68 @@ def radius_join(
     )
 
 
+def _child_cells(cx: str, cy: str, split: int) -> Column:
+    """The split x split cells of the next finer grid inside a cell, one row each."""
+    return F.expr(
+        f"explode(flatten(transform(sequence(0L, {split - 1}L), i -> transform(sequence(0L, {split - 1}L),"
+        f" j -> named_struct('cx', {cx} * {split} + i, 'cy', {cy} * {split} + j)))))")
+
+
 def radius_sums(
-    circles: DataFrame, points: DataFrame, radii: DataFrame, ids: Sequence[str], sums: Sequence[str]
+    circles: DataFrame, points: DataFrame, radii: DataFrame, ids: Sequence[str], sums: Sequence[str],
+    crowded: int = 64, levels: int = 4,
 ) -> DataFrame:
     """Per circle, sums of point weights within the radius.
 
-    Copies of a place are merged on both sides first, so the number of
-    candidate pairs depends on distinct places only.  Circles without a point
-    are absent.
+    Copies of a place are merged on both sides first. A cell that lies inside
+    the circle as a whole gives its sums unseen; single places are tested only
+    in cells on the rim, and a rim cell with more than `crowded` places is cut
+    into 16 finer ones first, `levels` times at most (cells from 1/4 down to
+    1/256 of the radius). So the tests of a circle follow the places along its
+    rim, not those in its area. Circles without a point are absent.
     """
-    places = points.groupBy("px", "py").agg(*[F.sum(c).alias(c) for c in sums])
-    spots = circles.select("cx0", "cy0", "tier").distinct()
-    at_spot = radius_join(spots, places, radii).groupBy("cx0", "cy0", "tier").agg(
+    places = points.filter(F.col("px").isNotNull() & F.col("py").isNotNull()).groupBy("px", "py").agg(
         *[F.sum(c).alias(c) for c in sums])
+    sizes = radii.agg(F.collect_list(F.struct("tier", "radius_miles")).alias("r")).scalar()
+    located = places.withColumn("_r", F.explode(sizes)).selectExpr("*", "_r.tier as tier", f"{_WIDTH} as _w").drop("_r")
+    spots = circles.filter(F.col("cx0").isNotNull() & F.col("cy0").isNotNull()).select("cx0", "cy0", "tier").distinct()
+    key = ["cx0", "cy0", "tier", "radius_miles", "_w"]
+    wide = spots.join(radii.select("tier", "radius_miles"), "tier").withColumn(
+        "_w", F.greatest(F.col("radius_miles") * METRES_PER_MILE, F.lit(1.0)))
+    frontier = wide.withColumn("_c", _block(_cell("cx0", "_w"), _cell("cy0", "_w"))).select(
+        *key, F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy"))
+    found = []
+    for level in range(1, levels + 1):
+        size = f"(_w / {4**level}.0D)"
+        frontier = frontier.withColumn("_c", _child_cells("_cx", "_cy", 4)).select(
+            *key, F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy"))
+        # distances of the nearest and the farthest corner, with a millimetre for rounding
+        for axis, center in (("x", "cx0"), ("y", "cy0")):
+            low, high = f"(_c{axis} * {size} - 0.001D)", f"((_c{axis} + 1) * {size} + 0.001D)"
+            frontier = frontier.withColumns({
+                f"_n{axis}": F.expr(f"greatest({low} - {center}, {center} - {high}, 0D)"),
+                f"_f{axis}": F.expr(f"greatest(abs({low} - {center}), abs({high} - {center}))"),
+            })
+        reach = F.col("radius_miles") * METRES_PER_MILE
+        frontier = frontier.filter(F.sqrt(F.col("_nx") ** 2 + F.col("_ny") ** 2) <= reach + 0.001).withColumn(
+            "_inside", F.sqrt(F.col("_fx") ** 2 + F.col("_fy") ** 2) <= reach - 0.001)
+        here = located.selectExpr("*", f"{_cell('px', size)} as _cx", f"{_cell('py', size)} as _cy")
+        cells = here.groupBy("tier", "_cx", "_cy").agg(
+            *[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("_places"))
+        met = materialise(frontier.select(*key, "_cx", "_cy", "_inside").join(cells, ["tier", "_cx", "_cy"]))
+        found.append(met.filter("_inside").select("cx0", "cy0", "tier", *sums))
+        rim = met.filter("not _inside").select(*key, "_cx", "_cy", "_places")
+        few = rim if level == levels else rim.filter(F.col("_places") <= crowded)
+        tested = few.drop("_places").join(here.drop("_w"), ["tier", "_cx", "_cy"]).filter(
+            miles("cx0", "cy0", "px", "py") <= F.col("radius_miles"))
+        found.append(tested.select("cx0", "cy0", "tier", *sums))
+        frontier = rim.filter(F.col("_places") > crowded).select(*key, "_cx", "_cy")
+        if level == levels or frontier.isEmpty():
+            break
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    at_spot = every.groupBy("cx0", "cy0", "tier").agg(*[F.sum(c).alias(c) for c in sums])
     return circles.select(*ids, "cx0", "cy0", "tier").join(at_spot, ["cx0", "cy0", "tier"]).select(*ids, *sums)
 
 

@@ -38,6 +38,24 @@ def test_radius_join_matches_brute_force(spark):
     assert count == {i: sum(1 for a in want if a[0] == i) for i in {a[0] for a in want}}
 
 
+@pytest.mark.parametrize("crowded,levels", [(64, 4), (3, 4), (3, 2), (0, 3)])
+def test_sums_in_a_crowd(spark, crowded, levels):
+    """Thousands of places within one radius: whole cells, rim cells and their finer ones add up to the exact sums."""
+    rnd = random.Random(7)
+    pts = [(i, rnd.gauss(0, 1500), rnd.gauss(0, 1500)) for i in range(3000)] + [(3000 + i, 40.0, 40.0) for i in range(50)]
+    circles = pts[:40] + [(9000, 9e5, 9e5), (9001, -3000.0, 10.0), (9002, None, 1.0)]
+    c = spark.createDataFrame([(i, x, y, "metro") for i, x, y in circles], "cid int, cx0 double, cy0 double, tier string")
+    p = spark.createDataFrame(pts + [(1, None, 2.0)], "pid int, px double, py double").withColumn("w", F.lit(1)).withColumn("v", F.col("pid"))
+    r = spark.createDataFrame([("metro", 1.5)], "tier string, radius_miles double")
+    got = {x.cid: (x.w, x.v) for x in spatial.radius_sums(c, p, r, ["cid"], ["w", "v"], crowded, levels).collect()}
+    want = {}
+    for a in circles:
+        near = [b[0] for b in pts if a[1] is not None and dist(a, b) <= 1.5]
+        if near:
+            want[a[0]] = (len(near), sum(near))
+    assert got == want
+
+
 def test_nearest_other_with_copies_and_outliers(spark):
     pts = points(80, 3) + [(80, 5e6, 5e6), (81, 10.0, 10.0), (82, 10.0, 10.0)]
     df = spark.createDataFrame(pts, "id int, px double, py double")
