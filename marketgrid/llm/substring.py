@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from marketgrid.llm.common import arrow_map, stage
 
 WINDOW = 13
-WORDS_KEPT = 400_000
-BLOCK = 1 << 18
+WORDS_KEPT = 200_000
+BLOCK = 1 << 17
 LAST = (1 << 63) - 1
 
 
