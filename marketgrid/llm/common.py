@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 8 << 20
-
+from marketgrid.session import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in `spark.checkpoint.dir`; where it is unset, a temporary one, in local mode only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = tempfile.mkdtemp(prefix="llm-stages-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+BATCH_BYTES = 8 << 20
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
