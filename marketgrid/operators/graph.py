@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketgrid.functions import columns as C
-from marketgrid.operators import ranking
 from marketgrid.session import materialise
 
 WHOLE_PARENT = 0.95      # weight from which a parent counts as whole
