@@ -75,3 +75,19 @@ def test_rank_buckets_stay_small(spark, values):
     for r in got:
         assert r.n_below == seen and r.n_group == 200_000
         seen += r.n_equal
+
+
+def test_empty_deposits_are_refused(wh):
+    from marketgrid.plans import catchment
+
+    with pytest.raises(quality.GateError, match="no deposits"):
+        catchment.tie_break_sensitivity(wh.with_tables(fact_branch_deposits=wh.fact_branch_deposits.filter("false")))
+
+
+def test_overlaps_add_up(wh):
+    from marketgrid.plans import catchment
+
+    bridge = wh.bridge_branch_catchment
+    sizes = catchment.overlap_sizes(bridge).collect()
+    assert sum(r.branches * r.tracts for r in sizes) == bridge.count()
+    assert sum(r.primary_tracts for r in catchment.reach_sizes(bridge).collect()) == sum(r.tracts for r in sizes)
