@@ -107,7 +107,12 @@ def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     It is the row with the smallest doc_id (rows without id come last), then the smallest text hash, then the
     smallest hash of the whole row, so repeated rows leave one.
     """
-    same = classes(docs, radius, shingle).groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    return keep_first(docs, classes(docs, radius, shingle))
+
+
+def keep_first(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of `docs` that stay, one per component of `named` (doc_id, text_hash, component), as `keep_one` says."""
+    same = named.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "copies")
     kept = stage(same.groupBy("component").agg(F.min(key).alias("k")).select("k.*"), "kept")
     own_id, own_hash, place = fresh(docs, "_id", "_hash", "_place")
