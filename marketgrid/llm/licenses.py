@@ -4,8 +4,9 @@ alignment of the template with the text around them reports matched coverage and
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -90,6 +91,9 @@ class Index:
     postings: dict[int, list[tuple[int, int]]]
     vocabulary: dict[str, int]
     grams: frozenset
+    words: list[frozenset]
+    #: Places of each template whose fingerprint stands there only (all its places, where none is so).
+    once: list[frozenset]
 
     @classmethod
     def build(cls, templates: dict[str, str]) -> Index:
@@ -102,12 +106,20 @@ class Index:
                 postings[h].append((k, place))
                 grams.add(tuple(text[place:place + GRAM]))
         vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for g in grams for w in g}))}
-        return cls(names, texts, dict(postings), vocabulary, frozenset(grams))
+        once = []
+        for text in texts:
+            kept = winnow(fingerprints(text))
+            often = Counter(h for _, h in kept)
+            once.append(frozenset(p for p, h in kept if often[h] == 1) or frozenset(p for p, _ in kept))
+        return cls(names, texts, dict(postings), vocabulary, frozenset(grams), [frozenset(t) for t in texts], once)
 
     def candidates(self, found: list[str]) -> dict[tuple[int, int], list[int]]:
-        """(template, run of the text) -> shifts of text against template at which fingerprints meet."""
+        """(template, number of a run) -> shifts of text against template at which fingerprints meet.
+
+        Neighbouring shifts are a run as long as no place of the template comes twice: a second notice starts there.
+        """
         known = np.fromiter((w in self.vocabulary for w in found), bool, len(found))
-        hits: dict[int, list[int]] = defaultdict(list)
+        hits: dict[int, set[tuple[int, int]]] = defaultdict(set)
         shortest = min(map(len, self.templates), default=GRAM)
         width = min(GRAM, shortest) if shortest else GRAM
         if len(found) < width:
@@ -122,38 +134,64 @@ class Index:
                 if gram in self.grams:
                     h = xxhash.xxh64_intdigest(" ".join(gram).encode("utf-8", "surrogatepass"))
                     for template, place in self.postings.get(h, ()):
-                        hits[template].append(at - place)
+                        hits[template].add((at - place, place))
         out: dict[tuple[int, int], list[int]] = {}
-        for template, shifts in hits.items():
-            group = None
-            for shift in sorted(shifts):
-                if group is None or shift - out[(template, group)][-1] > BAND:
-                    group = shift
-                    out[(template, group)] = []
-                out[(template, group)].append(shift)
+        for template, pairs in hits.items():
+            runs_so_far, seen, last = 0, set(), None
+            once = self.once[template]
+            for shift, place in sorted(pairs):
+                if last is not None and (shift - last > BAND or place in seen):
+                    runs_so_far += 1
+                    seen = set()
+                if place in once:
+                    seen.add(place)
+                out.setdefault((template, runs_so_far), []).append(shift)
+                last = shift
         return out
 
     def matches(self, text: str | None, least: float = COVERAGE) -> list[tuple[str, float, int, int]]:
-        """(license, coverage, start, end) of matches, in code points; a weaker match inside another one is left out."""
+        """(license, coverage, start, end) of matches, in code points; a weaker match inside another one is left out.
+
+        The best match is taken first; runs that it touches are aligned again with the words that are left.
+        """
         found = words(text)
-        scored = []
+        left: list[str | None] = list(found)
+        waiting: list[tuple] = []
+
+        def add(template: int, low: int, high: int, start: int, stop: int) -> None:
+            """Align with each stretch of words from `start` to `stop` that no reported span interrupts."""
+            own = self.templates[template]
+            need, vocabulary = least * len(own), self.words[template]
+            while start < stop:
+                end = start
+                while end < stop and left[end] is not None:
+                    end += 1
+                part = left[start:end]
+                if part and sum(w in vocabulary for w in part) >= need:
+                    covered, first, last = align(own, part, low - start, high - start)
+                    if covered and covered >= need:
+                        heapq.heappush(waiting, (
+                            -covered, -covered / len(own), start + first, self.names[template], start + last, template,
+                            low, high, start, end))
+                start = end + 1
+
         for (template, _), shifts in self.candidates(found).items() if found else ():
             low, high = min(shifts) - BAND, max(shifts) + BAND
-            covered, first, last = align(self.templates[template], found, low, high)
-            if covered >= least * len(self.templates[template]):
-                scored.append((covered, covered / len(self.templates[template]), first, last, self.names[template]))
-        scored.sort(key=lambda m: (-m[0], -m[1], m[2], m[4]))
-        kept: list[tuple] = []
-        for m in scored:
-            if all(m[3] < k[2] or m[2] > k[3] for k in kept):
-                kept.append(m)
+            add(template, low, high, max(0, low), min(len(found), high + len(self.templates[template])))
+        kept = []
+        while waiting:
+            _, share, first, name, last, *rest = heapq.heappop(waiting)
+            if all(left[k] is not None for k in range(first, last + 1)):
+                kept.append((name, -share, first, last))
+                left[first:last + 1] = [None] * (last + 1 - first)
+            add(*rest)
         if not kept:
             return []
         places = [m.span() for m in WORD.finditer(text)]
-        return [(name, share, places[first][0], places[last][1]) for _, share, first, last, name in sorted(kept, key=lambda m: m[2])]
+        return [(name, share, places[first][0], places[last][1]) for name, share, first, last in sorted(kept, key=lambda m: m[2])]
 
 
-def align(template: list[str], text: list[str], low: int, high: int) -> tuple[int, int, int]:
+def align(template: list[str], text: list[str | None], low: int, high: int) -> tuple[int, int, int]:
     """(matched words, first, last word of the text) of the best alignment whose shift stays within [low, high].
 
     Longest common subsequence on the band of the dynamic programme; among equals the one that starts last.
