@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 from marketgrid.llm.common import arrow_map, fold, slices
 
 BUCKETS = 1 << 16
-#: Languages that a document's mixture starts with: those with the best likelihood of their own.
-SHORTLIST = 4
 ROUNDS = 12
 UNKNOWN = "und"
 ASTRAL_LETTER = 0xFFFF
-BLOCK = 1 << 20
+#: Trigrams times languages that are worked on at a time.
+BLOCK = 1 << 22
 #: Neighbouring trigrams share letters, so a document holds about a third as many independent observations.
 INDEPENDENT = 1 / 3
 SMOOTHING = 0.5
@@ -103,7 +102,7 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def mixtures(docs: list[np.ndarray], log_p: np.ndarray) -> np.ndarray:
-    """Documents x languages: proportions, zero outside the selected set; `docs` hold trigram buckets, none empty."""
+    """Documents x languages: proportions, zero outside the selected set, which starts as all languages; `docs` hold trigram buckets, none empty."""
     unique = [np.unique(d, return_counts=True) for d in docs]
     sizes = np.array([len(u) for u, _ in unique])
     start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -111,10 +110,8 @@ def mixtures(docs: list[np.ndarray], log_p: np.ndarray) -> np.ndarray:
     n = np.concatenate([c for _, c in unique]).astype(np.float64)
     rows = log_p[np.concatenate([u for u, _ in unique])].astype(np.float64)
     total = np.add.reduceat(n, start)
-    alone = np.add.reduceat(n[:, None] * rows, start, axis=0)
-    short = np.argsort(-alone, axis=1, kind="stable")[:, :SHORTLIST]
-    p = np.exp(np.take_along_axis(rows, short[owner], axis=1))
-    active = np.ones(short.shape, bool)
+    p = np.exp(rows)
+    active = np.ones((len(docs), log_p.shape[1]), bool)
     observations = np.maximum(total * INDEPENDENT, 2)
 
     def estimate(active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +125,7 @@ def mixtures(docs: list[np.ndarray], log_p: np.ndarray) -> np.ndarray:
 
     share, worth = estimate(active)
     going = np.ones(len(docs), bool)
-    for _ in range(short.shape[1] - 1):
+    for _ in range(log_p.shape[1] - 1):
         least = np.where(active, share, 2).argmin(axis=1)
         fewer = active.copy()
         fewer[np.arange(len(docs))[going], least[going]] = False
@@ -138,9 +135,7 @@ def mixtures(docs: list[np.ndarray], log_p: np.ndarray) -> np.ndarray:
         active = np.where(going[:, None], fewer, active)
         if not going.any():
             break
-    out = np.zeros((len(docs), log_p.shape[1]))
-    np.put_along_axis(out, short, np.where(active, share, 0), axis=1)
-    return out
+    return np.where(active, share, 0)
 
 
 def predict(texts: list[str | None], names: list[str], log_p: np.ndarray) -> list[tuple[str, float, str]]:
@@ -161,7 +156,7 @@ def predict(texts: list[str | None], names: list[str], log_p: np.ndarray) -> lis
         if len(found):
             waiting.append((k, found))
             size += len(found)
-        if size >= BLOCK:
+        if size * len(names) >= BLOCK:
             settle()
             size = 0
     if waiting:
