@@ -10,26 +10,12 @@ sys.path.insert(0, os.path.dirname(__file__))
 
 import corpus_pipeline  # noqa: E402
 from marketgrid.llm import decontaminate, packing, pii, queries, toxicity  # noqa: E402
-from test_llm_simhash import brute_fingerprint  # noqa: E402
+from test_llm_resemblance import brute_least  # noqa: E402
 from test_llm_text_operators import brute_base, plain_ids  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
 
-def brute_components(rows):
-    """Smallest id per row, over rows linked at two bits or fewer."""
-    prints = [brute_fingerprint(t) for _, t in rows]
-    least = [i for i, _ in rows]
-    moved = True
-    while moved:
-        moved = False
-        for x in range(len(rows)):
-            for y in range(len(rows)):
-                if least[y] < least[x] and (prints[x] ^ prints[y]).bit_count() <= 2:
-                    least[x], moved = least[y], True
-    return least
-
-
 def test_stages_against_brute_force(spark):
     documents = spark.read.parquet(f"{SF}/documents.parquet")
     docs = documents
@@ -43,7 +29,7 @@ def test_stages_against_brute_force(spark):
             model = toxicity.fit(docs, marks)
             assert set(rows) == {i for i, t in before if model.score(t) < 0.5}
         elif name == "near_dedup":
-            assert set(rows) == set(brute_components(before))
+            assert set(rows) == set(brute_least(before)[0].values())
         elif name == "decontamination":
             items = [decontaminate.words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
             def holds(text):
@@ -77,5 +63,5 @@ def test_queries_are_registered():
     import __spark_entry__
 
     names = list(__spark_entry__.queries())
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
     assert "pipeline" in names and set(queries.ORACLES) <= set(queries.QUERIES)
