@@ -96,20 +96,34 @@ def count_table(docs: DataFrame, longest: int) -> DataFrame:
     return parts.groupBy("feature").agg(F.sum("n").alias("n"))
 
 
+def level(n: Column) -> Column:
+    """Counts in falling detail: exact below 1024, then 64 steps for each doubling; at most some 4,500 values."""
+    return F.when(n < 1024, n).otherwise(1024 + F.floor(64 * F.log2(n / 1024.0)))
+
+
+def most_frequent(counts: DataFrame, size: int) -> list[bytes]:
+    """The features of the highest levels, as many whole levels as hold at most `size` of them together."""
+    levels = counts.groupBy(level(F.col("n")).alias("level")).agg(F.count("*").alias("features")).collect()
+    cut, held = None, 0
+    for row in sorted(levels, reverse=True):
+        held += row["features"]
+        if held > size:
+            break
+        cut = row["level"]
+    if cut is None:
+        return []
+    return [bytes(r["feature"]) for r in counts.filter(level(F.col("n")) >= cut).select("feature").collect()]
+
+
 def head(docs: DataFrame, longest: int = 1, size: int = HEAD) -> tuple[dict[bytes, int], dict[tuple[bytes, bytes], int]]:
-    """CRC states of the `size` most frequent words, and buckets of the most frequent pairs.
+    """CRC states of the most frequent words, and buckets of the most frequent pairs, at most `size` of each.
 
-    At most 2 * size features of HEAD_BYTES bytes reach the driver. Ties in the counts go to the smaller bytes.
+    So at most 2 * size features of HEAD_BYTES bytes reach the driver, whatever the number of documents or tasks.
     """
-    counts = count_table(docs, longest)
-    counts = stage(counts, "counts") if longest > 1 else counts
+    counts = stage(count_table(docs, longest), "counts")
     pair = F.locate(" ", F.decode("feature", "ISO-8859-1")) > 0
-
-    def most(rows: DataFrame) -> list[bytes]:
-        return [bytes(r["feature"]) for r in rows.orderBy(F.desc("n"), "feature").limit(size).collect()]
-
-    singles = most(counts.filter(~pair) if longest > 1 else counts)
-    pairs = most(counts.filter(pair)) if longest > 1 else []
+    singles = most_frequent(counts.filter(~pair), size)
+    pairs = most_frequent(counts.filter(pair), size) if longest > 1 else []
     return {w: zlib.crc32(w) for w in singles}, {tuple(p.split(b" ")): zlib.crc32(p) % BUCKETS for p in pairs}
 
 
