@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,13 @@ from marketgrid.operators import graph, quality, ranking, relational, spatial
 from marketgrid.plans import (
     catchment, deposits, exports, lending, measures, opportunity, performance, profile, siting, staging,
 )
+from marketgrid.plans.assemble import RawStar
 from marketgrid.plans.warehouse import Warehouse
 from marketgrid.schemas import ID_LENGTHS
-from marketgrid.session import materialise
-from marketgrid.sources import readers
-from marketgrid.sources.driver_tables import DriverTables
+from marketgrid.session import materialise, new_folder
+from marketgrid.sources import readers, release, sinks
+from marketgrid.sources.driver_tables import SUBJECT_CERT, DriverTables
+from marketgrid.sources.raw_files import RawFiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 STATES = ("00", "01", "02", "03", "04")
@@ -391,5 +394,48 @@ def exported() -> dict[str, Query]:
     }
 
 
+# -- a warehouse out of raw files -----------------------------------------------------
+def _raw_star(spark: SparkSession, folder: str) -> RawStar:
+    return RawStar(RawFiles(spark, folder), SUBJECT_CERT, "2002-01-01")
+
+
+def _built(table: str, *rounded: str) -> Query:
+    """One table of the warehouse, as a release stores it."""
+    def build(spark: SparkSession, folder: str) -> DataFrame:
+        rows = sinks.conform(getattr(_raw_star(spark, folder).warehouse(), table), table)
+        return rows.withColumns({c: C.rnd(c, 4) for c in rounded})
+
+    return build
+
+
+def _released(build: Callable[[SparkSession, release.Release, str], DataFrame]) -> Query:
+    """Something over a release that was written, audited and published from raw files, once per application."""
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        root = new_folder(spark, f"release-{hashlib.sha256(folder.encode()).hexdigest()[:16]}")
+        made = release.current(spark, root)
+        if made is None:
+            star = _raw_star(spark, folder)
+            made = release.publish(star.warehouse(), root, observed=star.observed)
+        return build(spark, made, root)
+
+    return run
+
+
+def from_raw() -> dict[str, Query]:
+    return {
+        "p01_dim_institution": _built("dim_institution"),
+        "p01_dim_branch": _built("dim_branch", "latitude", "longitude", "position_drift_miles"),
+        "p01_dim_tract": _built("dim_tract", "tract_to_area_income_pct", "centroid_lat", "centroid_lon"),
+        "p01_fact_branch_deposits": _built("fact_branch_deposits"),
+        "p01_fact_tract_lending": _built("fact_tract_lending"),
+        "p01_release_counts": _released(lambda spark, made, root: release.counts(spark, made)),
+        "p01_release_market_share": _released(
+            lambda spark, made, root: deposits.q02_market_share(release.open_release(spark, root))),
+        "p01_release_opportunity": _released(
+            lambda spark, made, root: opportunity.q12_opportunity_index(release.open_release(spark, root))),
+        "p03_records_without_area": _released(lambda spark, made, root: release.dropped(spark, made, "lending")),
+    }
+
+
 def queries() -> dict[str, Query]:
-    return {**business(), **operators(), **gates(), **measured(), **exported()}
+    return {**business(), **operators(), **gates(), **measured(), **exported(), **from_raw()}

@@ -55,3 +55,29 @@ def in_report_order(df: DataFrame, query: str) -> DataFrame:
         "q11": (F.desc("unmet_originations"),), "q12": (F.desc_nulls_last("opportunity_score"),),
     }
     return df.orderBy(*order[query[:3]])
+
+
+def at_most_once(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
+    """The frame with a check inside its plan: a key that occurs twice stops the query that reads it.
+
+    One aggregate on the keys counts and hands the row on, so a join on the
+    same keys needs no further exchange and no second job looks for copies.
+    Rows with a NULL key match nothing in a join and may repeat.
+    """
+    kinds = dict(df.dtypes)
+    rest = [c for c in df.columns if c not in keys]
+    grouped = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), *([F.first(F.struct(*rest)).alias("_row")] if rest else []))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    shown = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    stop = F.raise_error(F.concat(F.lit(f"{what}: more than one row for "), shown)).cast(kinds[keys[0]])
+    first = F.when((F.col("_n") > 1) & known, stop).otherwise(F.col(keys[0])).alias(keys[0])
+    out = grouped.select(first, *keys[1:], *(["_row.*"] if rest else []))
+    return out.select(*df.columns)
+
+
+def join_one(left: DataFrame, right: DataFrame, on: Sequence[str], what: str, how: str = "left") -> DataFrame:
+    """Many-to-one join: the query stops where the right side has a key twice, instead of multiplying rows."""
+    return left.join(at_most_once(right, on, what), list(on), how)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketgrid.functions import columns as C
-from marketgrid.operators import ranking
+from marketgrid.operators import ranking, relational
 from marketgrid.session import materialise
 
 BOOKING_MULTIPLE = 20
@@ -20,12 +20,12 @@ def endpoints(wh) -> tuple[Column, Column]:
 
 
 def with_county(sod: DataFrame, branches: DataFrame) -> DataFrame:
-    """Yearly records with the county of the coordinates, else the reported one."""
+    """Yearly records with the county of the coordinates, else the reported one; a branch described twice is an error."""
     county = branches.select(
         F.col("uninumbr").alias("UNINUMBR"),
         F.coalesce(C.county_of("tract_geoid"), F.col("county_fips")).alias("county_fips"),
     )
-    return sod.join(county, "UNINUMBR", "left").filter(F.col("county_fips").isNotNull())
+    return relational.join_one(sod, county, ["UNINUMBR"], "branches").filter(F.col("county_fips").isNotNull())
 
 
 def flag_booking(records: DataFrame, year_to: Column, multiple: float = BOOKING_MULTIPLE) -> DataFrame:

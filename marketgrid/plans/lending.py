@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from marketgrid.functions import columns as C
@@ -21,8 +21,15 @@ def unplaced_count(records: DataFrame) -> DataFrame:
     )
 
 
-def stage_lending(records: DataFrame) -> DataFrame:
-    """Records to tract x lender x purpose x outcome; NULL keys are kept as groups."""
+def stage_lending(records: DataFrame, dropped: Observation | None = None) -> DataFrame:
+    """Records to tract x lender x purpose x outcome; NULL keys are kept as groups.
+
+    `dropped` is filled by the pass that reads the records: how many there were
+    and how many had no tract.
+    """
+    if dropped is not None:
+        records = records.observe(dropped, F.count(F.lit(1)).alias("records"), C.count_where(
+            F.col("census_tract").isNull()).alias("without_tract"))
     amount = C.number("loan_amount", "bigint")
     return (
         placed(records).groupBy(F.col("census_tract").alias("tract_geoid"), "lei", "loan_purpose", "action_taken")

@@ -146,7 +146,7 @@ def acquisition_ratio(sod: DataFrame, vintages: DataFrame) -> DataFrame:
         C.rnd(F.sum("year_ratio"), 6).alias("acq_ratio"), C.rnd(F.max("year_ratio"), 6).alias("max_year_ratio"))
 
 
-def footprint_profile(sod: DataFrame, vintages: DataFrame, states: tuple[str, str]) -> DataFrame:
+def footprint_profile(sod: DataFrame, vintages: DataFrame, states: tuple[str, ...]) -> DataFrame:
     """Per certificate: name, current branches by state, peak size and years present."""
     newest = relational.latest_year(vintages)
     yearly = sod.groupBy("CERT", "YEAR").agg(
@@ -160,7 +160,7 @@ def footprint_profile(sod: DataFrame, vintages: DataFrame, states: tuple[str, st
         *[F.coalesce(F.max(F.when(now, F.col(f"s{i}"))), F.lit(0)).alias(f"state_{i + 1}")
           for i in range(len(states))],
         F.max("n").alias("peak"), F.count(F.lit(1)).alias("vintages"),
-    ).withColumn("current_branches", F.col("state_1") + F.col("state_2"))
+    ).withColumn("current_branches", F.expr(" + ".join(f"state_{i + 1}" for i in range(len(states)))))
 
 
 def selection_funnel(profile: DataFrame, ratios: DataFrame, assets: DataFrame, vintages: DataFrame, limits=None) -> DataFrame:
@@ -209,9 +209,9 @@ def crosswalk(sod: DataFrame, vintages: DataFrame, institutions: DataFrame, lei_
     )
     register = institutions.groupBy(F.col("CERT").alias("cert")).agg(
         F.min(F.struct("fed_rssd")).alias("r")).select("cert", F.col("r.fed_rssd").alias("fed_rssd"), F.lit(True).alias("listed"))
-    rows = certs.join(register, "cert", "left").join(
-        lei_index.select(F.col("rssd").alias("fed_rssd"), "lei"), "fed_rssd", "left"
-    ).join(volume, "lei", "left")
+    codes = lei_index.select(F.col("rssd").alias("fed_rssd"), "lei")
+    rows = relational.join_one(relational.join_one(
+        certs.join(register, "cert", "left"), codes, ["fed_rssd"], "lender codes"), volume, ["lei"], "volumes")
     quality = C.match_quality(F.coalesce("listed", F.lit(False)), "fed_rssd", "lei")
     return rows.withColumn("match_quality", quality).select(
         "cert", "name", "current_branches", "fed_rssd",

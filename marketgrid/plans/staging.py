@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketgrid.functions import columns as C
-from marketgrid.operators import spatial
+from marketgrid.operators import relational, spatial
 from marketgrid.plans import lending, profile
 
 
@@ -23,7 +23,7 @@ def income_basis(tracts: DataFrame, records: DataFrame, area_income: DataFrame)
     own = C.pct("median_family_income", "_area")
     return (
         tracts.select("tract_geoid", "cbsa", "median_family_income")
-        .join(reported, "tract_geoid", "left").join(area, "cbsa", "left")
+        .join(reported, "tract_geoid", "left").transform(relational.join_one, area, ["cbsa"], "area incomes")
         .withColumn("tract_to_area_income_pct", F.coalesce("_reported", own))
         .select(
             "tract_geoid", "tract_to_area_income_pct",
@@ -46,13 +46,13 @@ def stage_tracts(
     base = acs.withColumns({
         "tract_geoid": F.concat("state", "county", "tract"), "county_fips": F.concat("state", "county"),
         "county_name": C.county_from_label("NAME"),
-    }).join(areas, "county_fips", "left").withColumn("tier", F.coalesce("tier", F.lit("rural")))
+    }).transform(relational.join_one, areas, ["county_fips"], "kinds of counties").withColumn("tier", F.coalesce("tier", F.lit("rural")))
     base = base.withColumn("tract_status", C.tract_status("tract_geoid", "households", "median_family_income"))
     place = centers.select(F.col("poly_id").alias("tract_geoid"), "centroid_lat", "centroid_lon")
     return (
         base.join(income_basis(base, records, area_income), "tract_geoid", "left")
-        .join(place, "tract_geoid", "left")
-        .join(growth.drop("households"), "tract_geoid", "left")
+        .transform(relational.join_one, place, ["tract_geoid"], "centroids")
+        .transform(relational.join_one, growth.drop("households"), ["tract_geoid"], "growth rows")
         .withColumn("growth_basis", F.coalesce("growth_basis", F.lit("no_2010_counterpart")))
         .drop("state", "county", "tract", "NAME")
     )

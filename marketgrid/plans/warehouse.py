@@ -80,6 +80,13 @@ class Warehouse:
         wh._derived = {"vintages": lambda w: w.dim_year.select("year"), **_derived_tables(stored=True)}
         return wh
 
+    @classmethod
+    def from_database(cls, spark: SparkSession, database: str) -> Warehouse:
+        """Open a warehouse of managed tables; those bucketed on the branch id join on it without an exchange."""
+        wh = cls({name: (lambda n=name: spark.table(f"{database}.{n}")) for name in STORED})
+        wh._derived = {"vintages": lambda w: w.dim_year.select("year"), **_derived_tables(stored=True)}
+        return wh
+
     @classmethod
     def from_tables(cls, source) -> Warehouse:
         """A warehouse over a source of dimensions and facts; the rest is derived.

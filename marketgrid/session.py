@@ -37,6 +37,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
 
 
+def new_folder(spark: SparkSession, name: str | None = None) -> str:
+    """A path for one stored stage (or for something named), in the folder of this application, which may be removed when the run is over."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name or uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a frame as Parquet into the shared folder and go on from the stored copy.
 
@@ -45,6 +50,6 @@ def materialise(df: DataFrame) -> DataFrame:
     folder, named after the application, which may be removed when the run is over.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

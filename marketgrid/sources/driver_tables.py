@@ -258,14 +258,20 @@ class DriverTables:
             f"cast(floor(({_lon('s_suppkey')} + 93) * 4) as int) as i",
             f"cast(floor(({_lat('s_suppkey')} - 36) * 4) as int) as j",
         ).distinct()
+        return self.rings(tiles.selectExpr(
+            "i", "j", "concat(lpad(cast(i as string), 3, '0'), lpad(cast(j as string), 3, '0')) as poly_id"))
+
+    @staticmethod
+    def rings(tiles: DataFrame) -> DataFrame:
+        """Vertices of tiles (i, j, poly_id)."""
         outer = "array(array(0D, 0D), array(4D, 0D), array(4D, 4D), array(0D, 4D))"
         hole = "array(array(1D, 1D), array(1D, 3D), array(3D, 3D), array(3D, 1D))"
         rings = tiles.selectExpr(
-            "i", "j", f"posexplode(case when (i + j) % 2 = 0 then array({outer}, {hole}) else array({outer}) end)"
+            "i", "j", "poly_id", f"posexplode(case when (i + j) % 2 = 0 then array({outer}, {hole}) else array({outer}) end)"
             " as (ring, pts)"
         )
-        return rings.selectExpr("i", "j", "ring + 1 as ring_id", "posexplode(pts) as (seq, pt)").selectExpr(
-            "concat(lpad(cast(i as string), 3, '0'), lpad(cast(j as string), 3, '0')) as poly_id", "ring_id", "seq",
+        return rings.selectExpr("i", "j", "poly_id", "ring + 1 as ring_id", "posexplode(pts) as (seq, pt)").selectExpr(
+            "poly_id", "ring_id", "seq",
             "-93 + (i + pt[0] / 4) / 4 as lon", "36 + (j + pt[1] / 4) / 4 as lat",
         )
 

@@ -2,6 +2,6 @@
 
 
 def all_oracles() -> dict[str, str]:
-    from oracles import business, operators
+    from oracles import business, operators, raw
 
-    return {**business.ORACLES, **operators.O}
+    return {**business.ORACLES, **operators.O, **raw.R}

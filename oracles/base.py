@@ -7,6 +7,8 @@ cross joins and recursive queries where the jobs use distributed forms.
 from __future__ import annotations
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
+#: Composed text -> what it was composed of, so that it can be put over other base tables.
+PARTS: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 
 def cte(name: str, text: str, *needs: str) -> None:
@@ -15,19 +17,31 @@ def cte(name: str, text: str, *needs: str) -> None:
 
 def compose(body: str, *needs: str) -> str:
     """A query text with every CTE it needs, dependencies first."""
+    text = _compose(body, needs, CTES)
+    PARTS[text] = body, needs
+    return text
+
+
+def over(text: str, swapped: dict[str, str]) -> str:
+    """A composed text again, with some of its tables standing for other CTEs."""
+    body, needs = PARTS[text]
+    return _compose(body, needs, {**CTES, **{n: ((o,), f"SELECT * FROM {o}") for n, o in swapped.items()}})
+
+
+def _compose(body: str, needs: tuple[str, ...], ctes: dict[str, tuple[tuple[str, ...], str]]) -> str:
     done: list[str] = []
 
     def visit(n: str) -> None:
         if n in done:
             return
-        for d in CTES[n][0]:
+        for d in ctes[n][0]:
             visit(d)
         done.append(n)
 
     for n in needs:
         visit(n)
-    recursive = any("--recursive" in CTES[n][1] for n in done)
-    heads = [f"{n} AS (\n{CTES[n][1]}\n)" for n in done]
+    recursive = any("--recursive" in ctes[n][1] for n in done)
+    heads = [f"{n} AS (\n{ctes[n][1]}\n)" for n in done]
     return ("WITH " + ("RECURSIVE " if recursive else "") + ",\n".join(heads) + "\n" if heads else "") + body
 
 
