@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from marketgrid.functions.columns import METRES_PER_MILE
 from marketgrid.functions.geo import CONUS, miles
+from marketgrid.operators import relational
 from marketgrid.session import materialise
 
 _BASE_METRES = 1.5625         # finest level of the nearest-neighbour search
@@ -147,48 +148,80 @@ def _levels(x: str, y: str) -> Column:
     return F.expr(f"explode(array({cells}))")
 
 
-def nearest_distance(
-    queries: DataFrame, targets: DataFrame, ids: Sequence[str], exclude_self: bool = False
-) -> DataFrame:
-    """Distance in miles from each query point (px, py) to the nearest target.
+def _tested(spots: DataFrame, places: DataFrame, exclude_self: bool, crowded: int) -> DataFrame:
+    """(qx, qy, px, py, _copies): the places each query spot is measured against; the nearest is among them.
 
-    Cells grow by a factor of 4 per level.  The finest level whose 3x3 block
-    holds a target bounds the distance by 2*sqrt(2) cells, less than one cell
-    of the next level, so the nearest target is inside the 3x3 block there:
-    exact, in one pass, without a loop.  With ``exclude_self`` queries and
-    targets are the same set and a point does not count as its own neighbour;
-    two points at one place are 0 apart.
+    A pyramid of cells that grow by a factor of 4 per level. The finest level
+    whose 3x3 block holds a target bounds the distance by 2*sqrt(2) cells, less
+    than one cell of the next level, so the nearest target is in the 3x3 block
+    there. From these cells the search goes down: the box around the targets of
+    a cell bounds their distances from below and above, a cell whose nearest
+    possible target is farther than another cell's farthest is dropped, cells of
+    at most `crowded` targets are measured, others are replaced by their 16
+    children. So a query meets a number of cells that does not depend on how
+    many targets a far town holds.
     """
-    places = targets.filter(F.col("px").isNotNull() & F.col("py").isNotNull()).groupBy("px", "py").agg(
-        F.count(F.lit(1)).alias("_copies")
-    )
     by_cell = places.withColumn("_l", _levels("px", "py")).select("px", "py", "_copies", "_l.*")
-    cells = by_cell.groupBy("lv", "cx", "cy").agg(F.count(F.lit(1)).alias("_places"))
+    cells = materialise(by_cell.groupBy("lv", "cx", "cy").agg(
+        F.count(F.lit(1)).alias("_places"), F.min("px").alias("_x0"), F.max("px").alias("_x1"),
+        F.min("py").alias("_y0"), F.max("py").alias("_y1")))
     around = (
         cells.withColumn("_b", _block("cx", "cy"))
         .groupBy("lv", F.col("_b.cx").alias("cx"), F.col("_b.cy").alias("cy"))
         .agg(F.sum("_places").alias("_around"))
     )
     need = 2 if exclude_self else 1
-    spots = queries.filter(F.col("px").isNotNull() & F.col("py").isNotNull()).select("px", "py").distinct()
     level = (
-        spots.select(F.col("px").alias("qx"), F.col("py").alias("qy"))
-        .withColumn("_l", _levels("qx", "qy")).select("qx", "qy", "_l.*")
+        spots.select("qx", "qy").withColumn("_l", _levels("qx", "qy")).select("qx", "qy", "_l.*")
         .join(around.filter(F.col("_around") >= need), ["lv", "cx", "cy"], "left_semi")
         .groupBy("qx", "qy").agg(F.least(F.min("lv") + 1, F.lit(_LEVELS)).alias("lv"))
     )
     size = f"{_BASE_METRES}D * pow(4D, lv)"
-    search = (
-        level.withColumn("_b", _block(_cell("qx", size), _cell("qy", size)))
-        .select("qx", "qy", "lv", F.col("_b.cx").alias("cx"), F.col("_b.cy").alias("cy"))
+    frontier = level.withColumn("_b", _block(_cell("qx", size), _cell("qy", size))).select(
+        "qx", "qy", "lv", F.col("_b.cx").alias("cx"), F.col("_b.cy").alias("cy"))
+    found = []
+    while True:
+        near_x = F.greatest(F.col("_x0") - F.col("qx"), F.col("qx") - F.col("_x1"), F.lit(0.0))
+        near_y = F.greatest(F.col("_y0") - F.col("qy"), F.col("qy") - F.col("_y1"), F.lit(0.0))
+        far_x = F.greatest(F.abs(F.col("_x0") - F.col("qx")), F.abs(F.col("_x1") - F.col("qx")))
+        far_y = F.greatest(F.abs(F.col("_y0") - F.col("qy")), F.abs(F.col("_y1") - F.col("qy")))
+        far = far_x * far_x + far_y * far_y
+        # the only place of a cell may be the query itself: it promises no other one
+        sure = F.when((F.col("_places") > 1) | (far > 0), far) if exclude_self else far
+        met = frontier.join(cells, ["lv", "cx", "cy"]).withColumns({
+            "_near": near_x * near_x + near_y * near_y, "_far": sure}).drop("_x0", "_x1", "_y0", "_y1")
+        limit = met.groupBy("qx", "qy").agg(F.min("_far").alias("_limit"))
+        # a millionth more, so that rounding never drops the nearest
+        open_cells = materialise(met.join(limit, ["qx", "qy"]).filter(
+            F.col("_limit").isNull() | (F.col("_near") <= F.col("_limit") * 1.000001)).select(
+            "qx", "qy", "lv", "cx", "cy", "_places"))
+        few = (F.col("_places") <= crowded) | (F.col("lv") == 0)
+        found.append(open_cells.filter(few).join(by_cell, ["lv", "cx", "cy"]).select("qx", "qy", "px", "py", "_copies"))
+        crowds = open_cells.filter(~few)
+        if crowds.isEmpty():
+            return relational.union_all(found)
+        frontier = crowds.withColumn("_c", _child_cells("cx", "cy", 4)).select(
+            "qx", "qy", (F.col("lv") - 1).alias("lv"), F.col("_c.cx").alias("cx"), F.col("_c.cy").alias("cy"))
+
+
+def nearest_distance(
+    queries: DataFrame, targets: DataFrame, ids: Sequence[str], exclude_self: bool = False, crowded: int = 32
+) -> DataFrame:
+    """Distance in miles from each query point (px, py) to the nearest target; NULL without a target.
+
+    Exact; see `_tested` for the search. With ``exclude_self`` queries and
+    targets are the same set and a point does not count as its own neighbour;
+    two points at one place are 0 apart.
+    """
+    places = targets.filter(F.col("px").isNotNull() & F.col("py").isNotNull()).groupBy("px", "py").agg(
+        F.count(F.lit(1)).alias("_copies")
     )
+    spots = queries.filter(F.col("px").isNotNull() & F.col("py").isNotNull()).select(
+        F.col("px").alias("qx"), F.col("py").alias("qy")).distinct()
     gap = miles("qx", "qy", "px", "py")
     own = (F.col("qx") == F.col("px")) & (F.col("qy") == F.col("py"))
     counted = F.when(~own | (F.col("_copies") > 1), gap) if exclude_self else gap
-    best = (
-        by_cell.join(search, ["lv", "cx", "cy"])
-        .groupBy("qx", "qy").agg(F.min(counted).alias("nearest_miles"))
-    )
+    best = _tested(spots, places, exclude_self, crowded).groupBy("qx", "qy").agg(F.min(counted).alias("nearest_miles"))
     return (
         queries.join(best, (F.col("px") == F.col("qx")) & (F.col("py") == F.col("qy")), "left")
         .select(*ids, "nearest_miles")

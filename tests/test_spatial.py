@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,32 @@ def test_centroid_of_a_square(spark):
     assert r.centroid_lon == pytest.approx(-89.95, abs=1e-4)
     assert r.centroid_lat == pytest.approx(40.05, abs=1e-3)
     assert r.square_miles == pytest.approx(6.9 * 5.29, rel=0.02)
+
+
+def test_a_crowded_town_costs_a_far_query_little(spark):
+    """20,000 sites on a square mile, queries inside, beside and far away: exact, and few sites are measured per query."""
+    rng = np.random.default_rng(11)
+    town = rng.uniform(0, 1609.344, (20_000, 2)) + (1_500_000, 900_000)
+    rows = [(float(x), float(y)) for x, y in town]
+    asked = [(1_500_800.0, 900_800.0), (1_498_000.0, 900_500.0), (1_400_000.0, 1_000_000.0), (-2_000_000.0, 3_000_000.0)]
+    targets = spark.createDataFrame(rows, "px double, py double")
+    queries = spark.createDataFrame([(k, *q) for k, q in enumerate(asked)], "id int, px double, py double")
+    got = {r.id: r.nearest_miles for r in spatial.nearest_distance(queries, targets, ["id"]).collect()}
+    for k, q in enumerate(asked):
+        assert got[k] == pytest.approx(np.hypot(*(town - q).T).min() / 1609.344, rel=1e-12)
+    spots = queries.selectExpr("px as qx", "py as qy")
+    places = targets.withColumn("_copies", F.lit(1))
+    tests = [r["count"] for r in spatial._tested(spots, places, False, 32).groupBy("qx", "qy").count().collect()]
+    assert len(tests) == 4 and max(tests) < 1_000
+
+
+def test_nearest_other_with_copies_and_lone_points(spark):
+    rng = np.random.default_rng(12)
+    points = [(float(x), float(y)) for x, y in rng.uniform(0, 3000, (150, 2))] + [(5.0, 5.0)] * 3 + [(9e5, 9e5)]
+    table = spark.createDataFrame([(k, *p) for k, p in enumerate(points)] + [(999, None, 1.0)], "id int, px double, py double")
+    for crowded in (1, 4, 1000):
+        got = {r.id: r.nearest_miles for r in spatial.nearest_distance(table, table, ["id"], True, crowded).collect()}
+        assert got.pop(999) is None
+        for k, p in enumerate(points):
+            want = min(np.hypot(p[0] - q[0], p[1] - q[1]) for j, q in enumerate(points) if j != k) / 1609.344
+            assert got[k] == pytest.approx(want, rel=1e-12, abs=1e-12)
