@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketgrid.session import shared_folder
+from marketgrid.session import new_folder
 
 BATCH_BYTES = 8 << 20
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: a lost executor costs no recomputation."""
-    path = f"{shared_folder(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -34,33 +34,37 @@ class Encoder:
     """Token ids as little-endian 32-bit bytes, by a tokenizer file of the `tokenizers` library.
 
     A byte-level BPE whose merges make the ids in order is the same function as one over ranks, so its vocabulary is
-    handed to `tiktoken`, which is several times as fast; any other file goes through `tokenizers` itself. Special
-    tokens' strings in a text are ordinary text.
+    handed to `tiktoken`, which is several times as fast; any other file goes through `tokenizers` itself. So does a
+    text that holds the string of an added token (the library gives it the token's id), and one whose blanks run on for
+    longer than the faster library's pattern matcher can follow.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         with open(path, encoding="utf-8") as f:
-            self.ranks = byte_ranks(json.load(f))
+            spec = json.load(f)
+        self.path, self.slow = path, None
+        self.added = [x["content"] for x in spec.get("added_tokens", ())]
+        self.ranks = byte_ranks(spec)
         if self.ranks:
             self.fast = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=self.ranks, special_tokens={})
-        else:
-            self.slow = slow_tokenizer(path)
 
     def __call__(self, text: str) -> bytes:
-        if self.ranks:
-            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        if self.ranks and not any(x in text for x in self.added):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+            except ValueError:      # the matcher's stack is full
+                pass
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
+        """Ids by the `tokenizers` library."""
+        from tokenizers import Tokenizer
+
+        self.slow = self.slow or Tokenizer.from_file(self.path)
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def slow_tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
-
-
 def byte_ranks(spec: dict) -> dict[bytes, int] | None:
     """Bytes -> id of a plain byte-level BPE, or None where the file describes anything else."""
     model, split = spec["model"], spec.get("pre_tokenizer") or {}
@@ -186,14 +190,19 @@ class Bins:
     def search(self, partners: int = 48) -> None:
         """Fill the fuller bins from the emptiest ones until no step is left; every step raises the squared fills.
 
-        A bin tries the `partners` emptiest bins first and all others only when none of these gives a step.
+        A bin tries the `partners` emptiest bins first and all others only when none of these gives a step. Passes
+        over the bins are repeated until one makes no step.
         """
-        open_bins = sorted((b for b in range(len(self.items)) if self.fill[b] < self.capacity), key=lambda b: -self.fill[b])
-        for into in open_bins:
-            while self.items[into] and self.fill[into] < self.capacity:
-                others = sorted((b for b in open_bins if self.items[b] and b != into), key=lambda b: (self.fill[b], b))
-                if not self.fill_up(into, others[:partners]) and not self.fill_up(into, others[partners:]):
-                    break
+        moved = True
+        while moved:
+            moved = False
+            open_bins = sorted((b for b in range(len(self.items)) if self.items[b] and self.fill[b] < self.capacity), key=lambda b: -self.fill[b])
+            for into in open_bins:
+                while self.items[into] and self.fill[into] < self.capacity:
+                    others = sorted((b for b in open_bins if self.items[b] and b != into), key=lambda b: (self.fill[b], b))
+                    if not self.fill_up(into, others[:partners]) and not self.fill_up(into, others[partners:]):
+                        break
+                    moved = True
 
 
 def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:

@@ -203,7 +203,9 @@ def test_substring_levels(spark):
 # packing
 
 def plain_ids(texts):
-    tokenizer = packing.slow_tokenizer(packing.default_tokenizer())
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
     return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -218,6 +220,25 @@ def test_encoder_equals_tokenizer():
         assert encode(text) == ids, repr(text)
 
 
+def test_added_tokens_and_long_blanks():
+    encode = packing.Encoder(packing.default_tokenizer())
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x" + " " * 2_000_000 + "y", "\n" * 1_500_000, " \n\t" * 700_000 + "z", "ab " * 400_000]
+    for text, ids in zip(texts, plain_ids(texts)):
+        assert encode(text) == ids
+
+
+def test_search_ends_without_a_step():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        bins = packing.Bins(rng.integers(1, 60, 120), 100)
+        bins.best_fit()
+        bins.search()
+        before = [list(i) for i in bins.items]
+        left = [b for b in range(len(bins.items)) if bins.items[b] and bins.fill[b] < 100]
+        assert not any(bins.fill_up(b, [o for o in left if o != b]) for b in left)
+        assert [list(i) for i in bins.items] == before
+
+
 @pytest.mark.parametrize("capacity,group", [(2048, 4096), (64, 16)])
 def test_packing(spark, capacity, group):
     got = packing.pack_documents(frame(spark, ROWS), capacity=capacity, group=group).collect()
