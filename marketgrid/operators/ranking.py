@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marketgrid.session import materialise
+
 _SLICES_PER_E = 1024          # buckets per factor e
 _FILL = 4096                  # distinct values of a bucket, about
 _SHIFT = 1_000_000            # larger than |ln(smallest double)| * slices
@@ -204,3 +206,18 @@ def top_share(df: DataFrame, keys: Sequence[str], value: str, part: int = 100) -
     return pos.groupBy(*keys).agg(
         (F.sum(used * F.col(value)).cast("double") / F.sum(F.col("n_equal") * F.col(value))).alias("top_share")
     )
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """The rows with their place in a total order, from 0, without one task for the whole list.
+
+    Rows are dealt by ranges of the order and stored, so the ranges stay what
+    they were if an executor is lost; places are counted inside a range, and
+    only one row per range meets in a window of its own.
+    """
+    dealt = materialise(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    starts = sizes.select("_range", (F.sum("_size").over(W.orderBy("_range")) - F.col("_size")).alias("_start"))
+    place = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.withColumn("_place", place).join(starts, "_range").withColumn(
+        name, F.col("_start") + F.col("_place")).drop("_range", "_place", "_start")

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketgrid.functions import columns as C
 from marketgrid.functions.geo import miles, with_xy
-from marketgrid.operators import relational, spatial
+from marketgrid.operators import ranking, relational, spatial
 from marketgrid.operators.quality import GateError
 from marketgrid.session import materialise
 
@@ -48,23 +47,21 @@ def best_of(cand: DataFrame, k: int) -> DataFrame:
     return relational.top_k(cand, k, F.desc("opportunity_score"), F.asc("tract_geoid"))
 
 
-def prefix(cand: DataFrame, depth: int) -> DataFrame:
-    """The `depth` best tracts with a 0-based rank."""
-    # the window sees the top rows only
-    order = W.partitionBy(F.lit(0)).orderBy(F.desc("opportunity_score"), "tract_geoid")
-    return best_of(cand, depth).withColumn("i", F.row_number().over(order) - 1)
+def listed(cand: DataFrame) -> DataFrame:
+    """All candidates with their place `i` in the order of the list, from 0."""
+    return materialise(ranking.numbered(cand, [F.desc("opportunity_score"), F.asc("tract_geoid")], "i"))
 
 
-def separated_pairs(ranked: DataFrame, depth: int) -> DataFrame:
-    """(i, j) with i < j whose distance exceeds the greater of the two radii.
+def separated_pairs(ranked: DataFrame, last: int) -> DataFrame:
+    """(i, j) with i < j <= last whose distance exceeds the greater of the two radii.
 
-    The pairs of a list of `depth` ranks are enumerated by rank, so the
-    comparison is an equi-join of a short list.
+    The pairs of a short list are enumerated by place, so the comparison is an
+    equi-join.
     """
     a = ranked.select("i", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("radius_miles").alias("ar"))
     b = ranked.select(F.col("i").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"),
                       F.col("radius_miles").alias("br"))
-    later = a.withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.lit(depth))))
+    later = a.filter(F.col("i") < last).withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.lit(last).cast("long"))))
     return later.join(b, "j").filter(miles("ax", "ay", "bx", "by") > F.greatest("ar", "br")).select("i", "j")
 
 
@@ -106,25 +103,31 @@ def lmi_totals(wh) -> DataFrame:
     return universe(wh).agg(F.sum(lmi).alias("lmi"), F.sum(F.col("households") - lmi).alias("non"))
 
 
-def passing_triple(wh, ranked: DataFrame, depth: int, more_than: float | None) -> Row | None:
+def passing_triple(wh, ranked: DataFrame, depth: int, at_least: float | None) -> Row | None:
     """The best-scored separated triple of `ranked` whose coverage grows proportionally; (i, j, k, score) or None.
 
-    Only triples that score above `more_than` are looked at. Coverage of a
-    triple comes by inclusion and exclusion from sums per candidate, per pair
-    and per triple of overlapping reaches; overlaps are only formed for
-    separated members, so few candidates share a tract.
+    Only triples that score `at_least` so much are looked at, and pairs that
+    reach it with the best score as the third. Coverage of a triple comes by
+    inclusion and exclusion from sums per candidate, per pair and per triple
+    of overlapping reaches; overlaps are only formed for separated members, so
+    few candidates share a tract.
     """
     score = ranked.select("i", "opportunity_score")
-    best = ranked.agg(F.max("opportunity_score")).first()[0]
+    best, last = ranked.agg(F.max("opportunity_score"), F.max("i")).first()
+    if best is None:
+        return None
+    if at_least is not None:
+        # a member of a pair has two others beside it that score at most the best score each
+        able = F.round(F.lit(2 * best) + F.col("opportunity_score"), 4) >= at_least
+        last = ranked.filter(able).agg(F.max("i")).first()[0] or 0
 
     def member(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.col("i").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in df.columns if c != "i"])
 
-    pairs = separated_pairs(ranked, depth)
-    if more_than is not None:
-        # the third member scores at most as much as the second one, and the first at most the best score
+    pairs = separated_pairs(ranked, last)
+    if at_least is not None:
         pairs = pairs.join(member(score, "i"), "i").join(member(score, "j"), "j").filter(
-            F.round(F.col("opportunity_score_i") + F.col("opportunity_score_j") + F.lit(best), 4) > more_than
+            F.round(F.col("opportunity_score_i") + F.col("opportunity_score_j") + F.lit(best), 4) >= at_least
         ).select("i", "j")
     pairs = materialise(pairs)
     reach = materialise(candidate_reach(wh, ranked).join(
@@ -152,8 +155,8 @@ def passing_triple(wh, ranked: DataFrame, depth: int, more_than: float | None) -
         .join(member(single, "i"), "i").join(member(single, "j"), "j").join(member(single, "k"), "k")
         .withColumn("score", C.rnd(sum((F.col(f"opportunity_score_{m}") for m in "ijk"), F.lit(0.0)), 4))
     )
-    if more_than is not None:
-        triples = triples.filter(F.col("score") > more_than)
+    if at_least is not None:
+        triples = triples.filter(F.col("score") >= at_least)
     triples = triples.join(three, ["i", "j", "k"], "left")
 
     def total(kind: str):
@@ -168,28 +171,85 @@ def passing_triple(wh, ranked: DataFrame, depth: int, more_than: float | None) -
         "i", "j", "k", "score").first()
 
 
+def earlier_tie(wh, every: DataFrame, found: Row, depth: int) -> Row:
+    """The first among equals: `found`, or a triple of the same score with a member beyond `depth` that comes before it.
+
+    Taken where `found` starts with the best tract and no triple beats its
+    score. One that comes before it then starts with the best tract too, has
+    its second member before the second of `found` - fewer than `depth` - and
+    its third beyond; so at most `depth` rows are formed for a tract.
+    """
+    place = F.struct("i", "opportunity_score", "x", "y", "radius_miles")
+    lead = every.filter("i = 0").agg(F.first(place)).scalar()
+    apart = lambda a, b: miles(a.getField("x"), a.getField("y"), b.getField("x"), b.getField("y")) > F.greatest(
+        a.getField("radius_miles"), b.getField("radius_miles"))
+    seconds = every.filter((F.col("i") > 0) & (F.col("i") < found.j)).select(place.alias("b")).filter(apart(lead, F.col("b")))
+    several = seconds.agg(F.collect_list("b")).scalar()        # fewer than depth rows
+    thirds = every.filter(F.col("i") >= depth).select(place.alias("c"), F.explode(several).alias("b"))
+    score = F.round(lead.getField("opportunity_score") + F.col("b.opportunity_score") + F.col("c.opportunity_score"), 4)
+    triples = thirds.filter((score == found.score) & apart(lead, F.col("c")) & apart(F.col("b"), F.col("c"))).select(
+        F.col("b.i").alias("j"), F.col("c.i").alias("k"))
+    triples = materialise(triples)
+    taking = triples.select(F.col("j").alias("i")).unionByName(triples.select(F.col("k").alias("i"))).distinct()
+    members = every.filter("i = 0").unionByName(every.join(taking, "i").select(every.columns))
+    reach = materialise(candidate_reach(wh, members).join(
+        members.select(F.col("tract_geoid").alias("site"), "i"), "site").drop("site"))
+    second = triples.select("j").distinct()
+    # the reach of the best tract, once per second member
+    every_second = second.agg(F.collect_list("j")).scalar()
+    both = second.join(reach.withColumnRenamed("i", "j"), "j").unionByName(
+        reach.filter("i = 0").withColumn("j", F.explode(every_second)).select("j", "tract_geoid", "households", "lmi_flag")
+    ).distinct()
+    one = _weighted(reach.withColumnRenamed("i", "k"), ["k"], "s")
+    pair = _weighted(both, ["j"], "p")
+    shared = _weighted(both.join(reach.select(F.col("i").alias("k"), "tract_geoid"), "tract_geoid").join(
+        triples, ["j", "k"]), ["j", "k"], "t")
+    rows = triples.join(one, "k", "left").join(pair, "j", "left").join(shared, ["j", "k"], "left")
+    t = lmi_totals(wh).agg(F.struct(F.max("lmi").alias("lmi"), F.max("non").alias("non")).alias("t")).scalar()
+
+    def total(kind: str):
+        z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+        return z(f"s_{kind}") + z(f"p_{kind}") - z(f"t_{kind}")
+
+    passing = rows.filter(C.ratio(total("lmi"), t.getField("lmi")) >= C.ratio(total("non"), t.getField("non")))
+    first = relational.top_k(passing, 1, F.asc("j"), F.asc("k")).select(
+        F.lit(0).cast("long").alias("i"), "j", "k", F.lit(found.score).alias("score")).first()
+    return first or found
+
+
 def constrained_sites(wh, cand: DataFrame, first: int = FIRST_PREFIX) -> list[str]:
     """Rule B: the ids of the best-scored separated triple whose coverage grows proportionally; empty if none passes.
 
-    The list of the best tracts is doubled until the triple found is proven
-    best: a triple with a member beyond a prefix scores at most the two best
-    scores plus the next one, so only triples above that bound are looked at.
-    All tracts take part in the end, whatever their number.
+    A threshold search down the list. The best triple of a prefix is the
+    incumbent; a tract that beats or meets its score only with the two best
+    scores beside it is looked at no further down than that. If all such
+    tracts lie in the prefix, the incumbent is the answer; if only equal
+    scores lie beyond, the first among equals is looked for; otherwise the
+    prefix doubles, with pairs below the incumbent left out. All tracts take
+    part in the end, whatever their number; only the triple and three scores
+    reach the driver.
     """
-    every = cand.count()
-    depth = first
+    every = listed(cand)
+    n = every.count()
+    depth, found = first, None
     while True:
-        whole = depth >= every
-        top = [r.opportunity_score for r in best_of(cand, depth + 1).select("opportunity_score").collect()]
-        bound = None if whole else round(top[0] + top[1] + top[depth], 4) + 1e-9
-        ranked = materialise(prefix(cand, depth))
-        found = passing_triple(wh, ranked, min(depth, every), bound)
-        if found or whole:
+        found = passing_triple(wh, every.filter(F.col("i") < depth), depth, found.score if found else None) or found
+        if depth >= n:
             break
+        if found:
+            two = every.filter("i < 2").agg(F.sum("opportunity_score")).scalar()
+            reach = F.round(two + F.col("opportunity_score"), 4)
+            beating, meeting = every.agg(
+                C.count_where(reach > found.score), C.count_where(reach >= found.score)).first()
+            if meeting <= depth:
+                break
+            if beating <= depth and found.i == 0:
+                found = earlier_tie(wh, every, found, depth)
+                break
         depth *= 2
     if not found:
         return []
-    rows = ranked.filter(F.col("i").isin(found.i, found.j, found.k)).select("tract_geoid").collect()
+    rows = every.filter(F.col("i").isin(found.i, found.j, found.k)).select("tract_geoid").collect()
     return [r.tract_geoid for r in rows]
 
 

@@ -110,6 +110,33 @@ def test_winner_beyond_the_first_prefix(spark):
     assert max(want_b[1]) >= "00000000012"
 
 
+@pytest.mark.parametrize("seed", [4, 5, 8])
+def test_tied_scores(spark, seed, monkeypatch):
+    """All scores equal: the first triple of the list wins, and no list of all pairs is formed to find it."""
+    tracts, score, covered = world(seed, n_scored=40)
+    score = dict.fromkeys(score, 1.5)
+    wh = warehouse(spark, tracts, score, covered)
+    _, want = brute_force(spark, wh, tracts, score, covered)
+    depths, ties = [], []
+    monkeypatch.setattr(siting, "passing_triple", lambda w, r, d, least, f=siting.passing_triple: (depths.append(d), f(w, r, d, least))[1])
+    monkeypatch.setattr(siting, "earlier_tie", lambda *a, f=siting.earlier_tie: (ties.append(a[2].i), f(*a))[1])
+    got = siting.constrained_sites(wh, siting.candidates(wh), 8)
+    assert sorted(got) == (sorted(want[1]) if want else [])
+    assert ties == [0] * len(ties) and (len(depths) == 1 or not ties or depths[-2] < 40)
+
+
+def test_many_tied_scores_form_few_pairs(spark, monkeypatch):
+    tracts = [{
+        "tract_geoid": f"{i:011d}", "county_name": "x", "cbsa_title": "y", "county_fips": "00001", "cbsa": "1",
+        "tier": "metro", "households": 100.0, "lmi_flag": i % 2 == 1, "lon": -92 + 0.1 * (i % 40), "lat": 38 + 0.1 * (i // 40),
+    } for i in range(1_600)]
+    wh = warehouse(spark, tracts, dict.fromkeys(range(1_600), 2.0), {})
+    sizes = []
+    monkeypatch.setattr(siting, "separated_pairs", lambda *a, f=siting.separated_pairs: (sizes.append(f(*a).count()), f(*a))[1])
+    got = siting.constrained_sites(wh, siting.candidates(wh), 16)
+    assert sorted(got) == ["00000000000", "00000000001", "00000000003"] and sum(sizes) <= 16 * 15 / 2
+
+
 def test_short_selection_is_refused(spark):
     tracts, score, covered = world(1, n_scored=2)
     with pytest.raises(GateError, match="separated sites"):
