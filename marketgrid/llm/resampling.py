@@ -122,7 +122,7 @@ def head(docs: DataFrame, longest: int = 1, size: int = HEAD) -> tuple[dict[byte
     """
     counts = stage(count_table(docs, longest), "counts")
     pair = F.locate(" ", F.decode("feature", "ISO-8859-1")) > 0
-    singles = most_frequent(counts.filter(~pair), size)
+    singles = most_frequent(counts.filter(~pair) if longest > 1 else counts, size)
     pairs = most_frequent(counts.filter(pair), size) if longest > 1 else []
     return {w: zlib.crc32(w) for w in singles}, {tuple(p.split(b" ")): zlib.crc32(p) % BUCKETS for p in pairs}
 
