@@ -249,46 +249,147 @@ def edges(vertices: DataFrame) -> DataFrame:
     )
 
 
-def point_in_polygon(
-    points: DataFrame, vertices: DataFrame, point_id: str, cell: float = 0.25
-) -> DataFrame:
-    """(point_id, poly_id) for every polygon that contains the point.
+# A cell's reference point stands at these shares of its width: odd ones, so that it lies on no edge and below no vertex.
+_ASIDE = (0.6180339887, 0.7548776662)
+_DEEPEST = 12                 # levels of an edge tree; a cell is cut into 4 x 4
+_NODE = ["tree_id", "lv", "cx", "cy"]
+_ROOT = ["_x0", "_y0", "_w0"]
+
 
-    Points carry ``lon, lat``.  Bounding boxes are cut into grid cells, points
-    meet candidate polygons on the cell, and only the edges that cross the
-    point's latitude band are tested.  The half-open crossing rule gives a
-    point on a shared edge to one side; holes and parts work by parity.
+def _flips(x: str, y: str, to_x: str, to_y: str) -> Column:
+    """1 if the way from (x, y) up to to_y and then across to to_x changes sides of the edge, as SQL.
+
+    The steps across follow the half-open rule of a ray to the right: an edge counts if one end is above the ray and
+    the other is not, and the ray starts left of it.
     """
-    lines = edges(vertices)
-    box = lines.groupBy("poly_id").agg(
-        F.min("lon1").alias("x0"), F.max("lon1").alias("x1"), F.min("lat1").alias("y0"), F.max("lat1").alias("y1")
-    )
+    meets_x = f"(y1 + ({x} - x1) * (y2 - y1) / nullif(x2 - x1, 0D))"
+    meets_y = f"(x1 + ({to_y} - y1) * (x2 - x1) / nullif(y2 - y1, 0D))"
+    up = f"((x1 > {x}) <> (x2 > {x}) and ({meets_x} > {y}) <> ({meets_x} > {to_y}))"
+    across = f"((y1 > {to_y}) <> (y2 > {to_y}) and ({x} < {meets_y}) <> ({to_x} < {meets_y}))"
+    return F.expr(f"cast({up} as int) + cast({across} as int)")
+
+
+def _corner(axis: str, lv: str = "lv", cell: str | None = None) -> str:
+    """Lower edge of a cell of the tree on an axis, as SQL text."""
+    return f"(_{axis}0 + {cell or 'c' + axis} * (_w0 / pow(4D, {lv})))"
+
+
+def _aside(axis: str, lv: str = "lv", cell: str | None = None) -> str:
+    """Coordinate of a cell's reference point, as SQL text."""
+    share = _ASIDE[axis == "y"]
+    return f"({_corner(axis, lv, cell)} + {share}D * (_w0 / pow(4D, {lv})))"
+
+
+def edge_tree(lines: DataFrame, crowded: int = 32) -> tuple[DataFrame, DataFrame]:
+    """A tree of cells over the edges of each figure: its nodes, and the edges of its leaves.
+
+    lines: ``tree_id, x1, y1, x2, y2``. A cell that more than `crowded` edges touch is cut into 16, so depth follows
+    the density of edges: a short figure is one cell, a long one has small cells along its line and large ones beside.
+    nodes: ``tree_id, lv, cx, cy``, the root square ``_x0, _y0, _w0``, ``edges``, ``leaf``, and ``side``, 1 where the
+    cell's reference point is inside the figure (by parity, so holes and parts are right). Cells without edges are
+    leaves too: what lies in them is known without a test.
+    """
+    lines = lines.select("tree_id", "x1", "y1", "x2", "y2")
+    box = lines.groupBy("tree_id").agg(
+        F.min(F.least("x1", "x2")).alias("_x0"), F.max(F.greatest("x1", "x2")).alias("_x9"),
+        F.min(F.least("y1", "y2")).alias("_y0"), F.max(F.greatest("y1", "y2")).alias("_y9"),
+    ).withColumn("_w", F.greatest(F.col("_x9") - F.col("_x0"), F.col("_y9") - F.col("_y0")))
+    # a little wider than the box, so that no edge lies on its rim
+    square = box.selectExpr(
+        "tree_id", "_x0 - _w * 1e-6D - 1e-9D as _x0", "_y0 - _w * 1e-6D - 1e-9D as _y0", "_w * 1.000002D + 2e-9D as _w0")
+    here = materialise(lines.join(square, "tree_id").selectExpr("*", "0 as lv", "0L as cx", "0L as cy"))
+    right = f"({_corner('x')} + 2 * _w0)"
+    level = here.groupBy(*_NODE, *_ROOT).agg(
+        F.count(F.lit(1)).alias("edges"),
+        (F.sum(_flips(right, _aside("y"), _aside("x"), _aside("y"))) % 2).cast("int").alias("side"))
+    edge = ["x1", "y1", "x2", "y2"]
+    child = _child_cells("cx", "cy", 4)
+    width, rim = "(_w0 / pow(4D, lv + 1))", "(_w0 * 1e-9D)"
+    mid = {axis: f"({_corner(axis, 'lv + 1', '_c.c' + axis)} + {width} / 2)" for axis in "xy"}
+    touches = F.expr(
+        " and ".join(f"abs(({a}1 + {a}2) / 2 - {mid[a]}) <= {width} / 2 + {rim} + abs({a}2 - {a}1) / 2" for a in "xy")
+        + f" and abs((x2 - x1) * ({mid['y']} - y1) - (y2 - y1) * ({mid['x']} - x1))"
+          f" <= ({width} / 2 + {rim}) * (abs(x2 - x1) + abs(y2 - y1))")
+    way = _flips(_aside("x"), _aside("y"), _aside("x", "lv + 1", "_c.cx"), _aside("y", "lv + 1", "_c.cy"))
+    nodes, held = [], []
+    for depth in range(_DEEPEST + 1):
+        leaf = F.lit(True) if depth == _DEEPEST else F.col("edges") <= crowded
+        level = materialise(level.withColumn("leaf", leaf))
+        nodes.append(level)
+        held.append(here.join(level.filter("leaf").select(*_NODE), _NODE, "left_semi").select(*_NODE, *edge))
+        crowds = level.filter("not leaf")
+        if crowds.isEmpty():
+            break
+        met = materialise(
+            here.select(*_NODE, *edge).join(crowds.select(*_NODE, *_ROOT), _NODE).withColumn("_c", child)
+            .withColumns({"_touches": touches, "_flips": way}).filter("_touches or _flips % 2 = 1")
+            .selectExpr("tree_id", "lv + 1 as lv", "_c.cx as cx", "_c.cy as cy", *_ROOT, *edge, "_touches", "_flips"))
+        here = met.filter("_touches").select(*_NODE, *edge)
+        sums = met.groupBy(*_NODE).agg(
+            F.count(F.when(F.col("_touches"), 1)).alias("_edges"), F.sum("_flips").alias("_flips"))
+        level = crowds.withColumn("_c", child).selectExpr(
+            "tree_id", "lv + 1 as lv", "_c.cx as cx", "_c.cy as cy", *_ROOT, "side as _above").join(
+            sums, _NODE, "left").selectExpr(
+            *_NODE, *_ROOT, "coalesce(_edges, 0L) as edges", "cast((_above + coalesce(_flips, 0L)) % 2 as int) as side")
+    return relational.union_all(nodes), relational.union_all(held)
+
+
+def _trees(nodes: DataFrame) -> DataFrame:
+    """One row per figure: its root square and depth."""
+    return nodes.groupBy("tree_id", *_ROOT).agg(F.max("lv").alias("_deep"))
+
 
-    def span(lo: str, hi: str) -> Column:
-        return F.expr(f"explode(sequence({_cell(lo, f'{cell}D')}, {_cell(hi, f'{cell}D')}))")
+def _inside(candidates: DataFrame, nodes: DataFrame, held: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """The (ids, tree_id) whose point (lon, lat) is inside the figure; candidates carry the columns of `_trees`.
 
-    cells = box.withColumn("_cx", span("x0", "x1")).withColumn("_cy", span("y0", "y1"))
-    located = points.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).selectExpr(
-        point_id, "lon", "lat", f"{_cell('lon', f'{cell}D')} as _cx", f"{_cell('lat', f'{cell}D')} as _cy"
+    A point lies in one leaf, and only the edges that touch this leaf are tested, on the way to its reference point.
+    """
+    width = "(_w0 / pow(4D, lv))"
+    place = {a: f"least(greatest(cast(floor(({v} - _{a}0) / {width}) as bigint), 0L), cast(pow(4D, lv) as bigint) - 1)"
+             for a, v in (("x", "lon"), ("y", "lat"))}
+    placed = (
+        candidates.select(*ids, "tree_id", "lon", "lat", *_ROOT, "_deep").distinct()
+        .filter("lon between _x0 and _x0 + _w0 and lat between _y0 and _y0 + _w0")
+        .selectExpr("*", "explode(sequence(0, _deep)) as lv")
+        .selectExpr("*", f"{place['x']} as cx", f"{place['y']} as cy")
+        .join(nodes.filter("leaf").select(*_NODE, "side"), _NODE)
     )
-    candidates = located.join(cells, ["_cx", "_cy"]).filter(
-        F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))
-    ).select(point_id, "lon", "lat", "poly_id", F.col("_cy").alias("_band"))
-    banded = lines.withColumn(
-        "_band", span("least(lat1, lat2)", "greatest(lat1, lat2)")
-    ).select("poly_id", "_band", "lon1", "lat1", "lon2", "lat2")
-    lat, lon = F.col("lat"), F.col("lon")
-    straddles = (F.col("lat1") > lat) != (F.col("lat2") > lat)
-    meets = F.col("lon1") + (lat - F.col("lat1")) * (F.col("lon2") - F.col("lon1")) / (F.col("lat2") - F.col("lat1"))
+    flips = F.coalesce(_flips(_aside("x"), _aside("y"), "lon", "lat"), F.lit(0))
     return (
-        candidates.join(banded, ["poly_id", "_band"])
-        .filter(straddles).filter(lon < meets)
-        .groupBy(point_id, "poly_id").agg(F.count(F.lit(1)).alias("_cross"))
-        .filter(F.col("_cross") % 2 == 1)
-        .select(point_id, "poly_id")
+        placed.join(held, _NODE, "left").groupBy(*ids, "tree_id", "lon", "lat", "side")
+        .agg(F.sum(flips).alias("_flips")).filter("(side + _flips) % 2 = 1").select(*ids, "tree_id")
     )
 
 
+def point_in_polygon(points: DataFrame, vertices: DataFrame, point_id: str, crowded: int = 32) -> DataFrame:
+    """(point_id, poly_id) for every polygon that contains the point.
+
+    Points carry ``lon, lat``; without them they are in no polygon. Points meet the root squares of polygons on cells
+    of the square's own size (a square lies in at most four), then one leaf of the polygon's `edge_tree`: the number
+    of edges tested does not depend on the length of the outline. The half-open crossing rule gives a point on a
+    shared edge to one side; holes and parts work by parity.
+    """
+    lines = edges(vertices).select(
+        F.col("poly_id").alias("tree_id"), F.col("lon1").alias("x1"), F.col("lat1").alias("y1"),
+        F.col("lon2").alias("x2"), F.col("lat2").alias("y2"))
+    nodes, held = edge_tree(lines, crowded)
+    trees = materialise(_trees(nodes).withColumn("_size", F.ceil(F.log2("_w0")).cast("int")))
+    size = "pow(2D, _size)"
+
+    def span(axis: str) -> Column:
+        return F.expr(f"explode(sequence({_cell(f'_{axis}0', size)}, {_cell(f'_{axis}0 + _w0', size)}))")
+
+    cells = trees.withColumn("_px", span("x")).withColumn("_py", span("y"))
+    sizes = trees.agg(F.collect_set("_size")).scalar()       # doublings between the least and the greatest square
+    located = (
+        points.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(point_id, "lon", "lat")
+        .withColumn("_size", F.explode(sizes))
+        .selectExpr("*", f"{_cell('lon', size)} as _px", f"{_cell('lat', size)} as _py")
+    )
+    candidates = located.join(cells, ["_size", "_px", "_py"])
+    return _inside(candidates, nodes, held, [point_id]).select(point_id, F.col("tree_id").alias("poly_id"))
+
+
 def one_polygon(matches: DataFrame, point_id: str) -> DataFrame:
     """Keep one polygon per point (least id) and the number of matches."""
     return matches.groupBy(point_id).agg(F.min("poly_id").alias("poly_id"), F.count(F.lit(1)).alias("n_matches"))
@@ -342,31 +443,64 @@ def touching_groups(outline: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def miles_to_outline(points: DataFrame, outline: DataFrame, point_id: str, group: str) -> DataFrame:
-    """Distance from each point (lon, lat) to the outline of its named group.
+def _nearest_leaves(spots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(tree_id, qx, qy, lv, cx, cy): leaves of the spot's figure of which one holds the edge nearest to it.
+
+    From the root down: an edge touches its cell, so the cell's farthest corner bounds the distance from above, and a
+    cell whose nearest point is farther than that is dropped with all below it.
+    """
+    spot = ["tree_id", "qx", "qy"]
+    used = nodes.filter("edges > 0").select(*_NODE, *_ROOT, "leaf")
+    frontier = spots.select(*spot).selectExpr("*", "0 as lv", "0L as cx", "0L as cy", "cast(null as double) as _limit")
+    rim, width = "(_w0 * 1e-8D)", "(_w0 / pow(4D, lv))"
+    gaps = {a: (f"({_corner(a)} - {rim} - q{a})", f"(q{a} - {_corner(a)} - {width} - {rim})") for a in "xy"}
+    near = " + ".join(f"pow(greatest({lo}, {hi}, 0D), 2)" for lo, hi in gaps.values())
+    far = " + ".join(f"pow(greatest(abs({lo}), abs({hi})), 2)" for lo, hi in gaps.values())
+    found = []
+    while True:
+        met = frontier.join(used, _NODE).selectExpr(
+            *spot, "lv", "cx", "cy", "leaf", "_limit", f"{near} as _near", f"{far} as _far")
+        limit = met.groupBy(*spot).agg(F.least(F.min("_limit"), F.min("_far")).alias("_limit"))
+        # a millionth more, so that rounding never drops the nearest
+        kept = materialise(met.drop("_limit").join(limit, spot).filter("_near <= _limit * 1.000001D").select(
+            *spot, "lv", "cx", "cy", "leaf", "_limit"))
+        found.append(kept.filter("leaf").select(*spot, "lv", "cx", "cy"))
+        rest = kept.filter("not leaf")
+        if rest.isEmpty():
+            return relational.union_all(found)
+        frontier = rest.withColumn("_c", _child_cells("cx", "cy", 4)).selectExpr(
+            *spot, "lv + 1 as lv", "_c.cx as cx", "_c.cy as cy", "_limit")
 
-    0 for a point inside.  The inside test is the parity of the same edges.
+
+def miles_to_outline(points: DataFrame, outline: DataFrame, point_id: str, group: str, crowded: int = 32) -> DataFrame:
+    """Distance from each point (lon, lat) to the outline of its named group, one row per id and group.
+
+    0 for a point inside, by the parity of the same edges; NULL without a position. Points of a group without an
+    outline are left out. Both tests go through an `edge_tree`, one in degrees and one in the plane, so the edges
+    tested for a point do not grow with the outline.
     """
-    px, py = CONUS.forward("lon", "lat")
+    degrees = outline.select(
+        F.col("group_id").alias("tree_id"), F.col("lon1").alias("x1"), F.col("lat1").alias("y1"),
+        F.col("lon2").alias("x2"), F.col("lat2").alias("y2"))
     ax, ay = CONUS.forward("lon1", "lat1")
     bx, by = CONUS.forward("lon2", "lat2")
-    located = points.withColumns({"px": px, "py": py})
-    lines = outline.withColumns({"ax": ax, "ay": ay, "bx": bx, "by": by}).withColumnRenamed("group_id", group)
-    ux, uy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    t = ((F.col("px") - F.col("ax")) * ux + (F.col("py") - F.col("ay")) * uy) / (ux * ux + uy * uy)
+    plane = outline.select(
+        F.col("group_id").alias("tree_id"), ax.alias("x1"), ay.alias("y1"), bx.alias("x2"), by.alias("y2"))
+    qx, qy = CONUS.forward("lon", "lat")
+    asked = points.select(point_id, F.col(group).alias("tree_id"), "lon", "lat").withColumns({"qx": qx, "qy": qy})
+    nodes, held = edge_tree(degrees, crowded)
+    inside = _inside(asked.join(_trees(nodes), "tree_id"), nodes, held, [point_id]).distinct().withColumn(
+        "_within", F.lit(True))
+    flat, drawn = edge_tree(plane, crowded)
+    spots = asked.filter("qx is not null and qy is not null").select("tree_id", "qx", "qy").distinct()
+    ux, uy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    t = ((F.col("qx") - F.col("x1")) * ux + (F.col("qy") - F.col("y1")) * uy) / (ux * ux + uy * uy)
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    gap = miles("px", "py", F.col("ax") + t * ux, F.col("ay") + t * uy)
-    lat = F.col("lat")
-    straddles = (F.col("lat1") > lat) != (F.col("lat2") > lat)
-    meets = F.col("lon1") + (lat - F.col("lat1")) * (F.col("lon2") - F.col("lon1")) / F.when(
-        F.col("lat2") != F.col("lat1"), F.col("lat2") - F.col("lat1")
-    )
+    gap = miles("qx", "qy", F.col("x1") + t * ux, F.col("y1") + t * uy)
+    best = _nearest_leaves(spots, flat).join(drawn, _NODE).groupBy("tree_id", "qx", "qy").agg(F.min(gap).alias("_gap"))
+    known = asked.join(_trees(flat).select("tree_id"), "tree_id", "left_semi")
     return (
-        located.join(lines, group)
-        .groupBy(point_id, group)
-        .agg(
-            F.min(gap).alias("_gap"),
-            F.count(F.when(straddles & (F.col("lon") < meets), F.lit(1))).alias("_cross"),
-        )
-        .select(point_id, group, F.when(F.col("_cross") % 2 == 1, F.lit(0.0)).otherwise(F.col("_gap")).alias("miles_off"))
+        known.join(best, ["tree_id", "qx", "qy"], "left").join(inside, [point_id, "tree_id"], "left")
+        .groupBy(point_id, F.col("tree_id").alias(group))
+        .agg(F.min(F.when(F.col("_within"), F.lit(0.0)).otherwise(F.col("_gap"))).alias("miles_off"))
     )

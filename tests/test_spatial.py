@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +157,83 @@ def test_nearest_other_with_copies_and_lone_points(spark):
         for k, p in enumerate(points):
             want = min(np.hypot(p[0] - q[0], p[1] - q[1]) for j, q in enumerate(points) if j != k) / 1609.344
             assert got[k] == pytest.approx(want, rel=1e-12, abs=1e-12)
+
+
+def star(n, seed, center=(-90.0, 40.0), size=1.0):
+    """A ring of n vertices with a jagged radius."""
+    rng = np.random.default_rng(seed)
+    turn = np.arange(n) * 2 * np.pi / n
+    radius = size * (1 + 0.3 * np.sin(7 * turn) + 0.02 * rng.random(n))
+    return np.stack([center[0] + radius * np.cos(turn), center[1] + radius * np.sin(turn)], axis=1)
+
+
+def ring_rows(poly, ring, xy):
+    return [(poly, ring, k, float(x), float(y)) for k, (x, y) in enumerate(xy)]
+
+
+def parity(rings, x, y):
+    count = 0
+    for xy in rings:
+        a, b = xy, np.roll(xy, -1, axis=0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            meets = a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1])
+        count += int((((a[:, 1] > y) != (b[:, 1] > y)) & (x < meets)).sum())
+    return count % 2 == 1
+
+
+RING = "poly_id string, ring_id int, seq int, lon double, lat double"
+
+
+def test_points_in_polygons_by_tree(spark):
+    """Jagged outlines, a comb of tall teeth and a lattice with points on vertices and edges, against every edge."""
+    comb = [(-80.0, 30.0)] + [p for k in range(150) for p in ((-80 + k / 50, 31.0), (-80 + k / 50 + 0.01, 30.1))] + [(-77.0, 30.0)]
+    lattice = np.array([(x / 4, y / 4) for x, y in [(0, 0), (8, 0), (8, 8), (6, 8), (6, 2), (4, 2), (4, 8), (2, 8), (2, 2), (0, 2)]])
+    polys = {
+        "star": [star(900, 1), star(300, 2, size=0.3)],                 # with a hole
+        "far": [star(60, 3, (-100.0, 35.0), 6.0), star(5, 4, (-85.0, 45.0), 0.01)],
+        "comb": [np.array(comb)], "lattice": [lattice],
+    }
+    rows = [r for p, rings in polys.items() for k, xy in enumerate(rings) for r in ring_rows(p, k, xy)]
+    rng = np.random.default_rng(5)
+    spots = [(rng.uniform(lo, hi), rng.uniform(a, b)) for lo, hi, a, b in (
+        (-91.5, -88.5, 38.5, 41.5), (-108, -92, 27, 43), (-80.1, -76.9, 29.9, 31.1), (-85.02, -84.98, 44.98, 45.02)) for _ in range(60)]
+    spots += [(x / 8, y / 8) for x in range(-1, 18) for y in range(-1, 18)]
+    points = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(spots)] * 2 + [(-1, None, 1.0)],
+                                   "id int, lon double, lat double")
+    want = {(k, p) for k, (x, y) in enumerate(spots) for p, rings in polys.items() if parity(rings, x, y)}
+    vertices = spark.createDataFrame(rows, RING)
+    for crowded in (4, 32):
+        got = [tuple(r) for r in spatial.point_in_polygon(points, vertices, "id", crowded).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert spatial.point_in_polygon(points, vertices.filter("false"), "id").count() == 0
+
+
+def test_a_long_outline_costs_a_point_little(spark):
+    """20,000 edges: leaves stay small, few edges are measured per point, distances and sides are exact."""
+    n = 20_000
+    xy = star(n, 6)
+    outline = spark.createDataFrame(
+        pd.DataFrame({"group_id": "g", "lon1": xy[:, 0], "lat1": xy[:, 1],
+                      "lon2": np.roll(xy[:, 0], -1), "lat2": np.roll(xy[:, 1], -1)}))
+    spots = [(-90.2, 40.3), (-88.0, 41.0), (-91.4, 40.0), (-70.0, 30.0), (-89.1, 40.05)]
+    points = spark.createDataFrame([(k, "g", *s) for k, s in enumerate(spots)] + [(9, "g", None, None), (10, "none", -90.0, 40.0)],
+                                   "id int, g string, lon double, lat double")
+    got = {r.id: r.miles_off for r in spatial.miles_to_outline(points, outline, "id", "g").collect()}
+    project = spatial.CONUS.forward("lon", "lat")
+    flat = spark.createDataFrame(pd.DataFrame({"k": np.arange(n), "lon": xy[:, 0], "lat": xy[:, 1]})).select(
+        "k", project[0].alias("x"), project[1].alias("y")).orderBy("k").toPandas()[["x", "y"]].to_numpy()
+    asked = points.filter("id < 9").select("id", project[0].alias("x"), project[1].alias("y")).orderBy("id").toPandas()
+    a, u = flat, np.roll(flat, -1, axis=0) - flat
+    assert got.pop(9) is None and set(got) == set(range(5))
+    for k, s in enumerate(spots):
+        q = asked.loc[k, ["x", "y"]].to_numpy(float)
+        t = np.clip(((q - a) * u).sum(1) / (u * u).sum(1), 0, 1)
+        want = 0.0 if parity([xy], *s) else np.hypot(*(a + t[:, None] * u - q).T).min() / 1609.344
+        assert got[k] == pytest.approx(want, rel=1e-9, abs=1e-12)
+    lines = outline.selectExpr("group_id as tree_id", "lon1 as x1", "lat1 as y1", "lon2 as x2", "lat2 as y2")
+    nodes, held = spatial.edge_tree(lines)
+    assert held.groupBy("lv", "cx", "cy").count().agg(F.max("count")).first()[0] <= 32
+    assert held.count() < 2 * n
+    near = spatial._nearest_leaves(points.filter("id < 9").selectExpr("g as tree_id", "lon as qx", "lat as qy"), nodes)
+    tests = [r["count"] for r in near.join(held, ["tree_id", "lv", "cx", "cy"]).groupBy("qx", "qy").count().collect()]
+    assert len(tests) == 5 and max(tests) < 1_000
