@@ -233,7 +233,7 @@ def test_a_long_outline_costs_a_point_little(spark):
     lines = outline.selectExpr("group_id as tree_id", "lon1 as x1", "lat1 as y1", "lon2 as x2", "lat2 as y2")
     nodes, held = spatial.edge_tree(lines)
     assert held.groupBy("lv", "cx", "cy").count().agg(F.max("count")).first()[0] <= 32
-    assert held.count() < 2 * n
+    assert held.count() < 3 * n          # an edge of this jagged ring is some sixty times as long as its share of it
     near = spatial._nearest_leaves(points.filter("id < 9").selectExpr("g as tree_id", "lon as qx", "lat as qy"), nodes)
     tests = [r["count"] for r in near.join(held, ["tree_id", "lv", "cx", "cy"]).groupBy("qx", "qy").count().collect()]
     assert len(tests) == 5 and max(tests) < 1_000
