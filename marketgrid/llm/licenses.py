@@ -1,10 +1,15 @@
 """License scans: winnowed fingerprints of license templates in an inverted index pick candidates, and a banded
 alignment of the template with the text around them reports matched coverage and spans.
+
+How densely a template is winnowed, and how many words a fingerprint has, follow from its length and the coverage that
+counts: a text in which words of the template are missing or changed keeps a run of unchanged ones, and every run of
+that length holds a fingerprint of the index. Short templates keep all their fingerprints, the shortest those of two words.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
@@ -16,11 +21,13 @@ from pyspark.sql import functions as F
 
 from marketgrid.llm.common import arrow_map
 
-#: Words of a fingerprint, and neighbouring fingerprints of which the least is kept in the index.
+#: Words of a fingerprint, and neighbouring fingerprints of which the least is kept in the index, at most.
 GRAM, WINNOW = 3, 3
 #: Words that text and template may be shifted against each other inside one match.
 BAND = 8
 COVERAGE = 0.8
+#: Words of the text inside a match that the template doesn't have there, as a share of the template's words, at most.
+STRAY = 0.5
 WORD = re.compile(r"\w+")
 
 # Short public license notices, as they stand at the head of files and documents.
@@ -66,12 +73,24 @@ def words(text: str | None) -> list[str]:
     return [w.lower() for w in WORD.findall(text or "")]
 
 
-def fingerprints(found: list[str]) -> list[int]:
-    """A hash for each run of GRAM words (of all words, if there are fewer)."""
+def density(size: int, least: float) -> tuple[int, int]:
+    """(words of a fingerprint, winnowing window) for a template of `size` words.
+
+    Where `need` of its words are matched in order, the others cut them into size - need + 1 runs at most; the longest
+    has at least the even share, and a run of gram + window - 1 words always holds a winnowed fingerprint.
+    """
+    need = max(1, math.ceil(least * size - 1e-9))
+    run = -(-need // (size - need + 1))
+    gram = min(GRAM, run)
+    return gram, min(WINNOW, run - gram + 1)
+
+
+def fingerprints(found: list[str], gram: int = GRAM) -> list[int]:
+    """A hash for each run of `gram` words (of all words, if there are fewer)."""
     if not found:
         return []
-    n = max(1, len(found) - GRAM + 1)
-    return [xxhash.xxh64_intdigest(" ".join(found[k:k + GRAM]).encode("utf-8", "surrogatepass")) for k in range(n)]
+    n = max(1, len(found) - gram + 1)
+    return [xxhash.xxh64_intdigest(" ".join(found[k:k + gram]).encode("utf-8", "surrogatepass")) for k in range(n)]
 
 
 def winnow(hashes: list[int], window: int = WINNOW) -> list[tuple[int, int]]:
@@ -91,45 +110,44 @@ class Index:
     postings: dict[int, list[tuple[int, int]]]
     vocabulary: dict[str, int]
     grams: frozenset
-    words: list[frozenset]
+    words: list[Counter]
     #: Places of each template whose fingerprint stands there only (all its places, where none is so).
     once: list[frozenset]
 
     @classmethod
-    def build(cls, templates: dict[str, str]) -> Index:
+    def build(cls, templates: dict[str, str], least: float = COVERAGE) -> Index:
+        """An index that loses no match of coverage `least` in which the template's words are changed or left out."""
         names = sorted(n for n in templates if words(templates[n]))
         texts = [words(templates[n]) for n in names]
         postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        grams = set()
+        grams, once = set(), []
         for k, text in enumerate(texts):
-            for place, h in winnow(fingerprints(text)):
+            gram, window = density(len(text), least)
+            kept = winnow(fingerprints(text, gram), window)
+            for place, h in kept:
                 postings[h].append((k, place))
-                grams.add(tuple(text[place:place + GRAM]))
-        vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for g in grams for w in g}))}
-        once = []
-        for text in texts:
-            kept = winnow(fingerprints(text))
+                grams.add(tuple(text[place:place + gram]))
             often = Counter(h for _, h in kept)
             once.append(frozenset(p for p, h in kept if often[h] == 1) or frozenset(p for p, _ in kept))
-        return cls(names, texts, dict(postings), vocabulary, frozenset(grams), [frozenset(t) for t in texts], once)
+        vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for g in grams for w in g}))}
+        return cls(names, texts, dict(postings), vocabulary, frozenset(grams), [Counter(t) for t in texts], once)
 
     def candidates(self, found: list[str]) -> dict[tuple[int, int], list[int]]:
         """(template, number of a run) -> shifts of text against template at which fingerprints meet.
 
         Neighbouring shifts are a run as long as no place of the template comes twice: a second notice starts there.
         """
+        sizes = sorted({len(g) for g in self.grams})
+        if not sizes or len(found) < sizes[0]:
+            return {}
         known = np.fromiter((w in self.vocabulary for w in found), bool, len(found))
         hits: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        shortest = min(map(len, self.templates), default=GRAM)
-        width = min(GRAM, shortest) if shortest else GRAM
-        if len(found) < width:
-            return {}
         runs = known.copy()
-        for j in range(1, width):
+        for j in range(1, sizes[0]):
             runs[:-j] &= known[j:]
             runs[-j:] = False
         for at in np.flatnonzero(runs).tolist():
-            for size in {width, GRAM}:
+            for size in sizes:
                 gram = tuple(found[at:at + size])
                 if gram in self.grams:
                     h = xxhash.xxh64_intdigest(" ".join(gram).encode("utf-8", "surrogatepass"))
@@ -157,6 +175,7 @@ class Index:
         found = words(text)
         left: list[str | None] = list(found)
         waiting: list[tuple] = []
+        tried: set[tuple[int, int, int]] = set()
 
         def add(template: int, low: int, high: int, start: int, stop: int) -> None:
             """Align with each stretch of words from `start` to `stop` that no reported span interrupts."""
@@ -167,9 +186,15 @@ class Index:
                 while end < stop and left[end] is not None:
                     end += 1
                 part = left[start:end]
-                if part and sum(w in vocabulary for w in part) >= need:
+                if part and sum(min(n, vocabulary[w]) for w, n in Counter(part).items() if w in vocabulary) >= need:
                     covered, first, last = align(own, part, low - start, high - start)
-                    if covered and covered >= need:
+                    if covered and covered >= need and last - first + 1 - covered > STRAY * len(own):
+                        # too scattered: a closer match may lie on either side
+                        for cut in ((start + first + 1, end), (start, start + last)):
+                            if (template, *cut) not in tried:
+                                tried.add((template, *cut))
+                                add(template, low, high, *cut)
+                    elif covered and covered >= need:
                         heapq.heappush(waiting, (
                             -covered, -covered / len(own), start + first, self.names[template], start + last, template,
                             low, high, start, end))
@@ -224,11 +249,12 @@ def align(template: list[str], text: list[str | None], low: int, high: int) -> t
 def licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = COVERAGE) -> DataFrame:
     """doc_id, license, coverage, start, end (code points, end exclusive), one row per match.
 
-    coverage is the share of the template's words in the alignment; matches below `least` are left out, and of matches
-    that overlap only the one with most words stays. Null and empty texts match nothing; rows with null ids and
+    coverage is the share of the template's words in the alignment; matches below `least` are left out, as are those with
+    strange words of more than half the template's number inside, and of matches that overlap only the one with most
+    words stays. Null and empty texts match nothing; rows with null ids and
     repeated rows are scanned like any other; an empty table gives no rows; further columns are ignored.
     """
-    index = Index.build(TEMPLATES if templates is None else templates)
+    index = Index.build(TEMPLATES if templates is None else templates, least)
 
     def each(columns: list[list]) -> list[list]:
         out: list[list] = [[] for _ in range(5)]
