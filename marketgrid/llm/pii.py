@@ -2,13 +2,15 @@
 
 Seeds induce lexical patterns: the two words before an entity, the last word before it together with the first one
 after it, and the last word with its colon or equals sign. Pattern and instance scores flow over the pattern-instance
-graph for a few rounds. A pattern scores high where what it extracts is of one kind; identifier-like tokens that no
-base pattern knows are reported where a pattern of high confidence stands before them.
+graph for a few rounds. A pattern is judged by its seeds against what speaks against it (entities of other kinds, tokens
+whose shape fits none); identifier-like tokens that no base pattern knows are reported where a pattern of high confidence
+stands around them, and count for the patterns of their other contexts in the next round.
 """
 
 from __future__ import annotations
 
 import bisect
+import ipaddress
 import re
 from itertools import accumulate
 
@@ -23,6 +25,8 @@ ROUNDS = 3
 #: A pattern needs so many different seeds and this score before it may extract anything.
 SUPPORT = 5
 CONFIDENCE = 0.8
+#: What an instance that is no seed passes on of its pattern's score.
+DAMPING = 0.9
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -32,9 +36,13 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MARK = re.compile(r"[0-9@]")
 WRITTEN_EMAIL = re.compile(
-    r"[A-Za-z0-9._%+-]{1,64}(?:\x20?[\[({]\x20?at\x20?[\])}]\x20?|\x20at\x20|@)[A-Za-z0-9-]{1,63}"
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:\x20?[\[({]\x20?at\x20?[\])}]\x20?|\x20at\x20|@)[A-Za-z0-9-]{1,63}"
     r"(?:(?:\x20?[\[({]\x20?dot\x20?[\])}]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{1,63}){0,8}")
 WRITTEN_NUMBER = re.compile(r"(?<![\w+])\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,18}(?!\w)")
+WRITTEN_ADDRESS = re.compile(
+    r"(?<![\w.])[0-9]{1,3}(?:(?:\x20?[\[({]\x20?(?:dot|\.)\x20?[\])}]\x20?|\x20dot\x20|\x20\.\x20|\.)[0-9]{1,3}){3}(?![\w\[])")
+LONG_ADDRESS = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])")
+DATE = re.compile(r"(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2}")
 STRIP = ".,;!?\"'()[]{}<>"
 
 
@@ -72,6 +80,13 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _is_long_address(text: str) -> bool:
+    try:
+        return len(text) > 2 and bool(ipaddress.IPv6Address(text))
+    except ValueError:
+        return False
+
+
 def _digits(text: str) -> str:
     return "".join(NUMBER.findall(text))
 
@@ -126,12 +141,25 @@ def occurrences(text: str | None, base: list[tuple[int, int, str, bool]]) -> lis
             if free(*m.span()) and ("@" in m.group() or re.search(r"[\[({ ]dot[\])} ]|\.", m.group())):
                 out.append({"start": m.start(), "end": m.end(), "seed": None, "kinds": ["email"],
                             "instance": _instance(m.group()), "patterns": _patterns(text, *m.span())})
+        written = []
+        for m in WRITTEN_ADDRESS.finditer(text):
+            if free(*m.span()) and all(int(x) <= 255 for x in NUMBER.findall(m.group())):
+                written.append((*m.span(), ["ip"]))
+        for m in LONG_ADDRESS.finditer(text) if "::" in text or text.count(":") >= 7 else ():
+            if free(*m.span()) and _is_long_address(m.group()):
+                written.append((*m.span(), ["ip"]))
+        taken = [(s, e) for s, e, _ in sorted(written)]
+        at = 0
         for m in WRITTEN_NUMBER.finditer(text):
-            n = len(_digits(m.group()))
-            kinds = ["phone"] * (7 <= n <= 15) + ["card"] * (14 <= n <= 19 and luhn(_digits(m.group())))
-            if free(*m.span()):
-                out.append({"start": m.start(), "end": m.end(), "seed": None, "kinds": kinds,
-                            "instance": _instance(m.group()), "patterns": _patterns(text, *m.span())})
+            while at < len(taken) and taken[at][1] <= m.start():
+                at += 1
+            if at < len(taken) and taken[at][0] < m.end() or not free(*m.span()):
+                continue
+            n, date = len(_digits(m.group())), DATE.fullmatch(m.group()) is not None
+            kinds = ["phone"] * (7 <= n <= 15 and not date) + ["card"] * (14 <= n <= 19 and luhn(_digits(m.group())))
+            written.append((*m.span(), kinds))
+        out += [{"start": s, "end": e, "seed": None, "kinds": kinds, "instance": _instance(text[s:e]),
+                 "patterns": _patterns(text, s, e)} for s, e, kinds in written]
     return out
 
 
@@ -163,39 +191,47 @@ def base_table(docs: DataFrame) -> DataFrame:
         f"found array<struct<{OCCURRENCE}>>", each)
 
 
-def pattern_scores(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT) -> DataFrame:
+def pattern_scores(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(pattern, kind, score) after `rounds` rounds over the pattern-instance graph.
 
-    `edges` is (pattern, instance, seed, kind, n): kind is one that the instance's shape allows, null for none. A seed
-    counts 1 for its kind. A pattern's score is the share of its occurrences that their instances' scores account for,
-    and 0 below `support` different seeds; an instance that is no seed gets the best score among its patterns, halved
-    for each round it is away from a seed.
+    `edges` is (pattern, instance, seed, kind, lead, n), a row for each kind that the instance's shape allows (null for
+    none); lead marks one of these rows. With `support` different seeds of a kind, a pattern scores the share of these
+    seeds among them and what speaks against the kind: seeds of others and instances whose shape doesn't allow it.
+    Instances that are merely unknown say nothing, so a context scores alike however many it holds.
+
+    From the second round on, instances that a pattern of `confidence` has extracted count as well, with its score times
+    DAMPING, for the patterns of their other contexts; as these were not seen with seeds enough, all their occurrences
+    are in the divisor, unknown ones too. Scores never fall from round to round.
     """
-    total = edges.select("pattern", "instance", "n").groupBy("pattern", "instance").agg(F.max("n").alias("n")).groupBy(
-        "pattern").agg(F.sum("n").alias("total"))
-    known = edges.filter("kind is not null")
-    scores = None
-    for _ in range(rounds):
-        if scores is None:
-            weighed = known.withColumn("worth", F.when(F.col("seed") == F.col("kind"), 1.0).otherwise(0.0))
-        else:
-            instances = known.filter("seed is null").join(scores, ["pattern", "kind"]).groupBy("instance", "kind").agg(
-                (F.max("score") / 2).alias("got"))
-            weighed = known.join(instances, ["instance", "kind"], "left").withColumn(
-                "worth", F.when(F.col("seed") == F.col("kind"), 1.0).otherwise(F.coalesce("got", F.lit(0.0))))
-        sums = weighed.groupBy("pattern", "kind").agg(
-            F.sum(F.col("n") * F.col("worth")).alias("sum"), F.count(F.when(F.col("seed").isNotNull(), 1)).alias("seeds"))
-        scores = stage(sums.filter(F.col("seeds") >= support).join(total, "pattern").select(
-            "pattern", "kind", (F.col("sum") / (F.col("total") + 1)).alias("score")), "patterns")
+    totals = {k: F.struct(
+        F.lit(k).alias("kind"), F.count(F.when((F.col("seed") == k) & (F.col("kind") == k), 1)).alias("seeds"),
+        F.coalesce(F.sum(F.when((F.col("seed") == k) & (F.col("kind") == k), F.col("n"))), F.lit(0)).alias("mass"),
+        F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias("fitting"),
+        F.sum(F.when(F.col("lead"), F.col("n"))).alias("total")) for k in KINDS}
+    shape = stage(edges.groupBy("pattern").agg(F.array(*totals.values()).alias("all")).select(
+        "pattern", F.inline("all")).filter("fitting > 0"), "shapes")
+    first = shape.filter(F.col("seeds") >= support).select("pattern", "kind", (
+        F.col("mass") / (F.col("mass") + F.col("total") - F.col("fitting") + 1)).alias("score"))
+    scores = stage(first, "patterns")
+    unknown = edges.filter("seed is null and kind is not null").select("pattern", "instance", "kind", "n")
+    for _ in range(rounds - 1):
+        got = unknown.join(scores.filter(F.col("score") >= confidence), ["pattern", "kind"]).groupBy("instance", "kind").agg(
+            (F.max("score") * DAMPING).alias("worth"))
+        gained = unknown.join(got, ["instance", "kind"]).groupBy("pattern", "kind").agg(
+            F.sum(F.col("n") * F.col("worth")).alias("gained"), F.count("*").alias("found"))
+        induced = shape.join(gained, ["pattern", "kind"]).filter(F.col("seeds") + F.col("found") >= support).select(
+            "pattern", "kind", ((F.col("mass") + F.col("gained")) / (F.col("total") + 1)).alias("score"))
+        scores = stage(scores.unionByName(induced).groupBy("pattern", "kind").agg(F.max("score").alias("score")), "patterns")
     return scores
 
 
 def added_spans(table: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(doc_id, text_hash, added): spans that high-confidence patterns discover beside the base ones."""
     rows = table.select("doc_id", "text_hash", F.explode("found").alias("o")).select("doc_id", "text_hash", "o.*")
-    rows = rows.withColumn("kind", F.explode_outer("kinds")).withColumn("pattern", F.explode("patterns"))
-    edges = stage(rows.groupBy("pattern", "instance", "seed", "kind").agg(F.count("*").alias("n")), "edges")
-    sure = pattern_scores(edges, rounds, support).filter(F.col("score") >= confidence)
+    rows = rows.select("*", F.posexplode_outer("kinds").alias("place", "kind")).withColumn(
+        "lead", F.coalesce(F.col("place") == 0, F.lit(True))).withColumn("pattern", F.explode("patterns"))
+    edges = stage(rows.groupBy("pattern", "instance", "seed", "kind", "lead").agg(F.count("*").alias("n")), "edges")
+    sure = pattern_scores(edges, rounds, support, confidence).filter(F.col("score") >= confidence)
     new = rows.filter("seed is null and kind is not null").join(sure, ["pattern", "kind"])
     span = F.struct("start", "end", "kind")
     return new.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(span)).alias("added"))
@@ -249,7 +285,11 @@ def redact_text(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with personal data replaced; n_chars, if there, counts the new text. Columns stay."""
+    """The documents with personal data replaced; n_chars, if there, counts the new text. Columns stay.
+
+    Null and empty texts stay as they are; rows with null ids and repeated rows are each redacted; an empty table gives no
+    rows.
+    """
     own_id, own_hash, more = fresh(docs, "_id", "_hash", "_added")
     added = added_spans(stage(base_table(docs), "pii")).toDF(own_id, own_hash, more)
     match = docs["doc_id"].cast("long").eqNullSafe(added[own_id]) & (_hash_of(docs) == added[own_hash])
