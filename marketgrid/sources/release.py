@@ -138,12 +138,14 @@ def _write(df: DataFrame, table: str, folder: str, release: Release) -> None:
     release.wrong.update({f"{table}.{c}": int(seen.get[c]) for c in lengths})
 
 
-def _audit(wh: Warehouse, release: Release, options: dict, derived: bool) -> None:
+def _audit(
+    wh: Warehouse, release: Release, options: dict, derived: bool, may_be_empty: tuple[str, ...] = (),
+) -> None:
     """Gates over the run's files, those of the derived tables or those before; what the writes counted stays counted."""
     bad = {k: v for k, v in release.wrong.items() if v and not k.startswith("bridge")}
     if bad:
         raise quality.GateError(f"identifier lengths: {bad}")
-    empty = [t for t, n in release.rows.items() if not n]
+    empty = [t for t, n in release.rows.items() if not n and t not in may_be_empty]
     if empty:
         raise quality.GateError(f"tables with rows: {empty} have none")
     for name, violations in load.gates(wh, **options).items():
@@ -151,13 +153,17 @@ def _audit(wh: Warehouse, release: Release, options: dict, derived: bool) -> Non
             quality.require_empty(violations(), name)
 
 
-def publish(wh: Warehouse, root: str, vintage: int | None = None, observed: dict | None = None, **options) -> Release:
+def publish(
+    wh: Warehouse, root: str, vintage: int | None = None, observed: dict | None = None,
+    may_be_empty: tuple[str, ...] = (), **options,
+) -> Release:
     """Write a run, audit its files, and make it the current release; returns it.
 
     wh: a warehouse over inputs (`Warehouse.from_tables`); with a `vintage`,
     only that year of the deposit fact is written, the other years stay those
     of the current release. observed: observations that were filled while the
-    inputs were read (dropped records). A violation raises `GateError` and
+    inputs were read (dropped records). may_be_empty: tables that are
+    published without rows too. Options go to the gates. A violation raises `GateError` and
     leaves the current release as it is; the folder of the run stays for a look.
     """
     spark = wh.dim_year.sparkSession
@@ -178,13 +184,13 @@ def publish(wh: Warehouse, root: str, vintage: int | None = None, observed: dict
     # the derived tables are worked out from the files just written, not from the inputs again
     base = Warehouse({**tables_of(spark, release), "sod": lambda: wh.sod, "vintages": lambda: wh.vintages},
                      _derived_tables(stored=False))
-    _audit(base, release, options, derived=False)
+    _audit(base, release, options, derived=False, may_be_empty=may_be_empty)
     for name in DERIVED:
         release.folders[name] = f"{home}/{name}"
         _write(getattr(base, name), name, release.folders[name], release)
     for name, seen in (observed or {}).items():
         release.dropped.update({f"{name}.{k}": int(v) for k, v in seen.get.items()})
-    _audit(open_release(spark, root, release), release, options, derived=True)
+    _audit(open_release(spark, root, release), release, options, derived=True, may_be_empty=may_be_empty)
     replace_text(spark, f"{root}/releases/{release.run}.json", json.dumps(asdict(release), sort_keys=True))
     replace_text(spark, f"{root}/{POINTER}", release.run)
     return release

@@ -118,3 +118,22 @@ def test_bucketed_tables_join_without_an_exchange(spark, published):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("drop database grid_test cascade")
+
+
+def test_sites_closer_than_any_centroid_are_published_where_stated(spark, star, tmp_path):
+    """As on larger copies of the driver tables: median spacing below a mile, no centroid within it, an empty bridge."""
+    from marketgrid import catalogue
+
+    wh = star.warehouse()
+    # the subject's sites crowd together off the map, the others stand in the middle of their tiles
+    near = wh.dim_branch.withColumns({
+        c: F.when(F.col("is_subject_bank"), off + (F.col(c) - low) / 40).otherwise(low + (F.floor((F.col(c) - low) * 4) + 0.5) / 4)
+        for c, low, off in (("longitude", -93, -92.99), ("latitude", 36, 47.5))})
+    close = wh.with_tables(dim_branch=near)
+    with pytest.raises(quality.GateError, match="radii"):
+        release.publish(close, str(tmp_path / "strict"))
+    with pytest.raises(quality.GateError, match="tables with rows"):
+        release.publish(close, str(tmp_path / "bounds"), bounds=catalogue.MAP_OPTIONS["bounds"])
+    made = release.publish(close, str(tmp_path / "stated"), **catalogue.MAP_OPTIONS)
+    assert made.rows["bridge_branch_catchment"] == 0 < made.rows["fact_tract_competition"] == made.rows["dim_tract"]
+    assert release.open_release(spark, str(tmp_path / "stated")).bridge_branch_catchment.count() == 0
