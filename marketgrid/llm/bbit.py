@@ -11,6 +11,7 @@ becomes a link by its whole sets alone.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -139,11 +140,12 @@ def shingle_sets(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
     return arrow_map(rows, "node long, shingles array<long>", each).dropDuplicates(["node"])
 
 
-def classes(docs: DataFrame, width: int) -> DataFrame:
+def classes(docs: DataFrame, width: int, near_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(doc_id, text_hash, size, component), one row per document row.
 
     A node is a distinct set, named by the least row number that has it; component is the least node reachable. Texts
-    without words are one node without links.
+    without words are one node without links. `near_of` gives further pairs (a, b) of the nodes (node, text_hash) it
+    gets; they too become links by their whole sets alone.
     """
     prints = stage(digests(docs, width), "digests")
     nodes = stage(prints.groupBy("key").agg(
@@ -160,7 +162,9 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
         return pairs.join(left, "a").join(right, "b").filter(
             equal_minima(F.col("x"), F.col("y")) >= least_equal()).select("a", "b")
 
-    named = components(similar(nodes.filter("size > 0").select("node", "size", "bands"), sets_of, likely))
+    full = nodes.filter("size > 0")
+    near = near_of(full.select("node", F.col("place.text_hash").alias("text_hash"))) if near_of else None
+    named = components(similar(full.select("node", "size", "bands"), sets_of, likely, near))
     known = nodes.select("key", "node").join(named, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     return prints.select("doc_id", "text_hash", "size", "key").join(known, "key").drop("key")
 

@@ -124,11 +124,15 @@ def meetings(members: DataFrame) -> DataFrame:
     return rows.select("bucket", "place.*", "node", "component")
 
 
-def similar(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], likely: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def similar(
+    nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], likely: Callable[[DataFrame], DataFrame],
+    near: DataFrame | None = None,
+) -> DataFrame:
     """(a, b) links that connect all nodes of similarity 4/5 or more which share a band.
 
     nodes: (node, size, bands, ..); `sets_of` gives (node, shingles) of the nodes in a frame, `likely` filters pairs
-    (a, b) by an estimate before the sets are compared.
+    (a, b) by an estimate before the sets are compared. near: pairs (a, b) that another method found; their sets are
+    compared first, and the links among them count as any other.
     """
     rows = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     full = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -137,11 +141,17 @@ def similar(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], likely:
     leads = stage(shared.join(weight, "node").groupBy("bucket").agg(
         F.max(F.struct("weight", "node", "size")).alias("lead")).select(
         "bucket", F.col("lead.node").alias("lead"), F.col("lead.size").alias("lead_size")), "leads")
-    sets = stage(sets_of(shared.select("node").distinct()), "shingles")
+    wanted = shared.select("node")
+    if near is not None:
+        wanted = wanted.unionByName(near.select(F.explode(F.array("a", "b")).alias("node")))
+    sets = stage(sets_of(wanted.distinct()), "shingles")
     led = shared.join(leads, "bucket").filter("node <> lead")
     pairs = led.filter(close(F.col("size"), F.col("lead_size"))).select(
         F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
-    found = stage(verified(likely(pairs), sets), "similar")
+    found = verified(likely(pairs), sets)
+    if near is not None:
+        found = verified(near, sets).unionByName(found)
+    found = stage(found, "similar")
     named = components(found)
     mains = leads.join(named, leads["lead"] == named["node"], "left").select(
         "bucket", F.coalesce("component", "lead").alias("main"), "lead")

@@ -1,8 +1,10 @@
 """Near-duplicates by resemblance against brute force over all pairs."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from marketgrid.llm import bbit, resemblance, simhash
 
 
 def brute_set(text, width=5):
@@ -50,3 +52,28 @@ def test_stage_links_at_four_fifths(spark):
     assert others > 300
     docs = spark.createDataFrame(numbered, "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(least.values())
+
+
+def test_fingerprints_give_the_near_pairs(spark, monkeypatch):
+    """Ball hashing connects what differs in two bits, and its links are kept where no band is shared."""
+    rng = np.random.default_rng(23)
+    rows = []
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5_000, 400)]
+        rows += [" ".join(base), " ".join(edited(rng, base, 1)), " ".join(base + ["more"])]
+    prints = [simhash.fingerprint(t, 5) for t in rows]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    nodes = docs.select(F.col("doc_id").alias("node"), F.xxhash64("text").alias("text_hash"))
+    above = list(range(len(rows)))
+    root = lambda n: n if above[n] == n else root(above[n])
+    for a, b in resemblance.fingerprint_pairs(docs, nodes).collect():
+        assert (prints[a] ^ prints[b]).bit_count() <= 2
+        above[root(a)] = root(b)
+    alike = [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2]
+    assert alike and all(root(a) == root(b) for a, b in alike)
+
+    own = bbit.digests
+    monkeypatch.setattr(bbit, "digests", lambda docs, width: own(docs, width).withColumn(
+        "bands", F.array(F.col("row"))))
+    named = {r.doc_id: r.component for r in resemblance.classes(docs).collect()}
+    assert all(named[a] == named[b] for a, b in alike)
