@@ -86,15 +86,16 @@ def radius_sums(
 ) -> DataFrame:
     """Per circle, sums of point weights within the radius.
 
-    Copies of a place are merged on both sides first. A cell that lies inside
+    Copies of a place are merged on both sides first, and the merged points are
+    stored, so that no level works out the points again. A cell that lies inside
     the circle as a whole gives its sums unseen; single places are tested only
     in cells on the rim, and a rim cell with more than `crowded` places is cut
     into 16 finer ones first, `levels` times at most (cells from 1/4 down to
     1/256 of the radius). So the tests of a circle follow the places along its
     rim, not those in its area. Circles without a point are absent.
     """
-    places = points.filter(F.col("px").isNotNull() & F.col("py").isNotNull()).groupBy("px", "py").agg(
-        *[F.sum(c).alias(c) for c in sums])
+    places = materialise(points.filter(F.col("px").isNotNull() & F.col("py").isNotNull()).groupBy("px", "py").agg(
+        *[F.sum(c).alias(c) for c in sums]))
     sizes = radii.agg(F.collect_list(F.struct("tier", "radius_miles")).alias("r")).scalar()
     located = places.withColumn("_r", F.explode(sizes)).selectExpr("*", "_r.tier as tier", f"{_WIDTH} as _w").drop("_r")
     spots = circles.filter(F.col("cx0").isNotNull() & F.col("cy0").isNotNull()).select("cx0", "cy0", "tier").distinct()

@@ -180,17 +180,19 @@ def competition(wh) -> DataFrame:
     """Branches and households inside the tract's own tier radius.
 
     Branches and tract households are summed by one radius join: both are
-    weighted points, so the grid is built and shuffled once.
+    weighted points, so the grid is built and shuffled once. Positions are
+    projected once, in as many tasks as the shuffle has, however few parts the
+    branch file is read in, and stored: every level of the sums reads them.
     """
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     subject = F.col("is_subject_bank")
-    sites = with_xy(
+    sites = materialise(with_xy(
         wh.dim_branch.filter(
             F.col("service_type").isin(*C.FULL_SERVICE_TYPES) & (F.col("validity") == "ok")
             & F.col("latitude").isNotNull()
-        ).select("longitude", "latitude", "is_subject_bank"),
+        ).select("longitude", "latitude", "is_subject_bank").repartition("longitude", "latitude"),
         "longitude", "latitude", "px", "py",
-    ).select(
+    ).select("px", "py", "is_subject_bank")).select(
         "px", "py", F.when(subject, none).otherwise(one).alias("competitor_branches"),
         F.when(subject, one).otherwise(none).alias("subject_branches"),
         none.alias("catchment_tracts"), F.lit(0.0).alias("catchment_households"),

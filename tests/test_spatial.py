@@ -237,3 +237,25 @@ def test_a_long_outline_costs_a_point_little(spark):
     near = spatial._nearest_leaves(points.filter("id < 9").selectExpr("g as tree_id", "lon as qx", "lat as qy"), nodes)
     tests = [r["count"] for r in near.join(held, ["tree_id", "lv", "cx", "cy"]).groupBy("qx", "qy").count().collect()]
     assert len(tests) == 5 and max(tests) < 1_000
+
+
+def test_radius_sums_work_out_the_points_once(spark, monkeypatch):
+    """However many levels the sums go down, the expression a point comes from stands in the first plan alone."""
+    plans, store = [], spatial.materialise
+
+    def storing(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return store(df)
+
+    monkeypatch.setattr(spatial, "materialise", storing)
+    points = spark.range(4_000).selectExpr(
+        "pmod(id * 7919, 4001) * 1.0234567D as px", "pmod(id * 104729, 4003) * 1.0234567D as py", "id as weight")
+    circles = spark.range(3).selectExpr("id as name", "id * 900.0D as cx0", "id * 700.0D as cy0", "'metro' as tier")
+    radii = spark.createDataFrame([("metro", 1.0)], "tier string, radius_miles double")
+    got = {r.name: r.weight for r in spatial.radius_sums(circles, points, radii, ["name"], ["weight"], 8, 3).collect()}
+    metres, want = 1609.344, {}
+    for c in circles.collect():
+        inside = [p.weight for p in points.collect() if (p.px - c.cx0) ** 2 + (p.py - c.cy0) ** 2 <= metres ** 2]
+        want[c.name] = sum(inside)
+    assert got == want
+    assert len(plans) > 2 and "1.0234567" in plans[0] and not any("1.0234567" in p for p in plans[1:])
