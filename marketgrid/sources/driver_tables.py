@@ -15,6 +15,8 @@ from marketgrid.functions import columns as C
 from marketgrid.plans.warehouse import INDEX_WEIGHTS, WEIGHT_SCHEMA, Warehouse
 
 CERTS = 40
+#: Order lines that one task sorts, joins or groups.
+TASK_LINES = 1_000_000
 SUBJECT_CERT = "00000"
 
 
@@ -89,11 +91,15 @@ class DriverTables:
             "case when c % 53 = 0 then 10 * ((cents + 50) div 100) else 0 end as institution_total_deposits",
         )
 
+    def _line_parts(self) -> int:
+        """Tasks for the order lines, so that what one of them holds doesn't grow with the table (a count of footers)."""
+        return max(self.spark.sparkContext.defaultParallelism, -(-self.raw("lineitem").count() // TASK_LINES))
+
     def _placed_lines(self) -> DataFrame:
         """Order lines with the tract of the ordering customer."""
         line = self.raw("lineitem").select(
             "l_orderkey", "l_suppkey", "l_returnflag", "l_linenumber", "l_extendedprice"
-        )
+        ).repartition(self._line_parts(), "l_orderkey")
         tract = self.branch_keys().select("c", "tract_geoid")
         order_tract = self.raw("orders").select("o_orderkey", "o_custkey").join(
             tract, F.col("o_custkey") == F.col("c")
@@ -106,6 +112,7 @@ class DriverTables:
             self._placed_lines().filter("tract_geoid is not null").withColumn("tract_geoid", F.expr(
                 "case when l_orderkey % 997 = 5 then concat(left(tract_geoid, length(tract_geoid) - 6), '999999')"
                 " else tract_geoid end"))
+            .repartition(self._line_parts(), "tract_geoid", "l_suppkey", "l_returnflag", "l_linenumber")
             .groupBy("tract_geoid", "l_suppkey", "l_returnflag", "l_linenumber")
             .agg(
                 F.expr("count(1) as record_count"),

@@ -4,6 +4,9 @@ import pytest
 
 from marketgrid import catalogue
 from marketgrid.operators import ranking, spatial
+from marketgrid.plans import lending
+from marketgrid.sources import driver_tables
+from marketgrid.sources.driver_tables import DriverTables
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +64,16 @@ def test_radius_join_is_an_equi_join(spark):
     r = spark.createDataFrame([("metro", 1.0)], "tier string, radius_miles double")
     text = plan(spatial.radius_join(c, p, r))
     assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_lending_groups_are_dealt_by_their_number(spark, monkeypatch):
+    """The rows a task groups stay bounded: more facts make more tasks, and the result is the same."""
+    source = DriverTables(spark, "/root/testdata/sf0.001")
+    want = {tuple(r) for r in lending.q09_lending_outcomes(source.warehouse()).collect()}
+    monkeypatch.setattr(lending, "TASK_FACTS", 100)
+    monkeypatch.setattr(driver_tables, "TASK_LINES", 300)
+    rows = source.warehouse().fact_tract_lending
+    assert rows.select(F.spark_partition_id()).distinct().count() > 12
+    found = lending.q09_lending_outcomes(source.warehouse())
+    assert found.select(F.spark_partition_id()).distinct().count() > 12
+    assert {tuple(r) for r in found.collect()} == want
