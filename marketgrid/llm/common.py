@@ -74,8 +74,10 @@ def arrow_filter(df: DataFrame, column: str, keep: Callable[[list], list[bool]])
     return df.mapInArrow(run, df.schema)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, label, text) of training rows, and the number of training labels of either class.
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, target: str, per_class: int, content: str = "text",
+) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, label, `content`) of training rows, and the number of training labels of either class.
 
     Training rows are those outside fold 0 of 5. Of each class the `per_class` ids with the least hash are taken, so
     the sample, and with it the broadcast side of the join, has at most 2 * per_class rows. Null labels or ids are
@@ -87,8 +89,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     picked = known.filter("label = 1").orderBy(*order).limit(per_class).unionByName(
         known.filter("label = 0").orderBy(*order).limit(per_class))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text"), sizes
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content)
+    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "label", content), sizes
 
 
 def fit_in_one_task(sample: DataFrame, fit: Callable[[list[int], list[bytes]], bytes]) -> bytes:

@@ -2,7 +2,8 @@
 
 Every token bucket has a fixed sparse index vector; the vector of a bucket is the sum of the index vectors that stand
 within two tokens of it anywhere in the corpus. The table has BUCKETS rows whatever the corpus holds, so it can be
-broadcast; its sums run over all documents.
+broadcast; its sums run over all documents. Texts are cut into tokens once; the bucket numbers are stored, two bytes a
+token, and read for the sums, the training rows and the scores.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketgrid.llm.common import arrow_map, fit_in_one_task, fold, labelled_sample, slices
+from marketgrid.llm.common import arrow_map, fit_in_one_task, fold, labelled_sample, slices, stage
 
 BUCKETS = 1 << 15
 DIMS = 48
@@ -30,6 +31,8 @@ THRESHOLD = 0.3
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 CACHE = 300_000
 BLOCK = 1 << 18
+#: Tokens whose contexts are added at a time: their arrays stay in a core's cache.
+STEP = 1 << 14
 
 
 def index_vectors() -> np.ndarray:
@@ -57,47 +60,66 @@ class Tokens:
         return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
 
 
-def _add_contexts(ids: np.ndarray, index: np.ndarray, total: np.ndarray, count: np.ndarray) -> None:
-    """Add to `total` the index vectors around every token of `ids`; zeros are gaps."""
-    around, near = np.zeros((len(ids), DIMS), np.float32), index[ids]
-    for k in range(1, WINDOW + 1):
-        around[k:] += near[:-k]
-        around[:-k] += near[k:]
-    order = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-    used = ids[order][first]
-    total[used] += np.add.reduceat(around[order], first, axis=0)
+def _entries(index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the NONZERO entries of every index vector; the gap's signs are zero."""
+    places = (index == 0).argsort(axis=1, kind="stable")[:, :NONZERO]
+    return places, np.take_along_axis(index, places, 1).astype(np.int64)
+
+
+def _add_contexts(ids: np.ndarray, places: np.ndarray, signs: np.ndarray, total: np.ndarray, count: np.ndarray) -> None:
+    """Add to `total` the index vectors around every token of `ids`, entry by entry; zeros are gaps."""
+    flat = total.reshape(-1)
+    for at in range(0, len(ids), STEP):
+        part = ids[at:at + STEP + WINDOW].astype(np.int64)
+        own, where, sign = (part * DIMS)[:, None], places[part], signs[part]
+        for k in range(1, WINDOW + 1):
+            n = min(STEP, len(part) - k)  # tokens of this step that have a k-th follower
+            if n > 0:
+                np.add.at(flat, (own[:n] + where[k:n + k]).ravel(), sign[k:n + k].ravel())
+                np.add.at(flat, (own[k:n + k] + where[:n]).ravel(), sign[:n].ravel())
     count += np.bincount(ids, minlength=BUCKETS)
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """BUCKETS x DIMS: unit context vectors over all documents, without their weighted mean."""
+def token_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, ids) per document row, stored; ids are the bucket numbers of its tokens as 16-bit integers."""
+    def run(columns: list[list]) -> list[list]:
+        ids, held, texts = columns
+        tokens = _tokens()
+        return [ids, held, [tokens(t).astype("<u2").tobytes() for t in texts]]
+
+    rows = docs.select(F.col("doc_id").cast("long"), (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
+    return stage(arrow_map(rows, "doc_id long, held_out boolean, ids binary", run), "quality-tokens")
+
+
+def word_vectors(rows: DataFrame) -> np.ndarray:
+    """BUCKETS x DIMS: unit context vectors over all documents of `token_rows`, without their weighted mean."""
     names = [f"c{k}" for k in range(DIMS)]
     schema = "bucket int, n long, " + ", ".join(f"{c} float" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, tokens = index_vectors(), Tokens()
-        total, count = np.zeros((BUCKETS, DIMS), np.float32), np.zeros(BUCKETS, np.int64)
-        gap = np.zeros(WINDOW, np.int32)
+        places, signs = _entries(index_vectors())
+        total, count = np.zeros((BUCKETS, DIMS), np.int64), np.zeros(BUCKETS, np.int64)
+        gap = np.zeros(WINDOW, np.uint16)
         for batch in batches:
             for part in slices(batch):
                 waiting, size = [], 0
-                for text in part.column(0).to_pylist():
-                    ids = tokens(text)
+                for packed in part.column(0).to_pylist():
+                    ids = np.frombuffer(packed, "<u2")
                     for at in range(0, max(1, len(ids)), BLOCK):  # a very long text: contexts end at a block's edge
                         waiting += [ids[at:at + BLOCK], gap]
                         size += len(waiting[-2])
                         if size >= BLOCK:
-                            _add_contexts(np.concatenate(waiting), index, total, count)
+                            _add_contexts(np.concatenate(waiting), places, signs, total, count)
                             waiting, size = [], 0
                 if size:
-                    _add_contexts(np.concatenate(waiting), index, total, count)
+                    _add_contexts(np.concatenate(waiting), places, signs, total, count)
         count[0] = 0
         used = np.flatnonzero(count)
-        columns = [pa.array(used, pa.int32()), pa.array(count[used])] + [pa.array(total[used, k]) for k in range(DIMS)]
+        columns = [pa.array(used, pa.int32()), pa.array(count[used])] + [
+            pa.array(total[used, k].astype(np.float32)) for k in range(DIMS)]
         yield pa.RecordBatch.from_arrays(columns, ["bucket", "n", *names])
 
-    parts = docs.select("text").mapInArrow(run, schema)
+    parts = rows.select("ids").mapInArrow(run, schema)
     sums = parts.groupBy("bucket").agg(F.sum("n").alias("n"), *[F.sum(c).cast("float").alias(c) for c in names]).toArrow()
     out, n = np.zeros((BUCKETS, DIMS), np.float64), np.zeros(BUCKETS)
     at = sums["bucket"].to_numpy()
@@ -210,24 +232,23 @@ def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> D
     poor documents are known. Language, source, id and other columns are never inputs.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(word_vectors(docs))  # BUCKETS x DIMS floats
-    sample, sizes = labelled_sample(docs, labels, "quality", per_class)
+    rows = token_rows(docs)
+    shared = spark.sparkContext.broadcast(word_vectors(rows))  # BUCKETS x DIMS floats
+    sample, sizes = labelled_sample(rows, labels, "quality", per_class, "ids")
 
     def features(columns: list[list]) -> list[list]:
-        ids, marks, texts = columns
-        tokens = _tokens()
-        return [ids, marks, [pooled(tokens(t), shared.value).tobytes() for t in texts]]
+        ids, marks, packed = columns
+        return [ids, marks, [pooled(np.frombuffer(p, "<u2"), shared.value).tobytes() for p in packed]]
 
-    rows = arrow_map(sample, "doc_id long, label int, features binary", features)
-    model = fit_in_one_task(rows, lambda y, x: train(y, x, sizes).pack())
+    known = arrow_map(sample, "doc_id long, label int, features binary", features)
+    model = fit_in_one_task(known, lambda y, x: train(y, x, sizes).pack())
 
     def score(columns: list[list]) -> list[list]:
-        ids, held, texts = columns
-        tokens, network = _tokens(), Network.unpack(model)
-        got = network.score(np.stack([pooled(tokens(t), shared.value) for t in texts]))
+        ids, held, packed = columns
+        network = Network.unpack(model)
+        got = network.score(np.stack([pooled(np.frombuffer(p, "<u2"), shared.value) for p in packed]))
         return [ids, held, got, (got >= THRESHOLD).astype(np.int32)]
 
-    rows = docs.select(F.col("doc_id").cast("long"), (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
     return arrow_map(rows, "doc_id long, held_out boolean, score double, predicted int", score)
 
 

@@ -183,3 +183,30 @@ def test_recall(spark):
         score[q] = -np.inf
         hits += len(got[ids[q]] & set(ids[np.argsort(-score)[:20]].tolist()))
     assert hits / (20 * len(got)) > 0.97
+
+
+def test_contexts_equal_a_plain_loop():
+    """Sums across the edges of a step, next to gaps and for a text shorter than the window, against index vectors."""
+    index, rng = quality.index_vectors(), np.random.default_rng(4)
+    places, signs = quality._entries(index)
+    for n in (1, 2, 3, quality.STEP + 1, 2 * quality.STEP + 5):
+        ids = rng.integers(0, 9, n).astype(np.uint16)
+        total, count = np.zeros((quality.BUCKETS, quality.DIMS), np.int64), np.zeros(quality.BUCKETS, np.int64)
+        quality._add_contexts(ids, places, signs, total, count)
+        want = np.zeros((9, quality.DIMS))
+        for k in range(1, quality.WINDOW + 1):
+            for i in range(n - k):
+                want[ids[i]] += index[ids[i + k]]
+                want[ids[i + k]] += index[ids[i]]
+        assert (total[1:9] == want[1:]).all() and not total[9:].any()
+        assert (count[:9] == np.bincount(ids, minlength=9)).all()
+
+
+def test_quality_cuts_texts_once(tables):
+    """Sums, training rows and scores read stored token numbers; the scores' plan does not open the texts again."""
+    docs = tables["documents"].limit(300)
+    plan = quality.quality(docs, tables["labels"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "ids#" in plan and "text#" not in plan
+    got = {r.doc_id: (r.held_out, np.frombuffer(r.ids, "<u2").tolist()) for r in quality.token_rows(docs).collect()}
+    cut = quality.Tokens()
+    assert got == {r.doc_id: (crc(r.doc_id, 5) == 0, cut(r.text).tolist()) for r in docs.collect()}
