@@ -178,12 +178,13 @@ def rank_compare(rows: DataFrame, key: str = "scenario", k: int = TOP_N, far: in
     Competition ranks, rank shift quantiles, rank correlation on ordinal
     positions, members kept in the top k and their LMI share.  The top k is by
     (rank, tract id) so that ties at the edge are settled the same way each run.
+    The ranks are read by several steps and stored once.
     """
     a = ranking.with_positions(rows, [key], "base_score").withColumn("base_rank", ranking.rank_desc()).drop(
         "n_equal", "n_below", "n_group")
     b = ranking.with_positions(a, [key], "alt_score").withColumn("alt_rank", ranking.rank_desc()).drop(
         "n_equal", "n_below", "n_group")
-    both = b.withColumn("shift", F.abs(F.col("alt_rank") - F.col("base_rank")))
+    both = materialise(b.withColumn("shift", F.abs(F.col("alt_rank") - F.col("base_rank"))))
     shape = ranking.quantiles(both, [key], "shift", {"median_shift": 0.5, "p95_shift": 0.95, "max_shift": 1.0})
     overall = both.groupBy(key).agg(
         C.rnd(F.avg(F.when(F.col("shift") >= far, 1.0).otherwise(0.0)) * 100, 2).alias("pct_moving_far")
@@ -216,10 +217,13 @@ def _top(rows: DataFrame, key: str, rank: str, k: int) -> DataFrame:
 
 
 def spearman(df: DataFrame, a: str, b: str, unique_id: str, keys=()) -> DataFrame:
-    """Correlation of ordinal ranks; rows with an unknown side are left out."""
+    """Correlation of ordinal ranks; rows with an unknown side are left out.
+
+    The second ranking reads its rows more than once, so the first one is stored.
+    """
     keys = list(keys)
     known = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, unique_id, a, b)
-    ranked = ranking.ordinal(known, keys, a, unique_id, "_ra").drop("n_group")
+    ranked = materialise(ranking.ordinal(known, keys, a, unique_id, "_ra").drop("n_group"))
     ranked = ranking.ordinal(ranked, keys, b, unique_id, "_rb")
     return ranked.groupBy(*keys).agg(F.corr("_ra", "_rb").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
@@ -288,8 +292,8 @@ def scale_test(wh) -> DataFrame:
     )
     values = [c for c in COMPONENTS if c != "household_growth"]
     wide = materialise(raw_components(wh)).select("tract_geoid", "households", *[F.col(c).cast("double").alias(c) for c in values])
-    long = wide.join(tract, "tract_geoid").unpivot(
-        ["tract_geoid", "market", "households"], values, "component", "value")
+    long = materialise(wide.join(tract, "tract_geoid").unpivot(
+        ["tract_geoid", "market", "households"], values, "component", "value"))
     pooled = spearman(long, "households", "value", "tract_geoid", ["component"]).select(
         "component", F.col("spearman").alias("pooled"))
     within = spearman(long, "households", "value", "tract_geoid", ["component", "market"]).filter(

@@ -4,7 +4,7 @@ import pytest
 
 from marketgrid import catalogue
 from marketgrid.operators import ranking, spatial
-from marketgrid.plans import lending
+from marketgrid.plans import lending, opportunity
 from marketgrid.sources import driver_tables
 from marketgrid.sources.driver_tables import DriverTables
 from pyspark.sql import functions as F
@@ -77,3 +77,19 @@ def test_lending_groups_are_dealt_by_their_number(spark, monkeypatch):
     found = lending.q09_lending_outcomes(source.warehouse())
     assert found.select(F.spark_partition_id()).distinct().count() > 12
     assert {tuple(r) for r in found.collect()} == want
+
+
+def test_a_second_ranking_does_not_repeat_the_first(spark):
+    """The ranks that several steps read are stored: each step's plan holds its own windows only."""
+    def windows(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Window [")
+
+    rows = spark.createDataFrame([("s", f"t{i:02d}", i % 3 == 0, float(i), float(i * 7 % 20)) for i in range(20)],
+                                 "scenario string, tract_geoid string, lmi_flag boolean, base_score double, alt_score double")
+    once = windows(ranking.ordinal(rows, ["scenario"], "base_score", "tract_geoid", "r"))
+    rho = opportunity.spearman(rows, "base_score", "alt_score", "tract_geoid", ["scenario"])
+    assert 0 < windows(rho) <= once
+    shape = windows(ranking.quantiles(rows, ["scenario"], "alt_score", {"m": 0.5}))
+    compared = opportunity.rank_compare(rows, k=5, far=10)
+    assert windows(compared) <= once + shape + 2  # and one window for either list of the first
+    assert compared.first().top_retained == len({19, 18, 17, 16, 15} & set(sorted(range(20), key=lambda i: -(i * 7 % 20))[:5]))
